@@ -35,36 +35,50 @@ def _zero(dim: int):
 
 
 def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim: int,
-                 out: str = "vec", dedupe: bool = True,
+                 out: str = "vec", key: list[str] | None = None,
                  encoder: Callable | None = None) -> DataFrame:
-    """Add ``out`` (array<double>, length ``dim``) holding the encoding of ``text_col``."""
-    src = texts.select(text_col).distinct() if dedupe else texts.select(text_col).dropDuplicates()
+    """Add ``out`` (array<double>, length ``dim``) holding the encoding of ``text_col``.
+
+    Without ``key`` distinct texts are encoded once and joined back (short,
+    repeated texts: terms, templates). With ``key`` (unique texts such as
+    table documents) the pooling is grouped by the key and no text is
+    shuffled for de-duplication.
+    """
+    if key is None:
+        src = texts.select(text_col).distinct()
+        group = [text_col]
+    else:
+        src = texts.select(*key, text_col)
+        group = list(key)
     if encoder is not None:
-        vecs = _encode_with_model(src, text_col, encoder, out)
+        vecs = _encode_with_model(src, group, text_col, encoder, out)
     else:
-        vecs = _encode_static(src, text_col, word_vectors, out)
-    joined = texts.join(vecs, text_col, "left")
+        vecs = _encode_static(src, group, text_col, word_vectors, out)
+    joined = texts.join(vecs, group, "left")
     return joined.withColumn(out, F.coalesce(F.col(out), _zero(dim)))
 
 
-def _encode_static(texts: DataFrame, text_col: str, word_vectors: DataFrame, out: str) -> DataFrame:
+def _encode_static(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame,
+                   out: str) -> DataFrame:
     norm = with_normalized(texts, text_col, "__norm")
-    toks = (norm.select(text_col, F.explode(F.split("__norm", TOKEN_SPLIT)).alias("term"))
+    toks = (norm.select(*group, F.explode(F.split("__norm", TOKEN_SPLIT)).alias("term"))
                 .where(F.col("term") != ""))
     hit = toks.join(word_vectors.select("term", "vec"), "term")
-    pooled = hit.groupBy(text_col).agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("__m"))
-    return pooled.select(text_col, vector_to_array(F.col("__m")).alias(out))
+    pooled = hit.groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("__m"))
+    return pooled.select(*group, vector_to_array(F.col("__m")).alias(out))
 
 
-def _encode_with_model(texts: DataFrame, text_col: str, encoder: Callable, out: str) -> DataFrame:
-    schema = T.StructType([T.StructField(text_col, T.StringType()),
-                           T.StructField(out, T.ArrayType(T.DoubleType()))])
+def _encode_with_model(texts: DataFrame, group: list[str], text_col: str, encoder: Callable,
+                       out: str) -> DataFrame:
+    fields = [texts.schema[c] for c in group]
+    schema = T.StructType(fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for pdf in batches:
             vecs = encoder(pdf[text_col])
-            yield pd.DataFrame({text_col: pdf[text_col],
-                                out: [np.asarray(v, dtype=np.float64).tolist() for v in vecs]})
+            res = pdf[group].copy()
+            res[out] = [np.asarray(v, dtype=np.float64).tolist() for v in vecs]
+            yield res
 
     return texts.mapInPandas(run, schema)
 

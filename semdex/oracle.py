@@ -62,3 +62,76 @@ def encode_cte(name: str, src: str, key: str, text: str) -> str:
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+# --- catalogue derived from documents ----------------------------------------
+PY_WS = (r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
+         r"\x{2028}-\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def py_lower_strip(expr: str) -> str:
+    return f"regexp_replace(lower({expr}), '^{PY_WS}+|{PY_WS}+$', '', 'g')"
+
+
+def py_split(expr: str) -> str:
+    return f"list_filter(regexp_split_to_array({expr}, '{PY_WS}+'), lambda w: w <> '')"
+
+
+def expand_table_name(expr: str) -> str:
+    b = f"replace({py_lower_strip(expr)}, '_', ' ')"
+    pairs = [("tb", "tabela"), ("ta", "associacao"), ("tl", "lista"), ("rl", "relacao"), ("dim", "dimensao")]
+    whens = " ".join(f"WHEN starts_with({b}, '{s} ') THEN '{w} ' || substr({b}, {len(s) + 2})" for s, w in pairs)
+    return f"(CASE {whens} ELSE {b} END)"
+
+
+def strip_column_prefixes(expr: str) -> str:
+    b = f"replace({py_lower_strip(expr)}, '_', ' ')"
+    return f"regexp_replace({b}, '^(co )?(id )?(cd )?(dt )?(st )?(tp )?(ds )?(nr )?', '')"
+
+
+CATALOGUE = """
+cat_entries AS (
+  SELECT doc_id AS seq,
+    ['tb_','ta_','tl_','rl_','dim_',''][(doc_id % 6) + 1] || lang || '_' || substr(md5(text), 1, 8) AS table_name,
+    source AS schema,
+    CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS row_count,
+    CASE WHEN doc_id % 5 <> 0 THEN ['id_' || lang] END AS primary_key,
+    text, len(string_split(text, chr(10)))::BIGINT AS n_columns
+  FROM documents),
+cat_lines AS (
+  SELECT seq, table_name, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM cat_entries),
+cat_cols AS (
+  SELECT seq, table_name, (i - 1)::BIGINT AS ord,
+    ['co_','id_','cd_','dt_','st_','tp_','ds_','nr_','co_id_','id_co_',''][((i - 1) % 11) + 1]
+      || regexp_replace(line, ' +', '_', 'g') AS name,
+    len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS n_words,
+    len(list_distinct(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS n_distinct
+  FROM cat_lines),
+cat_cols_stats AS (
+  SELECT seq, table_name, ord, name, 'text' AS type,
+    CASE WHEN n_words > 0 THEN round(1.0 - n_distinct / n_words, 6) END AS null_fraction,
+    n_distinct::BIGINT AS distinct_count
+  FROM cat_cols),
+cat AS (
+  SELECT table_name, seq, schema, row_count, primary_key, n_columns FROM (
+    SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY seq DESC) AS r
+    FROM cat_entries WHERE table_name IS NOT NULL AND table_name <> '') WHERE r = 1),
+cat_columns AS (SELECT c.* FROM cat_cols_stats c JOIN cat USING (table_name, seq))
+"""
+
+
+def table_docs_cte() -> str:
+    return f"""
+kw_all AS (
+  SELECT table_name, unnest({py_split(expand_table_name('table_name'))}) AS w FROM cat
+  UNION
+  SELECT table_name, unnest({py_split(strip_column_prefixes('name'))}) AS w FROM cat_columns
+  WHERE name IS NOT NULL AND name <> ''),
+kw AS (SELECT table_name, list_sort(list(w)) AS kws FROM kw_all
+       WHERE NOT list_contains({STOP_SQL}, w) AND length(w) > 2 GROUP BY table_name),
+tdocs AS (SELECT c.table_name, {t1("coalesce(array_to_string(k.kws, ' '), '')")} AS document
+          FROM cat c LEFT JOIN kw k USING (table_name)),
+tdocs_kept AS (SELECT * FROM tdocs WHERE document <> '')
+"""

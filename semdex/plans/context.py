@@ -46,3 +46,23 @@ class Inputs:
     @cached_property
     def tables(self) -> DataFrame:
         return td.table_vectors(self.spark, self.sf_dir)
+
+    # --- catalogue derived from documents -------------------------------------
+    @cached_property
+    def catalogue_entries(self) -> DataFrame:
+        from semdex.sources.catalog import catalogue_from_documents
+        return catalogue_from_documents(self.table("documents"))
+
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        from semdex.sources.catalog import catalogue_key
+        return catalogue_key(self.catalogue_entries).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def catalogue_vectors(self) -> DataFrame:
+        """(table_name, document, vec) for every table with a non-empty document."""
+        from semdex.operators.encode import encode_texts
+        from semdex.operators.keywords import split_empty_documents, table_documents
+        kept, _ = split_empty_documents(table_documents(self.catalogue))
+        vecs = encode_texts(kept, "document", self.word_vectors, self.dim, key=["table_name"])
+        return vecs.persist(StorageLevel.MEMORY_AND_DISK)

@@ -106,3 +106,123 @@ def r3_nearest_terms(spark: SparkSession, sf: str) -> DataFrame:
     ctx = Inputs(spark, sf)
     nb = nearest_terms(ctx.word_vectors, ctx.queries, topn=300)
     return nb.select("query_id", "query", "nb_rank", "term", _r6("raw_score"))
+
+
+# --- catalogue: S2, T2-T7, L1-L4, V5, R5 -------------------------------------
+from semdex.functions.text import expand_table_name, strip_column_prefixes  # noqa: E402
+from semdex.functions.vectors import norm  # noqa: E402
+from semdex.operators.keywords import split_empty_documents, table_documents  # noqa: E402
+from semdex.operators.lookup import column_lookup, explode_columns, table_lookup, with_metadata  # noqa: E402
+
+_CAT = f"WITH {O.CATALOGUE}"
+
+
+@register("s2_catalogue_key", _CAT + """
+SELECT table_name, seq, schema, row_count, n_columns FROM cat
+""")
+def s2_catalogue_key(spark, sf):
+    c = Inputs(spark, sf).catalogue
+    return c.select("table_name", "seq", "schema", "row_count", F.size("columns").cast("bigint").alias("n_columns"))
+
+
+@register("t2_expand_table_name", _CAT + f"""
+SELECT seq, table_name, {O.expand_table_name('table_name')} AS expanded FROM cat_entries
+""")
+def t2_expand_table_name(spark, sf):
+    e = Inputs(spark, sf).catalogue_entries
+    return e.select("seq", "table_name", expand_table_name(F.col("table_name")).alias("expanded"))
+
+
+@register("t3_strip_column_prefix", _CAT + f"""
+SELECT seq, ord, name, {O.strip_column_prefixes('name')} AS stripped FROM cat_cols
+""")
+def t3_strip_column_prefix(spark, sf):
+    e = Inputs(spark, sf).catalogue_entries
+    cols = e.select("seq", F.posexplode("columns").alias("ord", "c"))
+    return cols.select("seq", F.col("ord").cast("bigint").alias("ord"), F.col("c.name").alias("name"),
+                       strip_column_prefixes(F.col("c.name")).alias("stripped"))
+
+
+@register("t6_table_document", _CAT + ", " + O.table_docs_cte() + """
+SELECT table_name, document FROM tdocs
+""")
+def t6_table_document(spark, sf):
+    return table_documents(Inputs(spark, sf).catalogue).select("table_name", "document")
+
+
+@register("t7_empty_document_skip", _CAT + ", " + O.table_docs_cte() + """
+SELECT table_name FROM tdocs WHERE document = ''
+""")
+def t7_empty_document_skip(spark, sf):
+    _, rejected = split_empty_documents(table_documents(Inputs(spark, sf).catalogue))
+    return rejected.select("table_name")
+
+
+@register("l1_table_lookup", _CAT + """,
+names AS (SELECT table_name AS lookup_name FROM cat_entries UNION SELECT reverse(table_name) FROM cat_entries)
+SELECT n.lookup_name, (c.table_name IS NOT NULL) AS found, c.seq, c.schema, c.row_count
+FROM names n LEFT JOIN cat c ON c.table_name = n.lookup_name
+""")
+def l1_table_lookup(spark, sf):
+    ctx = Inputs(spark, sf)
+    e = ctx.catalogue_entries
+    names = (e.select(F.col("table_name").alias("lookup_name"))
+              .union(e.select(F.reverse("table_name").alias("lookup_name"))).distinct())
+    res = table_lookup(names, ctx.catalogue.select("table_name", "seq", "schema", "row_count"), "lookup_name")
+    return res.select("lookup_name", "found", "seq", "schema", "row_count")
+
+
+@register("l2_column_lookup", _CAT + """,
+pairs AS (SELECT table_name, name AS column_name FROM cat_columns
+          UNION SELECT table_name, reverse(name) || '#' FROM cat_columns),
+firsts AS (SELECT table_name, name AS column_name, min(ord) AS ord FROM cat_columns GROUP BY ALL)
+SELECT p.table_name, p.column_name, (f.ord IS NOT NULL) AS found, f.ord, c.null_fraction, c.distinct_count
+FROM pairs p LEFT JOIN firsts f USING (table_name, column_name)
+LEFT JOIN cat_columns c ON c.table_name = f.table_name AND c.ord = f.ord
+""")
+def l2_column_lookup(spark, sf):
+    cat = Inputs(spark, sf).catalogue
+    cols = explode_columns(cat)
+    pairs = (cols.select("table_name", F.col("name").alias("column_name"))
+                 .union(cols.select("table_name", F.concat(F.reverse("name"), F.lit("#")).alias("column_name")))
+                 .distinct())
+    res = column_lookup(pairs, cat)
+    return res.select("table_name", "column_name", "found", "ord", "null_fraction", "distinct_count")
+
+
+@register("l3_column_explosion", _CAT + """
+SELECT table_name, ord, name, null_fraction, distinct_count FROM cat_columns
+""")
+def l3_column_explosion(spark, sf):
+    return explode_columns(Inputs(spark, sf).catalogue).select(
+        "table_name", "ord", "name", "null_fraction", "distinct_count")
+
+
+@register("v5_table_vectors", _CAT + ", " + O.table_docs_cte() + ", " + O.VOCAB + ", "
+          + O.encode_cte("tv", "tdocs_kept", "table_name", "document") + """
+SELECT table_name, round(sqrt(list_dot_product(vec, vec)), 6) AS vnorm, round(list_sum(vec), 6) AS vsum FROM tv
+""")
+def v5_table_vectors(spark, sf):
+    v = Inputs(spark, sf).catalogue_vectors
+    return v.select("table_name", F.round(norm("vec"), 6).alias("vnorm"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
+
+
+@register("r5_topn_enrichment", _CAT + ", " + O.table_docs_cte() + ", " + O.VOCAB + ", " + O.queries_cte()
+          + ", " + O.encode_cte("tv", "tdocs_kept", "table_name", "document")
+          + ", " + O.encode_cte("qv", "queries", "query_id", "query") + f""",
+scored AS (SELECT q.query_id, t.table_name,
+                  list_dot_product({O.unit('q.vec')}, {O.unit('t.vec')}) AS score FROM qv q, tv t),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_name) AS rank FROM scored)
+SELECT r.query_id, r.rank, r.table_name, round(r.score, 6) AS score, c.schema, c.row_count, c.n_columns
+FROM ranked r JOIN cat c USING (table_name) WHERE r.rank <= 5
+""")
+def r5_topn_enrichment(spark, sf):
+    ctx = Inputs(spark, sf)
+    tv = ctx.catalogue_vectors.select("table_name", "vec")
+    top = rank_tables(tv, _query_vectors(ctx), k=5, table_key="table_name")
+    meta = ctx.catalogue.select("table_name", "schema", "row_count",
+                                F.size("columns").cast("bigint").alias("n_columns"), "columns")
+    kept = with_metadata(top, meta)
+    return (kept.join(meta.drop("columns"), "table_name")
+                .select("query_id", "rank", "table_name", _r6("score"), "schema", "row_count", "n_columns"))
