@@ -135,3 +135,48 @@ tdocs AS (SELECT c.table_name, {t1("coalesce(array_to_string(k.kws, ' '), '')")}
           FROM cat c LEFT JOIN kw k USING (table_name)),
 tdocs_kept AS (SELECT * FROM tdocs WHERE document <> '')
 """
+
+
+# --- expansion ------------------------------------------------------------------
+def r3_pairs_cte(topn: int = 300) -> str:
+    return f"""
+u AS (SELECT rank, term, {unit('vec')} AS vec FROM wv),
+nb_hits AS (
+  SELECT q.query_id, q.query, t.term, list_dot_product(s.vec, t.vec) AS raw_score, t.rank AS t_rank
+  FROM queries q JOIN u s ON s.term = q.query JOIN u t ON t.rank <> s.rank),
+nb_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, t_rank) AS nb_rank FROM nb_hits),
+pairs AS (SELECT query_id, query, nb_rank, term, raw_score FROM nb_ranked WHERE nb_rank <= {topn})
+"""
+
+
+def templates_sql(w: str) -> str:
+    return (f"['The condition is related to ' || {w} || '.', "
+            f"'Clinical features associated with ' || {w} || ' include .', "
+            f"{w} || ' is associated with', {w} || ' is a risk factor for']")
+
+
+CONTEXT = f"""
+tq AS (SELECT query_id, term, unnest({templates_sql('query')}) AS qt,
+              generate_subscripts({templates_sql('query')}, 1) AS j FROM pairs),
+tt AS (SELECT query_id, term, unnest({templates_sql('term')}) AS tt,
+              generate_subscripts({templates_sql('term')}, 1) AS j FROM pairs),
+ctexts AS (SELECT DISTINCT qt AS text FROM tq UNION SELECT DISTINCT tt FROM tt),
+{encode_cte('cenc', 'ctexts', 'text', 'text')},
+ctx AS (
+  SELECT tq.query_id, tq.term,
+    avg(CASE WHEN sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) = 0 THEN 0.0
+             ELSE list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) END) AS bert_raw
+  FROM tq JOIN tt USING (query_id, term, j) JOIN cenc a ON a.text = tq.qt JOIN cenc b ON b.text = tt.tt
+  GROUP BY tq.query_id, tq.term)
+"""
+
+LEXICON = f"""
+lang_counts AS (SELECT lang, token, count(*) AS cnt FROM toks WHERE token <> '' AND lang IN ('fr', 'en') GROUP BY ALL),
+lang_ranked AS (SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, token) - 1 AS r FROM lang_counts),
+lex AS (
+  SELECT 'fr' AS src_lang, 'en' AS dst_lang, a.token AS src, b.token AS dst
+  FROM lang_ranked a JOIN lang_ranked b ON a.r = b.r AND a.lang = 'fr' AND b.lang = 'en'
+  UNION ALL
+  SELECT 'en', 'fr', b.token, a.token
+  FROM lang_ranked a JOIN lang_ranked b ON a.r = b.r AND a.lang = 'fr' AND b.lang = 'en')
+"""

@@ -1,17 +1,18 @@
 """Shared inputs of the registered queries, built once per plan.
 
 The vocabulary (a pass over every document) feeds several branches of one
-plan and the size checks of the ranking kernel, so it is persisted
-(MEMORY_AND_DISK: an evicted or lost block is recomputed from lineage).
+plan and the size checks of the ranking kernel, so it is computed once and
+checkpointed to the shared checkpoint folder (``materialize``); the plans
+that use it start from those files.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from semdex.session import materialize
 from semdex.sources import testdata as td
 
 
@@ -28,12 +29,11 @@ class Inputs:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return td.vocabulary(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return materialize(td.vocabulary(self.spark, self.sf_dir))
 
     @cached_property
     def word_vectors(self) -> DataFrame:
-        wv = td.word_vectors(self.spark, self.sf_dir, self.vocab, self.vocab_cut)
-        return wv.persist(StorageLevel.MEMORY_AND_DISK)
+        return materialize(td.word_vectors(self.spark, self.sf_dir, self.vocab, self.vocab_cut))
 
     @cached_property
     def dim(self) -> int:
@@ -41,7 +41,8 @@ class Inputs:
 
     @cached_property
     def queries(self) -> DataFrame:
-        return td.query_batch(self.spark, self.sf_dir, self.n_queries, self.vocab, self.word_vectors)
+        return materialize(td.query_batch(self.spark, self.sf_dir, self.n_queries, self.vocab,
+                                          self.word_vectors))
 
     @cached_property
     def tables(self) -> DataFrame:
@@ -56,7 +57,7 @@ class Inputs:
     @cached_property
     def catalogue(self) -> DataFrame:
         from semdex.sources.catalog import catalogue_key
-        return catalogue_key(self.catalogue_entries).persist(StorageLevel.MEMORY_AND_DISK)
+        return materialize(catalogue_key(self.catalogue_entries))
 
     @cached_property
     def catalogue_vectors(self) -> DataFrame:
@@ -65,4 +66,4 @@ class Inputs:
         from semdex.operators.keywords import split_empty_documents, table_documents
         kept, _ = split_empty_documents(table_documents(self.catalogue))
         vecs = encode_texts(kept, "document", self.word_vectors, self.dim, key=["table_name"])
-        return vecs.persist(StorageLevel.MEMORY_AND_DISK)
+        return materialize(vecs)

@@ -226,3 +226,90 @@ def r5_topn_enrichment(spark, sf):
     kept = with_metadata(top, meta)
     return (kept.join(meta.drop("columns"), "table_name")
                 .select("query_id", "rank", "table_name", _r6("score"), "schema", "row_count", "n_columns"))
+
+
+# --- expansion: L5-L9, T10, T11, E1, E2, E6 ---------------------------------------
+from semdex.functions.lexical import has_digit, seq_ratio  # noqa: E402
+from semdex.functions.text import py_lower_strip  # noqa: E402
+from semdex.operators.expand import (contextual_similarity, expand_queries, hybrid_scores,  # noqa: E402
+                                     translate)
+from semdex.sources.testdata import lang_lexicon  # noqa: E402
+
+_EXP = f"WITH {O.VOCAB}, {O.queries_cte()}, " + O.r3_pairs_cte()
+
+
+def _pairs(ctx: Inputs) -> DataFrame:
+    nb = nearest_terms(ctx.word_vectors, ctx.queries, topn=300)
+    return nb.withColumn("clean", py_lower_strip("term"))
+
+
+@register("l6_l7_lexical_flags", _EXP + """
+SELECT query_id, nb_rank, term, (term = query) AS is_self,
+  contains(replace(term, '-', ''), replace(query, '-', '')) AS contains_query,
+  regexp_matches(term, '[0-9]') AS has_digit
+FROM pairs
+""")
+def l6_l7_lexical_flags(spark, sf):
+    p = _pairs(Inputs(spark, sf))
+    contains = F.instr(F.regexp_replace("clean", "-", ""), F.regexp_replace(F.col("query"), "-", "")) > 0
+    return p.select("query_id", "nb_rank", "term", (F.col("clean") == F.col("query")).alias("is_self"),
+                    contains.alias("contains_query"), has_digit(F.col("clean")).alias("has_digit"))
+
+
+@register("t10_lexical_similarity")
+def t10_lexical_similarity(spark, sf):
+    p = _pairs(Inputs(spark, sf))
+    return p.select("query_id", "nb_rank", "term", F.round(seq_ratio(F.col("query"), F.col("clean")), 6).alias("ratio"))
+
+
+@register("e1_contextual_similarity", _EXP + ", " + O.CONTEXT + """
+SELECT query_id, term, round(bert_raw, 6) AS bert_raw FROM ctx
+""")
+def e1_contextual_similarity(spark, sf):
+    ctx = Inputs(spark, sf)
+    p = _pairs(ctx).select("query_id", "query", "clean")
+    c = contextual_similarity(p, ctx.word_vectors, ctx.dim)
+    return c.select("query_id", F.col("clean").alias("term"), _r6("bert_raw"))
+
+
+@register("e2_hybrid_score", _EXP + ", " + O.CONTEXT + """,
+parts AS (
+  SELECT p.query_id, p.term,
+    (list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) + 1.0) / 2.0 AS w2v_cos,
+    tanh(list_dot_product(a.vec, b.vec) / 1e4) AS cooc,
+    (greatest(-1.0, least(1.0, coalesce(c.bert_raw, 0.0))) + 1.0) / 2.0 AS bert_ctx
+  FROM pairs p JOIN wv a ON a.term = p.query JOIN wv b ON b.term = p.term
+  LEFT JOIN ctx c ON c.query_id = p.query_id AND c.term = p.term)
+SELECT query_id, term, round(w2v_cos, 6) AS w2v_cos, round(cooc, 6) AS cooc, round(bert_ctx, 6) AS bert_ctx,
+       round(0.6 * bert_ctx + 0.3 * w2v_cos + 0.1 * cooc, 6) AS score
+FROM parts
+""")
+def e2_hybrid_score(spark, sf):
+    ctx = Inputs(spark, sf)
+    p = _pairs(ctx).select("query_id", "query", "clean", "nb_rank")
+    s = hybrid_scores(p, ctx.word_vectors, ctx.dim)
+    return s.select("query_id", F.col("clean").alias("term"), _r6("w2v_cos"), _r6("cooc"), _r6("bert_ctx"),
+                    _r6("score"))
+
+
+@register("t11_translate", f"WITH {O.VOCAB}, {O.queries_cte()}, {O.LEXICON}" + f""",
+fwd AS (SELECT src, min(dst) AS dst FROM lex WHERE src_lang = 'fr' AND dst_lang = 'en' GROUP BY src),
+q AS (SELECT query_id, {O.py_lower_strip('query')} AS q0 FROM queries WHERE query <> '')
+SELECT q.query_id, q.q0 AS query,
+  CASE WHEN f.dst IS NOT NULL AND f.dst <> '' AND f.dst <> q.q0 THEN f.dst ELSE q.q0 END AS translated,
+  (f.dst IS NOT NULL AND f.dst <> '' AND f.dst <> q.q0) AS was_translated
+FROM q LEFT JOIN fwd f ON f.src = q.q0
+""")
+def t11_translate(spark, sf):
+    ctx = Inputs(spark, sf)
+    q = (ctx.queries.where(F.col("query") != "")
+            .select("query_id", py_lower_strip("query").alias("query")))
+    t = translate(q, "query", lang_lexicon(spark, sf), "fr", "en", "translated")
+    return t.select("query_id", "query", "translated", F.col("translated_translated").alias("was_translated"))
+
+
+@register("e6_expand_query")
+def e6_expand_query(spark, sf):
+    ctx = Inputs(spark, sf)
+    out = expand_queries(ctx.queries, ctx.word_vectors, ctx.dim, n=10, lexicon=lang_lexicon(spark, sf))
+    return out.select("query_id", "pos", "term", _r6("score"))

@@ -57,3 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="semdex-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Cut lineage at a stage boundary with a reliable checkpoint.
+
+    Used for results that several branches of a plan reuse (vocabulary,
+    neighbour lists, candidates): the plan below the boundary is computed
+    once, stored in the shared checkpoint folder, and later stages start from
+    those files (a lost executor re-reads them instead of recomputing).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
