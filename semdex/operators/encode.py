@@ -61,10 +61,10 @@ def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim:
 def _encode_static(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame,
                    out: str) -> DataFrame:
     norm = with_normalized(texts, text_col, "__norm")
-    toks = (norm.select(*group, F.explode(F.split("__norm", TOKEN_SPLIT)).alias("term"))
-                .where(F.col("term") != ""))
-    hit = toks.join(word_vectors.select("term", "vec"), "term")
-    pooled = hit.groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("__m"))
+    toks = (norm.select(*group, F.explode(F.split("__norm", TOKEN_SPLIT)).alias("__tok"))
+                .where(F.col("__tok") != ""))
+    hit = toks.join(word_vectors.select(F.col("term").alias("__tok"), F.col("vec").alias("__v")), "__tok")
+    pooled = hit.groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("__v"))).alias("__m"))
     return pooled.select(*group, vector_to_array(F.col("__m")).alias(out))
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,12 +48,18 @@ def _kernel_factory(bc, k, key_type: T.DataType, probe_fields: list[T.StructFiel
     key_arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(),
                  T.StringType(): pa.string()}.get(key_type, pa.int64())
 
+    def trim(cand: pd.DataFrame) -> pd.DataFrame:
+        # exact local top-k per probe: score desc, then corpus key asc
+        cand = cand.sort_values(["q", "s", "key"], ascending=[True, False, True], kind="mergesort")
+        return cand.groupby("q", sort=False).head(k)
+
     def kernel(batches):
         data = bc.value
         P = data["P"]
         excl = data["excl"]
         nq = P.shape[0]
-        store_q, store_k, store_s = [], [], []
+        parts = []
+        cand = None
         best = np.full((nq, k), -np.inf) if k else None
         for rb in batches:
             n = rb.num_rows
@@ -70,30 +77,30 @@ def _kernel_factory(bc, k, key_type: T.DataType, probe_fields: list[T.StructFiel
                     S[excl[:, None] == kb[None, :]] = -np.inf
                 if k:
                     comb = np.concatenate([best, S], axis=1)
-                    part = np.partition(comb, comb.shape[1] - k, axis=1)
-                    best = part[:, comb.shape[1] - k:]
+                    best = np.partition(comb, comb.shape[1] - k, axis=1)[:, comb.shape[1] - k:]
                     kth = best.min(axis=1)
                     qi, tj = np.nonzero((S >= kth[:, None]) & np.isfinite(S))
+                    new = pd.DataFrame({"q": qi, "key": kb[tj], "s": S[qi, tj]})
+                    cand = trim(new if cand is None else pd.concat([cand, new], ignore_index=True))
                 else:
                     qi, tj = np.nonzero(np.isfinite(S))
-                store_q.append(qi)
-                store_k.append(kb[tj])
-                store_s.append(S[qi, tj])
-        if not store_q:
-            return
-        qi = np.concatenate(store_q)
-        ks = np.concatenate(store_k)
-        ss = np.concatenate(store_s)
+                    parts.append(pd.DataFrame({"q": qi, "key": kb[tj], "s": S[qi, tj]}))
         if k:
-            keep = ss >= best.min(axis=1)[qi]
-            qi, ks, ss = qi[keep], ks[keep], ss[keep]
+            if cand is None or cand.empty:
+                return
+            out = cand
+        else:
+            if not parts:
+                return
+            out = pd.concat(parts, ignore_index=True)
+        qi = out["q"].to_numpy()
         cols, names = [], []
         for f in probe_fields:
             cols.append(pa.array(data["keys"][f.name][qi]))
             names.append(f.name)
-        cols.append(pa.array(ks, type=key_arrow))
+        cols.append(pa.array(out["key"].to_numpy(), type=key_arrow))
         names.append(key_out)
-        cols.append(pa.array(ss, type=pa.float64()))
+        cols.append(pa.array(out["s"].to_numpy(), type=pa.float64()))
         names.append(score_out)
         yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -180,3 +180,54 @@ lex AS (
   SELECT 'en', 'fr', b.token, a.token
   FROM lang_ranked a JOIN lang_ranked b ON a.r = b.r AND a.lang = 'fr' AND b.lang = 'en')
 """
+
+
+# --- weight scoring --------------------------------------------------------------------
+def weights_cte() -> str:
+    return f"""
+cands AS (
+  SELECT q.query_id, 0::BIGINT AS pos, q.query AS term FROM queries q JOIN wv ON wv.term = q.query
+  UNION ALL SELECT query_id, nb_rank::BIGINT, term FROM pairs),
+cterms AS (SELECT DISTINCT term FROM cands),
+{encode_cte('tenc', 'cterms', 'term', 'term')},
+cvec AS (SELECT c.query_id, c.pos, c.term, t.vec FROM cands c JOIN tenc t USING (term)),
+pop AS (SELECT c.query_id, i.ind::BIGINT AS ind, c.pos,
+          CASE WHEN i.ind = 20 THEN 0.0 ELSE ((i.ind * 7919 + c.pos * 104729) % 1000) / 1000.0 END AS w
+        FROM cands c, range(21) i(ind)),
+pc AS (SELECT *, least(1.0, greatest(0.0, w)) AS wc FROM pop),
+pn AS (SELECT *, wc / CASE WHEN s = 0 THEN 1.0 ELSE s END AS wnorm FROM (
+         SELECT *, sum(wc) OVER (PARTITION BY query_id, ind) AS s FROM pc)),
+vq_dims AS (SELECT query_id, ind, i, sum(wnorm * x) AS x FROM (
+    SELECT p.query_id, p.ind, p.wnorm, unnest(v.vec) AS x, generate_subscripts(v.vec, 1) AS i
+    FROM pn p JOIN cvec v USING (query_id, pos)) GROUP BY ALL),
+vq_raw AS (SELECT query_id, ind, list(x ORDER BY i) AS raw FROM vq_dims GROUP BY ALL),
+vq AS (SELECT query_id, ind, raw, {unit('raw')} AS vec FROM vq_raw),
+tu AS (SELECT vec_id, {unit('embedding::DOUBLE[]')} AS vec FROM embeddings),
+sc AS (SELECT v.query_id, v.ind, t.vec_id, list_dot_product(v.vec, t.vec) AS score,
+              sqrt(list_dot_product(v.vec, v.vec)) AS qn, sqrt(list_dot_product(t.vec, t.vec)) AS tn
+       FROM vq v, tu t),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, ind ORDER BY score DESC, vec_id) AS rank FROM sc),
+g23 AS (SELECT query_id, ind, sum(score) AS sum_topk,
+               avg(score / ((tn + 1e-12) * (qn + 1e-12))) AS table_align FROM rk WHERE rank <= 20 GROUP BY ALL),
+cu AS (SELECT query_id, pos, {unit('vec')} AS vec FROM cvec),
+g4p AS (SELECT a.query_id, a.ind, sum(a.wc * b.wc * list_dot_product(ca.vec, cb.vec)) AS penalty
+        FROM pn a JOIN pn b ON a.query_id = b.query_id AND a.ind = b.ind AND a.pos < b.pos
+        JOIN cu ca ON ca.query_id = a.query_id AND ca.pos = a.pos
+        JOIN cu cb ON cb.query_id = b.query_id AND cb.pos = b.pos GROUP BY ALL),
+g4 AS (SELECT p.query_id, p.ind, coalesce(max(g.penalty), 0.0) AS penalty FROM pn p
+       LEFT JOIN g4p g USING (query_id, ind) GROUP BY ALL),
+qt AS (SELECT query_id, {py_lower_strip('query')} AS q0 FROM queries WHERE query <> ''),
+{encode_cte('qenc', 'qt', 'query_id', 'q0')},
+qn0 AS (SELECT query_id, vec, sqrt(list_dot_product(vec, vec)) AS n FROM qenc),
+qu AS (SELECT query_id, list_transform(vec, lambda x: x / (n + 1e-12)) AS qv FROM qn0),
+g5 AS (SELECT p.query_id, p.ind, (sum(p.wnorm * list_dot_product(cu.vec, qu.qv)) + 1.0) / 2.0 AS context
+       FROM pn p JOIN cu USING (query_id, pos) JOIN qu USING (query_id) GROUP BY ALL),
+fp AS (SELECT c.query_id, min(c.pos) AS pos FROM cands c JOIN qt USING (query_id)
+       WHERE {t1('c.term')} = {t1('qt.q0')} GROUP BY ALL),
+g6 AS (SELECT p.query_id, p.ind, 5.0 * p.wc AS bonus FROM pn p JOIN fp USING (query_id, pos)),
+g7 AS (SELECT g23.query_id, g23.ind, g23.sum_topk, g23.table_align, g4.penalty, g5.context,
+              coalesce(g6.bonus, 0.0) AS bonus,
+              g23.sum_topk + 0.6 * g5.context + 0.8 * g23.table_align + coalesce(g6.bonus, 0.0) - 0.4 * g4.penalty AS fitness
+       FROM g23 JOIN g4 USING (query_id, ind) JOIN g5 USING (query_id, ind)
+       LEFT JOIN g6 USING (query_id, ind))
+"""

@@ -14,7 +14,7 @@ from semdex import oracle as O
 from semdex.functions.text import with_normalized
 from semdex.functions.vectors import with_l2_normalized
 from semdex.operators.encode import encode_texts
-from semdex.operators.rank import nearest_terms, rank_tables
+from semdex.operators.rank import nearest_terms, rank_tables, topk_dot
 from semdex.plans.context import Inputs
 
 QUERIES: dict = {}
@@ -313,3 +313,164 @@ def e6_expand_query(spark, sf):
     ctx = Inputs(spark, sf)
     out = expand_queries(ctx.queries, ctx.word_vectors, ctx.dim, n=10, lexicon=lang_lexicon(spark, sf))
     return out.select("query_id", "pos", "term", _r6("score"))
+
+
+# --- weights: V8, V9, G1-G8, G12, G13 -----------------------------------------------------
+from functools import lru_cache  # noqa: E402
+
+from semdex.functions.vectors import sumsq  # noqa: E402
+from semdex.operators import weights as Wt  # noqa: E402
+from semdex.session import materialize  # noqa: E402
+
+_W = f"WITH {O.VOCAB}, {O.queries_cte()}, " + O.r3_pairs_cte(9) + ", " + O.weights_cte()
+
+
+class WeightInputs:
+    """Candidates = each query with a vector plus its 9 nearest terms; population
+    = 20 arithmetic weight vectors and an all-zero one per query."""
+
+    def __init__(self, spark, sf):
+        ctx = Inputs(spark, sf)
+        self.ctx = ctx
+        q = ctx.queries
+        head = (q.join(ctx.word_vectors.select(F.col("term").alias("query")), "query")
+                 .select("query_id", F.lit(0).cast("bigint").alias("pos"), F.col("query").alias("term")))
+        nb = nearest_terms(ctx.word_vectors, q, topn=9).select("query_id", F.col("nb_rank").alias("pos"), "term")
+        cands = head.unionByName(nb)
+        self.cands = materialize(encode_texts(cands, "term", ctx.word_vectors, ctx.dim))
+        base = (self.cands.select("query_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("ind"))
+                    .withColumn("ind", F.col("ind").cast("bigint")))
+        self.pop = base.withColumn(
+            "w", F.when(F.col("ind") == 20, F.lit(0.0))
+                  .otherwise(((F.col("ind") * 7919 + F.col("pos") * 104729) % 1000) / 1000.0))
+        qt = q.where(F.col("query") != "").select("query_id", py_lower_strip("query").alias("query_original"))
+        self.qtext = materialize(encode_texts(qt, "query_original", ctx.word_vectors, ctx.dim, out="qvec",
+                                              key=["query_id"]))
+        self.tables_unit = with_l2_normalized(ctx.tables, "vec")
+        self.dim = ctx.dim
+
+
+@register("g1_normalize_weights", _W + """
+SELECT query_id, ind, pos, round(wc, 6) AS wc, round(wnorm, 6) AS wnorm FROM pn
+""")
+def g1_normalize_weights(spark, sf):
+    wi = WeightInputs(spark, sf)
+    return Wt.clip_normalize(wi.pop).select("query_id", "ind", "pos", _r6("wc"), _r6("wnorm"))
+
+
+@register("v8_weighted_query_vector", _W + """
+SELECT query_id, ind, round(sqrt(list_dot_product(raw, raw)), 6) AS raw_norm, round(list_sum(vec), 6) AS vsum
+FROM vq
+""")
+def v8_weighted_query_vector(spark, sf):
+    wi = WeightInputs(spark, sf)
+    pn = Wt.clip_normalize(wi.pop)
+    raw = Wt.weighted_sum(pn, wi.cands, "wnorm", wi.dim, "raw")
+    unit = with_l2_normalized(raw.withColumn("vec", F.col("raw")), "vec")
+    return unit.select("query_id", "ind", F.round(norm("raw"), 6).alias("raw_norm"),
+                       F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
+
+
+@register("g2_g3_topk_alignment", _W + """
+SELECT query_id, ind, round(sum_topk, 6) AS sum_topk, round(table_align, 6) AS table_align FROM g23
+""")
+def g2_g3_topk_alignment(spark, sf):
+    wi = WeightInputs(spark, sf)
+    vq = Wt.weighted_query_vectors(Wt.clip_normalize(wi.pop), wi.cands, wi.dim)
+    m = Wt.topk_metrics(vq, wi.tables_unit, "table_id", 20, 20)
+    return m.select("query_id", "ind", _r6("sum_topk"), _r6("table_align"))
+
+
+@register("g4_redundancy_penalty", _W + """
+SELECT query_id, ind, round(penalty, 6) AS penalty FROM g4
+""")
+def g4_redundancy_penalty(spark, sf):
+    wi = WeightInputs(spark, sf)
+    p = Wt.redundancy_penalty(Wt.clip_normalize(wi.pop), Wt.unit_candidates(wi.cands), wi.dim)
+    return p.select("query_id", "ind", _r6("penalty"))
+
+
+@register("g5_context_metric", _W + """
+SELECT query_id, ind, round(context, 6) AS context FROM g5
+""")
+def g5_context_metric(spark, sf):
+    wi = WeightInputs(spark, sf)
+    c = Wt.context_metric(Wt.clip_normalize(wi.pop), Wt.unit_candidates(wi.cands), wi.qtext)
+    return c.select("query_id", "ind", _r6("context"))
+
+
+@register("g6_query_bonus", _W + """
+SELECT query_id, ind, round(bonus, 6) AS bonus FROM g6
+""")
+def g6_query_bonus(spark, sf):
+    wi = WeightInputs(spark, sf)
+    b = Wt.query_bonus(Wt.clip_normalize(wi.pop), wi.cands, wi.qtext)
+    return b.select("query_id", "ind", _r6("bonus"))
+
+
+@register("g7_fitness", _W + """
+SELECT query_id, ind, round(sum_topk, 6) AS sum_topk, round(table_align, 6) AS table_align,
+       round(penalty, 6) AS penalty, round(context, 6) AS context, round(bonus, 6) AS bonus,
+       round(fitness, 6) AS fitness FROM g7
+""")
+def g7_fitness(spark, sf):
+    wi = WeightInputs(spark, sf)
+    f = Wt.fitness(wi.pop, wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim)
+    return f.select("query_id", "ind", *[_r6(c) for c in
+                                         ("sum_topk", "table_align", "penalty", "context", "bonus", "fitness")])
+
+
+@register("g8_best_individual", _W + """
+SELECT query_id, ind, round(fitness, 6) AS fitness FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fitness DESC, ind) AS r FROM g7) WHERE r = 1
+""")
+def g8_best_individual(spark, sf):
+    wi = WeightInputs(spark, sf)
+    f = Wt.fitness(wi.pop, wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim)
+    return Wt.best_individual(f).select("query_id", "ind", _r6("fitness"))
+
+
+@register("v9_baseline_ranking", _W + """,
+oh AS (SELECT query_id, pos, CASE WHEN pos = 0 THEN 1.0 ELSE 0.0 END AS w FROM cands),
+oh_dims AS (SELECT query_id, i, sum(w * x) AS x FROM (
+   SELECT o.query_id, o.w, unnest(v.vec) AS x, generate_subscripts(v.vec, 1) AS i
+   FROM oh o JOIN cvec v USING (query_id, pos)) GROUP BY ALL),
+oh_raw AS (SELECT query_id, list(x ORDER BY i) AS raw FROM oh_dims GROUP BY ALL),
+oh_vec AS (SELECT query_id, """ + O.unit("raw") + """ AS vec FROM oh_raw),
+oh_rk AS (SELECT v.query_id, t.vec_id AS table_id, list_dot_product(v.vec, t.vec) AS score,
+            row_number() OVER (PARTITION BY v.query_id ORDER BY list_dot_product(v.vec, t.vec) DESC, t.vec_id) AS rank
+          FROM oh_vec v, tu t)
+SELECT query_id, rank, table_id, round(score, 6) AS score FROM oh_rk WHERE rank <= 15
+""")
+def v9_baseline_ranking(spark, sf):
+    wi = WeightInputs(spark, sf)
+    pn = Wt.clip_normalize(Wt.one_hot_population(wi.cands))
+    vq = Wt.weighted_query_vectors(pn, wi.cands, wi.dim).select("query_id", "vec")
+    r = topk_dot(wi.tables_unit, "table_id", "vec", vq, ["query_id"], "vec", 15)
+    return r.select("query_id", "rank", "table_id", _r6("score"))
+
+
+@register("g12_weight_report", _W + """,
+best AS (SELECT query_id, ind FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fitness DESC, ind) AS r FROM g7) WHERE r = 1),
+fw AS (SELECT p.query_id, p.pos, p.wc / (sum(p.wc) OVER (PARTITION BY p.query_id) + 1e-12) AS w
+       FROM pc p JOIN best b USING (query_id, ind))
+SELECT f.query_id, row_number() OVER (PARTITION BY f.query_id ORDER BY f.w DESC, f.pos) AS row, c.term,
+       printf('%.2f%%', f.w * 100) AS weight
+FROM fw f JOIN cands c USING (query_id, pos)
+""")
+def g12_weight_report(spark, sf):
+    wi = WeightInputs(spark, sf)
+    f = Wt.fitness(wi.pop, wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim)
+    best = Wt.best_individual(f)
+    chosen = wi.pop.join(best.select("query_id", "ind"), ["query_id", "ind"])
+    return Wt.weight_report(Wt.final_weights(chosen), wi.cands)
+
+
+@register("g13_ranking_report", _RANK_SQL.replace(
+    "SELECT query_id, rank, table_id, round(score, 6) AS score FROM ranked {where}",
+    "SELECT query_id, rank, table_id, printf('%.4f', score) AS similarity FROM ranked WHERE rank <= 50"))
+def g13_ranking_report(spark, sf):
+    ctx = Inputs(spark, sf)
+    r = rank_tables(ctx.tables, _query_vectors(ctx), k=50)
+    return Wt.ranking_report(r, "table_id", 50)
