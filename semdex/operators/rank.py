@@ -20,6 +20,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +123,8 @@ def topk_dot(corpus: DataFrame, key: str, vec: str, probes: DataFrame, probe_key
     Returns probe keys + ``key`` + ``score`` (double) + ``rank`` (bigint, 1-based).
     """
     spark = corpus.sparkSession
+    cols = probe_keys + [probe_vec] + ([exclude_col] if exclude_col else [])
+    probes = probes.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(probe_vec)).alias("d")).collect()[0]
     n, d = int(stats["n"]), int(stats["d"] or 0)
     chunks = max(1, math.ceil(n * max(d, 1) * 8 / max_probe_bytes))
@@ -129,7 +132,6 @@ def topk_dot(corpus: DataFrame, key: str, vec: str, probes: DataFrame, probe_key
     probe_fields = [probes.schema[c] for c in probe_keys]
     out_schema = T.StructType(probe_fields + [T.StructField(key, key_type),
                                               T.StructField(score_col, T.DoubleType())])
-    cols = probe_keys + [probe_vec] + ([exclude_col] if exclude_col else [])
     if chunks > 1:
         probes = probes.withColumn(
             "__chunk", F.pmod(F.xxhash64(*[F.col(c) for c in probe_keys]), F.lit(chunks))).checkpoint()
@@ -143,6 +145,7 @@ def topk_dot(corpus: DataFrame, key: str, vec: str, probes: DataFrame, probe_key
         kern = _kernel_factory(bc, k, key_type, probe_fields, key, score_col)
         one = corpus.select(key, vec).mapInArrow(kern, out_schema)
         scored = one if scored is None else scored.unionByName(one)
+    probes.unpersist()
     w = Window.partitionBy(*probe_keys).orderBy(F.col(score_col).desc(), F.col(key).asc())
     ranked = scored.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
     if k:

@@ -231,3 +231,64 @@ g7 AS (SELECT g23.query_id, g23.ind, g23.sum_topk, g23.table_align, g4.penalty,
        FROM g23 JOIN g4 USING (query_id, ind) JOIN g5 USING (query_id, ind)
        LEFT JOIN g6 USING (query_id, ind))
 """
+
+
+# --- column selection ---------------------------------------------------------------------
+def features_cte(top_n: int = 5) -> str:
+    return f"""
+scored_t AS (SELECT q.query_id, t.table_name,
+                    list_dot_product({unit('q.vec')}, {unit('t.vec')}) AS score FROM qv q, tv t),
+top5 AS (SELECT query_id, table_name FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_name) AS rank FROM scored_t)
+   WHERE rank <= {top_n}),
+tcols AS (SELECT table_name, ord, name, null_fraction, distinct_count FROM cat_columns
+          WHERE table_name IN (SELECT table_name FROM top5)),
+cnames AS (SELECT DISTINCT name FROM tcols),
+{encode_cte('cenc', 'cnames', 'name', 'name')},
+ncol AS (SELECT table_name, count(*) AS n FROM tcols GROUP BY ALL),
+cq AS (SELECT t.query_id, c.table_name, c.ord, c.name, list_dot_product(q.vec, e.vec) AS qd,
+         (1.0 - coalesce(c.null_fraction, 0.0)) * (1.0 - 1.0 / (CASE WHEN coalesce(c.distinct_count, 1) = 0
+            THEN 1 ELSE coalesce(c.distinct_count, 1) END)) AS quality
+       FROM top5 t JOIN tcols c USING (table_name) JOIN cenc e ON e.name = c.name JOIN qv q ON q.query_id = t.query_id),
+qnrm AS (SELECT query_id, sqrt(list_dot_product(vec, vec)) AS qnorm FROM qv),
+gram AS (SELECT a.table_name, a.ord AS i, b.ord AS j, list_dot_product(ea.vec, eb.vec) AS g
+         FROM tcols a JOIN tcols b USING (table_name) JOIN cenc ea ON ea.name = a.name JOIN cenc eb ON eb.name = b.name
+         WHERE a.table_name IN (SELECT table_name FROM ncol WHERE n <= 12)),
+masks AS (SELECT t.query_id, t.table_name, unnest(range(1, (1::BIGINT << n))) AS mask
+          FROM top5 t JOIN ncol USING (table_name) WHERE n <= 12),
+mem AS (SELECT m.query_id, m.table_name, m.mask, c.ord, c.name, c.qd, c.quality
+        FROM masks m JOIN cq c USING (query_id, table_name) WHERE (m.mask >> c.ord) & 1 = 1),
+agg1 AS (SELECT query_id, table_name, mask, count(*) AS k, sum(qd) AS qsum, sum(quality) AS qual
+         FROM mem GROUP BY ALL),
+agg2 AS (SELECT a.query_id, a.table_name, a.mask, sum(g.g) AS gsum
+         FROM mem a JOIN mem b USING (query_id, table_name, mask)
+         JOIN gram g ON g.table_name = a.table_name AND g.i = a.ord AND g.j = b.ord GROUP BY ALL),
+subs AS (SELECT a1.query_id, a1.table_name, a1.mask, a1.k,
+           CASE WHEN q.qnorm * sqrt(greatest(a2.gsum, 0.0)) = 0 THEN 0.0
+                ELSE a1.qsum / (q.qnorm * sqrt(greatest(a2.gsum, 0.0))) END AS semantic,
+           a1.qual / a1.k AS quality, 1.0 / (1.0 + a1.k) AS size_term
+         FROM agg1 a1 JOIN agg2 a2 USING (query_id, table_name, mask) JOIN qnrm q USING (query_id)),
+fit AS (SELECT *, 0.7 * semantic + 0.2 * quality + 0.1 * size_term AS fitness FROM subs),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, table_name
+                                                  ORDER BY round(fitness, 10) DESC, mask) AS r FROM fit) WHERE r = 1),
+bsel AS (SELECT b.query_id, b.table_name, b.mask, b.fitness, m.ord, m.name
+         FROM best b JOIN mem m USING (query_id, table_name, mask))
+"""
+
+
+PROFILE_COLUMNS = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+}
+
+
+def profile_sql() -> str:
+    parts = []
+    for t, cols in PROFILE_COLUMNS.items():
+        for c in cols:
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", "
+                         f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS null_fraction, "
+                         f"count(DISTINCT {c})::BIGINT AS distinct_count FROM {t}")
+    return "\nUNION ALL\n".join(parts)

@@ -474,3 +474,114 @@ def g13_ranking_report(spark, sf):
     ctx = Inputs(spark, sf)
     r = rank_tables(ctx.tables, _query_vectors(ctx), k=50)
     return Wt.ranking_report(r, "table_id", 50)
+
+
+# --- columns: C0-C10 ----------------------------------------------------------------------
+from semdex.operators import columns as Cx  # noqa: E402
+from semdex.plans.features import FeatureInputs, feature_pipeline  # noqa: E402
+
+_C = (_CAT + ", " + O.table_docs_cte() + ", " + O.VOCAB + ", " + O.queries_cte()
+      + ", " + O.encode_cte("tv", "tdocs_kept", "table_name", "document")
+      + ", " + O.encode_cte("qv", "queries", "query_id", "query") + ", " + O.features_cte(5))
+
+
+def _features(spark, sf) -> FeatureInputs:
+    ctx = Inputs(spark, sf)
+    return FeatureInputs(ctx.queries, ctx.catalogue, ctx.catalogue_vectors, ctx.word_vectors, ctx.dim, top_n=5)
+
+
+def _profile(spark, sf):
+    ctx = Inputs(spark, sf)
+    out = None
+    for t in ("lineitem", "orders", "customer"):
+        p = Cx.column_profile(ctx.table(t), t)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("c0_column_profile", f"SELECT table_name, \"column\", round(null_fraction, 6) AS null_fraction, "
+                               f"distinct_count FROM ({O.profile_sql()})")
+def c0_column_profile(spark, sf):
+    return _profile(spark, sf).select("table_name", "column", _r6("null_fraction"), "distinct_count")
+
+
+@register("c1_column_quality", f"""
+SELECT table_name, "column", round((1.0 - coalesce(null_fraction, 0.0)) * (1.0 - 1.0 / (CASE WHEN
+  coalesce(distinct_count, 1) = 0 THEN 1 ELSE coalesce(distinct_count, 1) END)), 6) AS quality
+FROM ({O.profile_sql()})
+""")
+def c1_column_quality(spark, sf):
+    p = _profile(spark, sf)
+    return p.select("table_name", "column",
+                    F.round(Cx.quality(F.col("null_fraction"), F.col("distinct_count")), 6).alias("quality"))
+
+
+@register("c5_subset_fitness", _C + """
+SELECT query_id, table_name, mask, k, round(semantic, 6) AS semantic, round(quality, 6) AS quality,
+       round(size_term, 6) AS size_term, round(fitness, 6) AS fitness FROM fit
+""")
+def c5_subset_fitness(spark, sf):
+    fi = _features(spark, sf)
+    s = Cx.subset_scores(fi.tc.where(F.col("n") <= 12))
+    return s.select("query_id", "table_name", "mask", F.col("k").cast("bigint").alias("k"), _r6("semantic"),
+                    _r6("quality"), _r6("size_term"), _r6("fitness"))
+
+
+@register("c6_best_subset", _C + """
+SELECT query_id, table_name, mask, round(fitness, 6) AS fitness, k AS n_selected FROM best
+""")
+def c6_best_subset(spark, sf):
+    fi = _features(spark, sf)
+    b = Cx.best_subsets(Cx.subset_scores(fi.tc.where(F.col("n") <= 12)))
+    return b.select("query_id", "table_name", "mask", _r6("fitness"),
+                    F.size("selected").cast("bigint").alias("n_selected"))
+
+
+@register("c7_greedy_subset")
+def c7_greedy_subset(spark, sf):
+    fi = _features(spark, sf)
+    g = Cx.greedy_subsets(fi.tc.where(F.col("n") > 12))
+    return g.select("query_id", "table_name", _r6("fitness"), F.size("selected").cast("bigint").alias("n_selected"))
+
+
+@register("c8_selected_columns", _C + """
+SELECT query_id, table_name, row_number() OVER (PARTITION BY query_id, table_name ORDER BY ord) AS pos,
+       name AS column_name FROM bsel
+""")
+def c8_selected_columns(spark, sf):
+    fi = _features(spark, sf)
+    b = Cx.best_subsets(Cx.subset_scores(fi.tc.where(F.col("n") <= 12)))
+    e = b.select("query_id", "table_name", F.posexplode("selected").alias("p", "column_name"))
+    return e.select("query_id", "table_name", (F.col("p") + 1).cast("bigint").alias("pos"), "column_name")
+
+
+@register("c9_report", _C + """,
+sel AS (SELECT query_id, table_name, any_value(fitness) AS fitness, list(name ORDER BY ord) AS cols
+        FROM bsel GROUP BY ALL)
+SELECT s.query_id, s.table_name, round(s.fitness, 6) AS feature_relevance_score, len(s.cols)::BIGINT AS n_selected,
+  coalesce(c.schema, 'N/A') AS schema, c.row_count,
+  array_to_string(coalesce(c.primary_key, ['NÃO ENCONTRADA']), ', ') AS primary_key,
+  'Score ' || printf('%.4f', s.fitness) || ' devido à alta similaridade semântica com a consulta '
+    || 'e boa qualidade das colunas selecionadas. As colunas ' || array_to_string(list_slice(s.cols, 1, 3), ', ')
+    || CASE WHEN len(s.cols) > 3 THEN '...' ELSE '' END
+    || ' contribuem significativamente para a relevância.' AS justification
+FROM sel s LEFT JOIN cat c USING (table_name)
+""")
+def c9_report(spark, sf):
+    ctx = Inputs(spark, sf)
+    fi = FeatureInputs(ctx.queries, ctx.catalogue, ctx.catalogue_vectors, ctx.word_vectors, ctx.dim, top_n=5)
+    b = Cx.best_subsets(Cx.subset_scores(fi.tc.where(F.col("n") <= 12)))
+    r = Cx.report(b.select("query_id", "table_name", "fitness", "selected"), ctx.catalogue)
+    return r.select("query_id", "table_name", _r6("feature_relevance_score"),
+                    F.size("selected_columns").cast("bigint").alias("n_selected"), "schema", "row_count",
+                    F.array_join("primary_key", ", ").alias("primary_key"), "justification")
+
+
+@register("c10_feature_pipeline")
+def c10_feature_pipeline(spark, sf):
+    ctx = Inputs(spark, sf)
+    fi = FeatureInputs(ctx.queries, ctx.catalogue, ctx.catalogue_vectors, ctx.word_vectors, ctx.dim, top_n=5)
+    r = feature_pipeline(fi, ctx.catalogue)
+    return r.select("query_id", "table_name", _r6("feature_relevance_score"),
+                    F.array_join("selected_columns", "|").alias("selected_columns"), "schema", "row_count",
+                    F.array_join("primary_key", ", ").alias("primary_key"), "justification")
