@@ -585,3 +585,30 @@ def c10_feature_pipeline(spark, sf):
     return r.select("query_id", "table_name", _r6("feature_relevance_score"),
                     F.array_join("selected_columns", "|").alias("selected_columns"), "schema", "row_count",
                     F.array_join("primary_key", ", ").alias("primary_key"), "justification")
+
+
+# --- composite search: G9, G11 ---------------------------------------------------------------
+from semdex.plans.search import learn_weights, search  # noqa: E402
+
+
+@register("g9_learn_weights")
+def g9_learn_weights(spark, sf):
+    wi = WeightInputs(spark, sf)
+    w, _ = learn_weights(wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim)
+    return w.select("query_id", "pos", _r6("w"))
+
+
+@register("g11_search_pipeline")
+def g11_search_pipeline(spark, sf):
+    ctx = Inputs(spark, sf)
+    ranking, _ = search(ctx.queries, ctx.word_vectors, ctx.dim, ctx.catalogue_vectors, "table_name",
+                        lexicon=lang_lexicon(spark, sf), top=50)
+    return ranking.select("query_id", "rank", "table_name", _r6("score"))
+
+
+@register("g11_baseline_search")
+def g11_baseline_search(spark, sf):
+    ctx = Inputs(spark, sf)
+    ranking, _ = search(ctx.queries, ctx.word_vectors, ctx.dim, ctx.catalogue_vectors, "table_name",
+                        lexicon=lang_lexicon(spark, sf), top=15, learn=False)
+    return ranking.select("query_id", "rank", "table_name", _r6("score"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,12 +61,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage at a stage boundary with a reliable checkpoint.
+    """Cut lineage at a stage boundary with a table written to the shared
+    checkpoint folder.
 
     Used for results that several branches of a plan reuse (vocabulary,
-    neighbour lists, candidates): the plan below the boundary is computed
-    once, stored in the shared checkpoint folder, and later stages start from
-    those files (a lost executor re-reads them instead of recomputing).
+    neighbour lists, candidates) and for every round of iterative plans. The
+    plan below the boundary runs once; later stages read the Parquet files
+    (a lost executor re-reads them instead of recomputing). A written table
+    is preferred over ``Dataset.checkpoint``: its size statistics come from
+    the files, whereas a checkpoint keeps the *estimated* size of the plan it
+    replaced - and size-only estimates of joins multiply, so in an iterative
+    loop they grow without bound and planning slows down round after round.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/semdex-tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
