@@ -27,9 +27,17 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return td.table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def token_counts(self) -> DataFrame:
+        return materialize(td.token_counts(self.spark, self.sf_dir))
+
     @cached_property
     def vocab(self) -> DataFrame:
-        return materialize(td.vocabulary(self.spark, self.sf_dir))
+        return materialize(td.vocabulary_from_counts(self.token_counts))
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        return materialize(td.lang_lexicon(self.spark, self.sf_dir, counts=self.token_counts))
 
     @cached_property
     def word_vectors(self) -> DataFrame:
@@ -64,6 +72,6 @@ class Inputs:
         """(table_name, document, vec) for every table with a non-empty document."""
         from semdex.operators.encode import encode_texts
         from semdex.operators.keywords import split_empty_documents, table_documents
-        kept, _ = split_empty_documents(table_documents(self.catalogue))
+        kept, _ = split_empty_documents(materialize(table_documents(self.catalogue)))
         vecs = encode_texts(kept, "document", self.word_vectors, self.dim, key=["table_name"])
         return materialize(vecs)

@@ -2,6 +2,8 @@
 
 One lazy plan: S2 (key) -> T2..T6 (documents, per row) -> T7 (drop empty) ->
 V5 (token join + pooled mean, shuffled by table name) -> S5 (parquet sink).
+The documents are written once (``materialize``): the fold check, the
+encoder and the final join would otherwise each re-run the keyword rules.
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 
 from semdex.operators.encode import encode_texts
 from semdex.operators.keywords import split_empty_documents, table_documents
+from semdex.session import materialize
 from semdex.sources.catalog import catalogue_key
 
 
 def index_tables(entries: DataFrame, word_vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """Return (table vectors (table_name, document, vec), rejected table names)."""
-    docs = table_documents(catalogue_key(entries))
+    docs = materialize(table_documents(catalogue_key(entries)))
     kept, rejected = split_empty_documents(docs)
     vecs = encode_texts(kept, "document", word_vectors, dim, key=["table_name"])
     return vecs, rejected.select("table_name")

@@ -304,14 +304,14 @@ def t11_translate(spark, sf):
     ctx = Inputs(spark, sf)
     q = (ctx.queries.where(F.col("query") != "")
             .select("query_id", py_lower_strip("query").alias("query")))
-    t = translate(q, "query", lang_lexicon(spark, sf), "fr", "en", "translated")
+    t = translate(q, "query", ctx.lexicon, "fr", "en", "translated")
     return t.select("query_id", "query", "translated", F.col("translated_translated").alias("was_translated"))
 
 
 @register("e6_expand_query")
 def e6_expand_query(spark, sf):
     ctx = Inputs(spark, sf)
-    out = expand_queries(ctx.queries, ctx.word_vectors, ctx.dim, n=10, lexicon=lang_lexicon(spark, sf))
+    out = expand_queries(ctx.queries, ctx.word_vectors, ctx.dim, n=10, lexicon=ctx.lexicon)
     return out.select("query_id", "pos", "term", _r6("score"))
 
 
@@ -602,7 +602,7 @@ def g9_learn_weights(spark, sf):
 def g11_search_pipeline(spark, sf):
     ctx = Inputs(spark, sf)
     ranking, _ = search(ctx.queries, ctx.word_vectors, ctx.dim, ctx.catalogue_vectors, "table_name",
-                        lexicon=lang_lexicon(spark, sf), top=50)
+                        lexicon=ctx.lexicon, top=50)
     return ranking.select("query_id", "rank", "table_name", _r6("score"))
 
 
@@ -610,5 +610,5 @@ def g11_search_pipeline(spark, sf):
 def g11_baseline_search(spark, sf):
     ctx = Inputs(spark, sf)
     ranking, _ = search(ctx.queries, ctx.word_vectors, ctx.dim, ctx.catalogue_vectors, "table_name",
-                        lexicon=lang_lexicon(spark, sf), top=15, learn=False)
+                        lexicon=ctx.lexicon, top=15, learn=False)
     return ranking.select("query_id", "rank", "table_name", _r6("score"))

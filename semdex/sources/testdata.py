@@ -40,13 +40,22 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .where(F.col("token") != ""))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, token, cnt): one pass over the texts feeds the vocabulary and the dictionary."""
+    return doc_tokens(spark, sf_dir).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def vocabulary_from_counts(counts: DataFrame) -> DataFrame:
     """(rank bigint, term string, cnt bigint), rank 0 = most frequent."""
-    counts = doc_tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = with_global_rank(counts, [F.col("cnt").desc(), F.col("token").asc()], out="rank")
+    per_token = counts.groupBy("token").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    ranked = with_global_rank(per_token, [F.col("cnt").desc(), F.col("token").asc()], out="rank")
     return ranked.select("rank", F.col("token").alias("term"), "cnt")
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary_from_counts(token_counts(spark, sf_dir))
+
+
 def word_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None,
                  cut: int | None = None) -> DataFrame:
     """S3: (rank, term, vec) with the optional vocabulary cut ``rank < cut``."""
@@ -73,14 +82,15 @@ def query_batch(spark: SparkSession, sf_dir: str, n: int = 10, vocab: DataFrame
     return top.unionByName(unknown).unionByName(empty)
 
 
-def lang_lexicon(spark: SparkSession, sf_dir: str, src_lang: str = "fr", dst_lang: str = "en") -> DataFrame:
+def lang_lexicon(spark: SparkSession, sf_dir: str, src_lang: str = "fr", dst_lang: str = "en",
+                 counts: DataFrame | None = None) -> DataFrame:
     """T11 input: (src_lang, dst_lang, src, dst) pairs aligned by frequency rank.
 
     Term at rank r among ``src_lang`` documents <-> term at rank r among
     ``dst_lang`` documents, both directions.
     """
-    toks = doc_tokens(spark, sf_dir).where(F.col("lang").isin(src_lang, dst_lang))
-    counts = toks.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = counts if counts is not None else token_counts(spark, sf_dir)
+    counts = counts.where(F.col("lang").isin(src_lang, dst_lang))
     ranked = with_global_rank(counts, [F.col("lang").asc(), F.col("cnt").desc(), F.col("token").asc()],
                               out="g")
     first = ranked.groupBy("lang").agg(F.min("g").alias("g0"))
