@@ -100,3 +100,25 @@ def encode_columns(columns: DataFrame, word_vectors: DataFrame, dim: int, name_c
     else:
         columns = columns.withColumn("__ctext", F.col(name_col))
     return encode_texts(columns, "__ctext", word_vectors, dim, out).drop("__ctext")
+
+
+def route_language(df: DataFrame, text_col: str, lang, english_active: bool = True,
+                   has_english_model: bool = True) -> DataFrame:
+    """Choose the model and the text each row is encoded with.
+
+    ``lang`` is 'auto', 'en' or 'pt' (a literal or a column). 'auto' uses the
+    English model on the raw text when the English word model is active and an
+    English model exists, else the Portuguese model on the folded text; 'en'
+    falls back to Portuguese (folded) without an English model; 'pt' always
+    uses Portuguese on the folded text. Adds ``model_id`` and ``text_to_embed``;
+    encoding then runs per ``model_id`` (``encode_texts(..., encoder=...)``).
+    """
+    lang_c = F.col(lang) if isinstance(lang, str) and lang in df.columns else F.lit(lang)
+    auto_en = english_active and has_english_model
+    use_en = (F.when(lang_c == "auto", F.lit(auto_en))
+               .when(lang_c == "en", F.lit(has_english_model))
+               .otherwise(F.lit(False)))
+    folded = with_normalized(df, text_col, "__folded")
+    return (folded.withColumn("model_id", F.when(use_en, F.lit("en")).otherwise(F.lit("pt")))
+                  .withColumn("text_to_embed", F.when(use_en, F.col(text_col)).otherwise(F.col("__folded")))
+                  .drop("__folded"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semdex.functions.vectors import with_l2_normalized
+from semdex.session import materialize
 
 DEFAULT_MAX_PROBE_BYTES = 64 << 20
 _BLOCK_CELLS = 1 << 22  # scores held at once per task (32 MiB of doubles)
@@ -115,37 +116,53 @@ def _numpy_keys(tbl: pa.Table, fields: list[T.StructField]) -> dict:
 def topk_dot(corpus: DataFrame, key: str, vec: str, probes: DataFrame, probe_keys: list[str],
              probe_vec: str, k: int | None, exclude_col: str | None = None,
              score_col: str = "score", rank_col: str = "rank",
-             max_probe_bytes: int = DEFAULT_MAX_PROBE_BYTES) -> DataFrame:
+             max_probe_bytes: int = DEFAULT_MAX_PROBE_BYTES, dim: int | None = None) -> DataFrame:
     """Per probe, the ``k`` corpus rows with the largest dot product.
 
     Ties are broken by corpus key ascending; ``k=None`` ranks the whole corpus.
     ``exclude_col`` (on probes) names a corpus key to skip for that probe.
     Returns probe keys + ``key`` + ``score`` (double) + ``rank`` (bigint, 1-based).
+
+    The probe side is collected only within ``max_probe_bytes``: with a known
+    ``dim`` one bounded collect (``limit(max_rows + 1)``) both checks and
+    fetches it; otherwise (or when it is larger) it is counted first and split
+    into hash chunks that each fit.
     """
     spark = corpus.sparkSession
     cols = probe_keys + [probe_vec] + ([exclude_col] if exclude_col else [])
-    probes = probes.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(probe_vec)).alias("d")).collect()[0]
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    chunks = max(1, math.ceil(n * max(d, 1) * 8 / max_probe_bytes))
     key_type = corpus.schema[key].dataType
     probe_fields = [probes.schema[c] for c in probe_keys]
     out_schema = T.StructType(probe_fields + [T.StructField(key, key_type),
                                               T.StructField(score_col, T.DoubleType())])
-    if chunks > 1:
-        probes = probes.withColumn(
-            "__chunk", F.pmod(F.xxhash64(*[F.col(c) for c in probe_keys]), F.lit(chunks))).checkpoint()
+    tables = None
+    persisted = None
+    if dim:
+        max_rows = max(1, max_probe_bytes // (8 * dim))
+        tbl = probes.select(*cols).limit(max_rows + 1).toArrow()
+        if tbl.num_rows <= max_rows:
+            tables = [tbl]
+    if tables is None:
+        persisted = probes.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+        stats = persisted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(probe_vec)).alias("d")).collect()[0]
+        n, d = int(stats["n"]), int(stats["d"] or 0)
+        chunks = max(1, math.ceil(n * max(d, 1) * 8 / max_probe_bytes))
+        if chunks == 1:
+            tables = [persisted.toArrow()]
+        else:
+            tagged = materialize(persisted.withColumn(
+                "__chunk", F.pmod(F.xxhash64(*[F.col(c) for c in probe_keys]), F.lit(chunks))))
+            tables = [tagged.where(F.col("__chunk") == c).select(*cols).toArrow() for c in range(chunks)]
     scored = None
-    for c in range(chunks):
-        part = probes if chunks == 1 else probes.where(F.col("__chunk") == c)
-        tbl = part.select(*cols).toArrow()
-        P = _as_matrix(tbl.column(probe_vec), tbl.num_rows) if tbl.num_rows else np.zeros((0, max(d, 1)))
+    for tbl in tables:
+        P = (_as_matrix(tbl.column(probe_vec), tbl.num_rows) if tbl.num_rows
+             else np.zeros((0, max(dim or 1, 1))))
         excl = tbl.column(exclude_col).to_numpy(zero_copy_only=False) if exclude_col else None
         bc = spark.sparkContext.broadcast({"P": P, "excl": excl, "keys": _numpy_keys(tbl, probe_fields)})
         kern = _kernel_factory(bc, k, key_type, probe_fields, key, score_col)
         one = corpus.select(key, vec).mapInArrow(kern, out_schema)
         scored = one if scored is None else scored.unionByName(one)
-    probes.unpersist()
+    if persisted is not None:
+        persisted.unpersist()
     w = Window.partitionBy(*probe_keys).orderBy(F.col(score_col).desc(), F.col(key).asc())
     ranked = scored.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
     if k:

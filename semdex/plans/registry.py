@@ -612,3 +612,21 @@ def g11_baseline_search(spark, sf):
     ranking, _ = search(ctx.queries, ctx.word_vectors, ctx.dim, ctx.catalogue_vectors, "table_name",
                         lexicon=ctx.lexicon, top=15, learn=False)
     return ranking.select("query_id", "rank", "table_name", _r6("score"))
+
+
+# --- L11: language routing -------------------------------------------------------------------
+from semdex.operators.encode import route_language  # noqa: E402
+
+
+@register("l11_language_routing", f"""
+SELECT doc_id, CASE WHEN lang IN ('en', 'es') THEN 'en' ELSE 'pt' END AS model_id,
+  md5(CASE WHEN lang IN ('en', 'es') THEN text ELSE {O.t1('text')} END) AS text_md5
+FROM documents
+""")
+def l11_language_routing(spark, sf):
+    """Documents in 'en' request English; 'es' rows request 'auto'; the rest 'pt'."""
+    docs = Inputs(spark, sf).table("documents").select(
+        "doc_id", "text", F.when(F.col("lang") == "en", "en").when(F.col("lang") == "es", "auto")
+                           .otherwise("pt").alias("req"))
+    r = route_language(docs, "text", "req")
+    return r.select("doc_id", "model_id", F.md5("text_to_embed").alias("text_md5"))

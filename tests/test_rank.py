@@ -62,3 +62,10 @@ def test_full_ranking(spark, data):
     r = topk_dot(corpus, "id", "vec", probes.where(F.col("pid") < 2), ["pid"], "vec", None)
     got = collect(r)
     assert got == brute(P[:2], [0, 1], Tm, np.arange(300), 300)
+
+
+@pytest.mark.parametrize("budget", [300, 1 << 20])
+def test_known_dim_paths(spark, data, budget):
+    Tm, P, corpus, probes = data
+    got = collect(topk_dot(corpus, "id", "vec", probes, ["pid"], "vec", 6, dim=16, max_probe_bytes=budget))
+    assert got == brute(P, list(range(9)), Tm, np.arange(300), 6)
