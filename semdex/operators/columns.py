@@ -39,20 +39,24 @@ JUSTIFICATION = ("Score {score} devido à alta similaridade semântica com a con
 
 # --- C0 / C1 -----------------------------------------------------------------------
 
-def column_profile(df: DataFrame, table_name: str) -> DataFrame:
+def column_profile(df: DataFrame, table_name: str, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """(table_name, column, null_fraction, distinct_count) for every column.
 
     Values are unpivoted to (column, value) and counted with a single distinct
     aggregate, which Spark plans as map-side de-duplication by (column, value)
     and a partial count per column - no per-column Expand of the input, and a
     column with few distinct values is not a hot key after the partial step.
+    ``exact=False`` uses HyperLogLog sketches instead (one pass, fixed-size
+    state per column, relative error ``rsd``) - the option for very large
+    tables, where exact counting shuffles every distinct value.
     """
     cols = df.columns
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "column", "value")
+    distinct = F.count_distinct("value") if exact else F.approx_count_distinct("value", rsd)
     agg = long.groupBy("column").agg(
         F.avg(F.col("value").isNull().cast("double")).alias("null_fraction"),
-        F.count_distinct("value").alias("distinct_count"))
+        distinct.alias("distinct_count"))
     return agg.select(F.lit(table_name).alias("table_name"), "column", "null_fraction",
                       F.col("distinct_count").cast("bigint").alias("distinct_count"))
 

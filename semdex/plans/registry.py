@@ -233,7 +233,6 @@ from semdex.functions.lexical import has_digit, seq_ratio  # noqa: E402
 from semdex.functions.text import py_lower_strip  # noqa: E402
 from semdex.operators.expand import (contextual_similarity, expand_queries, hybrid_scores,  # noqa: E402
                                      translate)
-from semdex.sources.testdata import lang_lexicon  # noqa: E402
 
 _EXP = f"WITH {O.VOCAB}, {O.queries_cte()}, " + O.r3_pairs_cte()
 
@@ -316,9 +315,6 @@ def e6_expand_query(spark, sf):
 
 
 # --- weights: V8, V9, G1-G8, G12, G13 -----------------------------------------------------
-from functools import lru_cache  # noqa: E402
-
-from semdex.functions.vectors import sumsq  # noqa: E402
 from semdex.operators import weights as Wt  # noqa: E402
 from semdex.session import materialize  # noqa: E402
 
