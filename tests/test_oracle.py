@@ -29,9 +29,16 @@ def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    got = QUERIES[name](spark, SF001).toPandas()
+    df = QUERIES[name](spark, SF001)
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    got = df.toPandas()
     want = con.execute(SQL[name]).df()
     cs, rs = rows_of(got)
     cd, rd = rows_of(want)

@@ -69,3 +69,11 @@ def test_known_dim_paths(spark, data, budget):
     Tm, P, corpus, probes = data
     got = collect(topk_dot(corpus, "id", "vec", probes, ["pid"], "vec", 6, dim=16, max_probe_bytes=budget))
     assert got == brute(P, list(range(9)), Tm, np.arange(300), 6)
+
+
+def test_topk_plan_limits_before_shuffle(spark, data):
+    Tm, P, corpus, probes = data
+    r = topk_dot(corpus, "id", "vec", probes, ["pid"], "vec", 5, dim=16)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
