@@ -31,11 +31,14 @@ def read_catalog_json(spark: SparkSession, path: str, multiline: bool = True) ->
 
     A single JSON array file is not splittable (``multiLine``); large
     catalogues should be stored as JSON lines or Parquet (``multiline=False``).
-    ``seq`` is the entry's position: file order, then position in the file.
+    ``seq`` is the entry's position as (file path, position in the file): Spark
+    packs files into partitions by size, so a bare row id would not follow
+    file order when "the last duplicate wins" across several files.
     """
     df = (spark.read.schema(CATALOG).option("multiLine", multiline).option("mode", "FAILFAST")
                .json(path))
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    return df.withColumn("seq", F.struct(F.input_file_name().alias("file"),
+                                         F.monotonically_increasing_id().alias("pos")))
 
 
 # Fixed rule for the test catalogue derived from ``documents``: table-name and
