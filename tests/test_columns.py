@@ -97,3 +97,13 @@ def test_column_text_with_description(spark):
     # "coluna_idade. idade do paciente" -> tokens idade, idade, paciente in the vocabulary
     assert got["coluna_idade"] == pytest.approx([2 / 3, 1 / 3])
     assert got["coluna_teste_3"] == [0.0, 0.0]
+
+
+def test_sketch_profile_close_to_exact(spark):
+    from conftest import SF001
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    exact = {r["column"]: r["distinct_count"] for r in C.column_profile(li, "lineitem").collect()}
+    approx = {r["column"]: r["distinct_count"] for r in C.column_profile(li, "lineitem", exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    for c, n in exact.items():
+        assert abs(approx[c] - n) <= max(2, 0.05 * n), c
