@@ -626,3 +626,21 @@ def l11_language_routing(spark, sf):
                            .otherwise("pt").alias("req"))
     r = route_language(docs, "text", "req")
     return r.select("doc_id", "model_id", F.md5("text_to_embed").alias("text_md5"))
+
+
+# --- S1: catalogue JSON scan -------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from semdex.session import ensure_checkpoint_dir  # noqa: E402
+from semdex.sources.catalog import read_catalog_json  # noqa: E402
+
+
+@register("s1_catalogue_scan", _CAT + """
+SELECT table_name, schema, row_count, n_columns FROM cat_entries
+""")
+def s1_catalogue_scan(spark, sf):
+    """The derived catalogue written as JSON lines and scanned back with the explicit schema."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/semdex-tables/catalog-{uuid.uuid4().hex}"
+    Inputs(spark, sf).catalogue_entries.drop("seq").write.json(path)
+    back = read_catalog_json(spark, path, multiline=False)
+    return back.select("table_name", "schema", "row_count", F.size("columns").cast("bigint").alias("n_columns"))
