@@ -1,12 +1,14 @@
 """Operators of a training-data pipeline, registered as opN_<name>."""
 
-from semdex.llm import chat, exact_dedup, mixing, sharding
+from semdex.llm import chat, exact_dedup, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_chat_format": chat.op2_chat_format,
     "op3_mixing": mixing.op3_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_packing": packing.op7_packing,
+    "op9_quality": quality.op9_quality,
 }
 ORACLE = {
     "op2_chat_format": chat.OP2_SQL,

@@ -5,8 +5,9 @@ part of that number is taken as it is; the fractions are rounded in pairs: of tw
 documents with fractions p, q and sizes a, b, mass moves from one to the other so
 that p*a + q*b stays the same, in a random direction whose odds keep both
 expectations, until one fraction is 0 or 1. That document is settled and the
-other one meets the next. So the words taken from a source differ from its
-target by less than one document.
+other one meets the next. The one fraction that remains of a source goes to the
+nearer end; if that leaves the source off its target, the one settled document
+whose turn brings it nearest is turned round.
 
 The pairing runs as a reduction tree: documents are dealt to buckets of about
 `fan_in` by a hash, a fold settles all but one document of a bucket, and the
@@ -79,11 +80,12 @@ def _pair(acc: Column, x: Column, seed: int) -> Column:
 
 def _settle(items: DataFrame, buckets: Column, level: int, seed: int) -> DataFrame:
     """Fold each bucket of (source, doc_id, key, size, p); one residual stays."""
-    item = F.struct("key", "doc_id", "size", "p")
+    # large documents first: they settle among themselves, and what remains tends to be small
+    item = F.struct("size", "key", "doc_id", "p")
     done_type = "array<struct<doc_id:{0},key:bigint,size:bigint,up:boolean>>".format(
         items.schema["doc_id"].dataType.simpleString())
     grouped = (items.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed + level)), buckets))
-               .groupBy("source", "bucket").agg(F.sort_array(F.collect_list(item)).alias("items")))
+               .groupBy("source", "bucket").agg(F.sort_array(F.collect_list(item), asc=False).alias("items")))
     head = F.element_at("items", 1)
     start = F.struct(head["doc_id"].alias("doc_id"), head["key"].alias("key"), head["size"].alias("size"),
                      head["p"].alias("p"), F.array().cast(done_type).alias("done"))
@@ -129,13 +131,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level += 1
         items = residual.join(per.select("s", "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     settled.append(residual.select("source", "doc_id", "key", "size",
-                                   (uniform(F.lit(seed), "key") < F.col("p")).cast("int").alias("more")))
+                                   (F.col("p") >= 0.5).cast("int").alias("more")))
     settled.append(rows.where(~split).select("source", "doc_id", "key", "size", F.lit(0).alias("more")))
     rounded = settled[0]
     for more in settled[1:]:
         rounded = rounded.unionByName(more)
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0))
-    return (rounded.join(per, F.col("source").eqNullSafe(F.col("s")), "left")
+    rounded = materialize(rounded.join(per, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "n_docs"))
+    taken = F.when(F.col("size") > 0, F.col("size") * (F.col("whole") + F.col("more"))).otherwise(F.lit(0))
+    side = lambda df: F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+    off = rounded.groupBy(F.col("source").alias("s")).agg((F.sum(taken) - F.first("target")).alias("off"))
+    # the residual left the source `off` words from its target: turn round the one document that mends most of it
+    turned = F.col("off") + F.when(F.col("more") == 1, -F.col("size")).otherwise(F.col("size"))
+    mend = (rounded.where(split).join(side(off), F.col("source").eqNullSafe(F.col("s"))).where(F.abs(turned) < F.abs("off"))
+            .groupBy("source").agg(F.min(F.struct(F.abs(turned).alias("left"), "key", "doc_id", "size")).alias("m"))
+            .select(F.col("source").alias("s"), F.col("m.key").alias("turn_key"), F.col("m.doc_id").alias("turn_id")))
+    turn = F.coalesce((F.col("key") == F.col("turn_key")) & F.col("doc_id").eqNullSafe(F.col("turn_id")), F.lit(False))
+    more = F.when(turn, 1 - F.col("more")).otherwise(F.col("more"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + more).otherwise(F.lit(0))
+    return (rounded.join(side(mend), F.col("source").eqNullSafe(F.col("s")), "left")
             .withColumn("copies", F.least(copies, F.lit(max_repeat)).cast("long"))
             .select("doc_id", "source", "key", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
