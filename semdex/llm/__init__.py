@@ -1,14 +1,17 @@
 """Operators of a training-data pipeline, registered as opN_<name>."""
 
-from semdex.llm import chat, exact_dedup, mixing, packing, quality, sharding
+from semdex.llm import chat, exact_dedup, mixing, near_join, packing, quality, rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_chat_format": chat.op2_chat_format,
     "op3_mixing": mixing.op3_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_quality_rules": rules.op6_quality_rules,
     "op7_packing": packing.op7_packing,
+    "op8_near_join": near_join.op8_near_join,
     "op9_quality": quality.op9_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE = {
     "op2_chat_format": chat.OP2_SQL,

@@ -11,7 +11,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"     # what separates words
 SPACES = " \t\n\x0b\x0c\r"
 
-__all__ = ["ascii_lower", "materialize", "partitions", "table", "uniform", "word_count", "word_list"]
+__all__ = ["ascii_lower", "join_groups", "materialize", "partitions", "table", "uniform", "word_count", "word_list"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +45,20 @@ def word_count(text: Column) -> Column:
 def uniform(*keys: Column) -> Column:
     """A double in [0, 1) that depends on the keys alone, so reruns agree."""
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = 256) -> DataFrame:
+    """`rows` with the columns of `groups` (one row per key, `size` rows of `rows` each).
+
+    Of the groups, the `partitions` largest with `hot_rows` rows or more go to
+    every task, a broadcast of bounded size; by counting, no other key exceeds a
+    partition's fair share, and those are joined by a shuffle. Both inputs are
+    read twice, so pass written tables.
+    """
+    n = partitions(rows.sparkSession)
+    hot = [r[0] for r in groups.where(F.col(size) >= hot_rows).orderBy(F.desc(size), key).limit(n).select(key).collect()]
+    if not hot:
+        return rows.join(groups, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return (rows.where(is_hot).join(F.broadcast(groups.where(is_hot)), key)
+            .unionByName(rows.where(~is_hot).join(groups.where(~is_hot), key)))

@@ -36,7 +36,7 @@ CAPACITY = 1024
 PIECE = 128
 GROUP_WINDOWS = 256
 END_ID = 0
-MEMO_ENTRIES = 500_000
+MEMO_UNITS, MEMO_PARTS = 400_000, 1_200_000     # about 0.1 and 0.25 GB in a Python worker
 # the pattern by which the byte-level tokenizer cuts a text before it merges (fixed value)
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut before the middle blank would part a run of white space that belongs together
@@ -65,12 +65,12 @@ class DocumentIds:
         cut_up = [PARTS.findall(u) for u in units]
         new = list({p for parts in cut_up for p in parts if p not in self.parts})
         known = self.parts
-        if len(known) + len(new) <= MEMO_ENTRIES:       # frequent ones come early: what is full stays as it is
+        if len(known) + len(new) <= MEMO_PARTS:       # frequent ones come early: what is full stays as it is
             known.update(zip(new, self._encode(new)))
         else:
             known = ChainMap(dict(zip(new, self._encode(new))), known)
         found = {u: b"".join([known[p] for p in parts]) for u, parts in zip(units, cut_up)}
-        if len(self.units) + len(found) <= MEMO_ENTRIES:
+        if len(self.units) + len(found) <= MEMO_UNITS:
             self.units.update(found)
         return found
 

@@ -77,23 +77,14 @@ def _sigmoid(v: np.ndarray | float):
     return 1.0 / (1.0 + np.exp(-np.clip(v, -35, 35)))
 
 
-def train_ftrl(texts, labels, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.4, beta: float = 1.0,
-               l1: float = 0.02, l2: float = 0.02) -> np.ndarray:
-    """Weights, the bias last. Each document is one example, taken in the given order."""
-    hasher, size = Hasher(bits), (1 << bits) + 1
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels, size: int, epochs: int, alpha: float,
+         beta: float, l1: float, l2: float) -> np.ndarray:
+    """FTRL-proximal logistic regression over sparse rows (slots, values), one
+    update a row, in the given order. A slot may repeat within a row."""
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    rows = []
-    for t in texts:
-        slots, values = [np.array([size - 1])], [np.ones(1)]
-        for h in hasher.slots(t):
-            at, count = np.unique(h, return_counts=True)
-            slots.append(at)
-            values.append(count * (SCALE / len(h)))
-        rows.append((np.concatenate(slots).astype(np.int32), np.concatenate(values).astype(np.float32)))
     for _ in range(epochs):
         for (at, x), y in zip(rows, labels):
             g = (_sigmoid(w[at] @ x) - y) * x
-            # a slot may come from two families: sum its gradients
             before = n[at]
             np.add.at(n, at, g * g)
             sigma = (np.sqrt(n[at]) - np.sqrt(before)) / alpha
@@ -104,6 +95,20 @@ def train_ftrl(texts, labels, bits: int = BITS, epochs: int = EPOCHS, alpha: flo
     return w.astype(np.float32)
 
 
+def train_ftrl(texts, labels, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights, the bias last."""
+    hasher, size = Hasher(bits), (1 << bits) + 1
+    rows = []
+    for t in texts:
+        slots, values = [np.array([size - 1])], [np.ones(1)]
+        for h in hasher.slots(t):
+            at, count = np.unique(h, return_counts=True)
+            slots.append(at)
+            values.append(count * (SCALE / len(h)))
+        rows.append((np.concatenate(slots).astype(np.int32), np.concatenate(values).astype(np.float32)))
+    return ftrl(rows, labels, size, epochs, alpha=0.4, beta=1.0, l1=0.02, l2=0.02)
+
+
 def score_text(text: str | None, weights: np.ndarray, hasher: Hasher) -> float:
     value = float(weights[-1])
     for h in hasher.slots(text):
