@@ -1,11 +1,12 @@
 """Operators of a training-data pipeline, registered as opN_<name>."""
 
-from semdex.llm import chat, exact_dedup, mixing, near_join, packing, quality, rules, sharding, toxicity
+from semdex.llm import chat, exact_dedup, mixing, near_join, packing, quality, rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_chat_format": chat.op2_chat_format,
     "op3_mixing": mixing.op3_mixing,
+    "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_packing": packing.op7_packing,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLE = {
     "op2_chat_format": chat.OP2_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }

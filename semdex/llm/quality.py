@@ -175,6 +175,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier accepts."""
-    names = docs.columns
     weights = fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return score(docs, weights, score_col="__score").where(F.col("__score") >= THRESHOLD).select(*[f"`{c}`" for c in names])
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return score(rows, weights).where(F.col("score") >= THRESHOLD).select("row.*")
