@@ -1,28 +1,22 @@
 """Column (feature) selection.
 
-For every (query, table) pair the best subset S of the table's columns
+For every (query, table) pair a subset S of the table's columns is sought that
 maximises
 
     0.7 * cos(q, mean_{i in S} v_i) + 0.2 * mean_{i in S} quality_i + 0.1 / (1 + |S|)
 
-with ``quality = (1 - null_fraction) * (1 - 1 / distinct)`` (C1). The cosine of
-the mean needs no mean vector: ``sum_S q.v_i / (|q| * sqrt(sum_{i,j in S} G_ij))``
-with G the table's Gram matrix, computed once per table inside its row.
-
-* narrow tables (<= ``exhaustive_max`` columns): every non-empty subset is a
-  bit mask; masks are exploded and scored with higher-order functions (C6,
-  exact - at least as good as any search);
-* wide tables: forward greedy selection in ``applyInPandas``, one group per
-  (query, table) holding that table's columns only (C7).
+with ``quality = (1 - null_fraction) * (1 - 1 / distinct)`` (C1). Selection is
+forward greedy for every table, whatever its width (C7): a fold inside the row
+keeps, per column, the sum of its products with the chosen ones, so a step needs
+only the table's Gram matrix, which is computed once per table, before the
+tables meet the queries. C5 scores subsets that are given, C6 picks the best of
+them.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from semdex.functions.vectors import dot, norm
 
@@ -69,104 +63,101 @@ def quality(null_fraction: F.Column, distinct_count: F.Column) -> F.Column:
     return (1.0 - nf) * (1.0 - 1.0 / d)
 
 
-# --- per (query, table) column arrays -------------------------------------------------------
+# --- per table and per (query, table) ------------------------------------------------------
 
-def table_columns(pairs: DataFrame, columns: DataFrame, qvecs: DataFrame) -> DataFrame:
-    """Collect each table's columns (ordered) next to the query vector.
+def table_arrays(columns: DataFrame) -> DataFrame:
+    """Per table its columns (ordered), their number and the Gram matrix of their vectors.
 
-    ``pairs`` (query_id, table_name); ``columns`` (table_name, ord, name, vec,
-    null_fraction, distinct_count); ``qvecs`` (query_id, qvec). The collected
-    list is one table's columns - bounded by the table's width.
+    ``columns`` (table_name, ord, name, vec, null_fraction, distinct_count). The
+    collected list is one table's columns - bounded by the table's width.
     """
     per_table = (columns.withColumn("quality", quality(F.col("null_fraction"), F.col("distinct_count")))
                         .groupBy("table_name")
                         .agg(F.array_sort(F.collect_list(F.struct("ord", "name", "vec", "quality"))).alias("cols"))
                         .withColumn("n", F.size("cols")))
-    return (pairs.join(per_table, "table_name").join(qvecs, "query_id")
-                 .withColumn("qnorm", norm("qvec"))
-                 .withColumn("qdot", F.transform("cols", lambda c: dot("qvec", c["vec"]))))
-
-
-def with_gram(tc: DataFrame) -> DataFrame:
-    """Gram matrix of the column vectors, kept inside the row (n x n doubles)."""
-    idx = F.sequence(F.lit(0), F.col("n") - 1)
-    g = F.transform(idx, lambda i: F.transform(idx, lambda j: dot(F.col("cols")[i]["vec"], F.col("cols")[j]["vec"])))
-    return tc.withColumn("gram", g)
-
-
-def subset_scores(tc: DataFrame) -> DataFrame:
-    """C2-C5 for every non-empty subset of narrow tables: one row per bit mask."""
-    t = with_gram(tc)
-    t = t.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                  F.pow(F.lit(2), F.col("n")).cast("bigint") - 1)))
-    bits = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.getbit(F.col("mask"), i) == 1)
-    t = t.withColumn("bits", bits).withColumn("k", F.size("bits"))
+    gram = F.transform("cols", lambda a: F.transform("cols", lambda b: dot(a["vec"], b["vec"])))
+    return per_table.withColumn("gram", gram)
+
+
+def table_columns(pairs: DataFrame, tables: DataFrame, qvecs: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, table_name) with the table's arrays, the query's norm and its
+    products with the columns; the vectors stay behind."""
+    j = pairs.join(tables, "table_name").join(qvecs, "query_id")
+    return j.select("query_id", "table_name", "n", "gram", norm("qvec").alias("qnorm"),
+                    F.transform("cols", lambda c: dot("qvec", c["vec"])).alias("qdot"),
+                    F.transform("cols", lambda c: c["name"]).alias("names"),
+                    F.transform("cols", lambda c: c["quality"]).alias("quality"))
+
+
+def rule_subsets(tables: DataFrame) -> DataFrame:
+    """(table_name, subset_id, members): single columns, prefixes (1000000 + last) and all but one (2000000 + left out)."""
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    kinds = F.concat(
+        F.transform(every, lambda i: F.struct(i.cast("bigint").alias("subset_id"), F.array(i).alias("members"))),
+        F.transform(every, lambda i: F.struct((i + 1000000).cast("bigint").alias("subset_id"), F.sequence(F.lit(0), i).alias("members"))),
+        F.transform(every, lambda i: F.struct((i + 2000000).cast("bigint").alias("subset_id"),
+                                              F.filter(every, lambda j: j != i).alias("members"))))
+    return (tables.select("table_name", F.explode(kinds).alias("s")).select("table_name", "s.subset_id", "s.members")
+                  .where(F.size("members") > 0))
+
+
+def subset_scores(tc: DataFrame, subsets: DataFrame) -> DataFrame:
+    """C2-C5 of the given subsets (table_name, subset_id, members: ordinals) for every pair of ``tc``."""
     zero = F.lit(0.0).cast("double")
-    qsum = F.aggregate("bits", zero, lambda a, i: a + F.col("qdot")[i])
-    gsum = F.aggregate("bits", zero, lambda a, i: a + F.aggregate(
-        "bits", zero, lambda b, j: b + F.col("gram")[i][j]))
-    qual = F.aggregate("bits", zero, lambda a, i: a + F.col("cols")[i]["quality"])
-    den = F.col("qnorm") * F.sqrt(F.greatest(gsum, zero))
-    t = (t.withColumn("semantic", F.when(den == 0, zero).otherwise(qsum / den))
-          .withColumn("quality", qual / F.col("k"))
+    t = tc.join(subsets, "table_name").withColumn("k", F.size("members"))
+    qsum = F.aggregate("members", zero, lambda a, i: a + F.col("qdot")[i])
+    gsum = F.aggregate("members", zero, lambda a, i: a + F.aggregate("members", zero, lambda b, j: b + F.col("gram")[i][j]))
+    qual = F.aggregate("members", zero, lambda a, i: a + F.col("quality")[i])
+    t = t.select("query_id", "table_name", "subset_id", "k", (qual / F.col("k")).alias("quality"), qsum.alias("qsum"),
+                 (F.col("qnorm") * F.sqrt(F.greatest(gsum, zero))).alias("den"))
+    t = (t.withColumn("semantic", F.when(F.col("den") == 0, zero).otherwise(F.col("qsum") / F.col("den")))
           .withColumn("size_term", 1.0 / (1.0 + F.col("k"))))
-    t = t.withColumn("fitness", W_SEMANTIC * F.col("semantic") + W_QUALITY * F.col("quality")
-                     + W_SIZE * F.col("size_term"))
-    return t.select("query_id", "table_name", "mask", "k", "semantic", "quality", "size_term", "fitness", "cols")
+    return t.select("query_id", "table_name", "subset_id", "k", "semantic", "quality", "size_term",
+                    (W_SEMANTIC * F.col("semantic") + W_QUALITY * F.col("quality")
+                     + W_SIZE * F.col("size_term")).alias("fitness"))
 
 
 def best_subsets(scores: DataFrame) -> DataFrame:
-    """Per (query, table) the best mask; ties (to 1e-10) go to the smaller mask."""
-    key = F.struct(F.round("fitness", 10), -F.col("mask"))
-    best = scores.groupBy("query_id", "table_name").agg(
-        F.max_by(F.struct("mask", "fitness"), key).alias("b"), F.first("cols").alias("cols"))
-    sel = F.filter(F.col("cols"), lambda c, i: F.getbit(F.col("b.mask"), i) == 1)
-    return best.select("query_id", "table_name", F.col("b.mask").alias("mask"), F.col("b.fitness").alias("fitness"),
-                       F.transform(sel, lambda c: c["name"]).alias("selected"))
-
-
-GREEDY = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("table_name", T.StringType()),
-                       T.StructField("fitness", T.DoubleType()),
-                       T.StructField("selected", T.ArrayType(T.StringType()))])
-
-
-def greedy_subsets(tc: DataFrame) -> DataFrame:
-    """Forward selection per (query, table) - add the column with the best
-    fitness gain while the fitness improves (ties: lowest ordinal)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            cols = list(r["cols"])
-            V = np.array([np.asarray(c["vec"], dtype=np.float64) for c in cols])
-            qual = np.array([c["quality"] for c in cols], dtype=np.float64)
-            q = np.asarray(r["qvec"], dtype=np.float64)
-            qd, qn = V @ q, float(np.linalg.norm(q))
-            chosen, vsum, qsum, qlsum, best = [], np.zeros(V.shape[1]), 0.0, 0.0, 0.0
-            while len(chosen) < len(cols):
-                k = len(chosen) + 1
-                cand = [i for i in range(len(cols)) if i not in chosen]
-                sums = vsum[None, :] + V[cand]
-                den = qn * np.linalg.norm(sums, axis=1)
-                sem = np.where(den == 0, 0.0, (qsum + qd[cand]) / np.where(den == 0, 1.0, den))
-                fit = W_SEMANTIC * sem + W_QUALITY * (qlsum + qual[cand]) / k + W_SIZE / (1.0 + k)
-                j = int(np.argmax(fit))
-                if not fit[j] > best:
-                    break
-                i = cand[j]
-                chosen.append(i)
-                vsum, qsum, qlsum, best = sums[j], qsum + qd[i], qlsum + qual[i], float(fit[j])
-            rows.append((r["query_id"], r["table_name"], best, [cols[i]["name"] for i in sorted(chosen)]))
-        return pd.DataFrame(rows, columns=["query_id", "table_name", "fitness", "selected"])
-
-    return tc.groupBy("query_id", "table_name").applyInPandas(run, GREEDY)
-
-
-def select_columns(tc: DataFrame, exhaustive_max: int = 12) -> DataFrame:
-    """C6 for narrow tables, C7 for wide ones; (query_id, table_name, fitness, selected)."""
-    narrow = best_subsets(subset_scores(tc.where(F.col("n") <= exhaustive_max)))
-    wide = greedy_subsets(tc.where(F.col("n") > exhaustive_max))
-    return narrow.select("query_id", "table_name", "fitness", "selected").unionByName(wide)
+    """Per (query, table) the best given subset; ties (to 1e-10) go to the smaller id."""
+    key = F.struct(F.round("fitness", 10), -F.col("subset_id"))
+    best = scores.groupBy("query_id", "table_name").agg(F.max_by(F.struct("subset_id", "fitness", "k"), key).alias("b"))
+    return best.select("query_id", "table_name", "b.subset_id", "b.fitness", "b.k")
+
+
+def select_columns(tc: DataFrame) -> DataFrame:
+    """Forward selection - add the column of the best fitness (to 1e-10; ties: lowest
+    ordinal) while the fitness grows. (query_id, table_name, fitness, selected)."""
+    zero = F.lit(0.0).cast("double")
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    start = F.struct(F.array().cast("array<int>").alias("chosen"), F.transform(every, lambda i: zero).alias("gv"),
+                     zero.alias("gss"), zero.alias("qs"), zero.alias("qls"), zero.alias("best"), F.lit(False).alias("done"))
+
+    def step(s, at):
+        def fit(i):
+            den = F.col("qnorm") * F.sqrt(F.greatest(s["gss"] + 2 * s["gv"][i] + F.col("gram")[i][i], zero))
+            sem = F.when(den == 0, zero).otherwise((s["qs"] + F.col("qdot")[i]) / den)
+            value = (W_SEMANTIC * sem + W_QUALITY * (s["qls"] + F.col("quality")[i]) / (at + 1) + W_SIZE / (2.0 + at))
+            return F.struct(F.when(F.array_contains(s["chosen"], i), F.lit(-1e9)).otherwise(F.round(value, 10)).alias("f"),
+                            (-i).alias("i"))
+
+        def moved(top):
+            j = -top["i"]
+            better = F.struct(F.concat(s["chosen"], F.array(j)).alias("chosen"),
+                              F.zip_with(s["gv"], F.col("gram")[j], lambda a, b: a + b).alias("gv"),
+                              (s["gss"] + 2 * s["gv"][j] + F.col("gram")[j][j]).alias("gss"),
+                              (s["qs"] + F.col("qdot")[j]).alias("qs"), (s["qls"] + F.col("quality")[j]).alias("qls"),
+                              top["f"].alias("best"), F.lit(False).alias("done"))
+            stop = F.struct(s["chosen"].alias("chosen"), s["gv"].alias("gv"), s["gss"].alias("gss"), s["qs"].alias("qs"),
+                            s["qls"].alias("qls"), s["best"].alias("best"), F.lit(True).alias("done"))
+            return F.when(top["f"] > s["best"], better).otherwise(stop)
+
+        # a one-element array binds the step's best candidate once
+        return F.when(s["done"], s).otherwise(
+            F.element_at(F.transform(F.array(F.array_max(F.transform(every, fit))), moved), 1))
+
+    done = tc.withColumn("s", F.aggregate(every, start, step))
+    return done.select("query_id", "table_name", F.col("s.best").alias("fitness"),
+                       F.transform(F.array_sort("s.chosen"), lambda i: F.col("names")[i]).alias("selected"))
 
 
 def report(selected: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -35,13 +35,15 @@ def _zero(dim: int):
 
 def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim: int,
                  out: str = "vec", key: list[str] | None = None,
-                 encoder: Callable | None = None) -> DataFrame:
+                 encoder: Callable | dict | None = None, lang: str = "pt") -> DataFrame:
     """Add ``out`` (array<double>, length ``dim``) holding the encoding of ``text_col``.
 
     Without ``key`` distinct texts are encoded once and joined back (short,
     repeated texts: terms, templates). With ``key`` (unique texts such as
     table documents) the pooling is grouped by the key and no text is
-    shuffled for de-duplication.
+    shuffled for de-duplication. ``lang`` is the requested language (L11);
+    ``encoder`` may be one model or a dictionary by ``model_id``, in which case
+    each text goes to the model that the routing names, folded or not as it says.
     """
     if key is None:
         src = texts.select(text_col).distinct()
@@ -49,7 +51,14 @@ def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim:
     else:
         src = texts.select(*key, text_col)
         group = list(key)
-    if encoder is not None:
+    if isinstance(encoder, dict):
+        routed = route_language(src, text_col, lang, has_english_model="en" in encoder)
+        parts = [_encode_with_model(routed.where(F.col("model_id") == m), group, "text_to_embed", fn, out)
+                 for m, fn in encoder.items()]
+        vecs = parts[0]
+        for more in parts[1:]:
+            vecs = vecs.unionByName(more)
+    elif encoder is not None:
         vecs = _encode_with_model(src, group, text_col, encoder, out)
     else:
         vecs = _encode_static(src, group, text_col, word_vectors, out)
@@ -62,8 +71,10 @@ def _encode_static(texts: DataFrame, group: list[str], text_col: str, word_vecto
     norm = with_normalized(texts, text_col, "__norm")
     toks = (norm.select(*group, F.explode(F.split("__norm", TOKEN_SPLIT)).alias("__tok"))
                 .where(F.col("__tok") != ""))
+    # a text's occurrences of a token are counted before the join: a frequent token is one row per text
+    toks = toks.groupBy(*group, "__tok").agg(F.count(F.lit(1)).cast("double").alias("__n"))
     hit = toks.join(word_vectors.select(F.col("term").alias("__tok"), F.col("vec").alias("__v")), "__tok")
-    pooled = hit.groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("__v"))).alias("__m"))
+    pooled = hit.groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("__v")), F.col("__n")).alias("__m"))
     return pooled.select(*group, vector_to_array(F.col("__m")).alias(out))
 
 
@@ -82,12 +93,6 @@ def _encode_with_model(texts: DataFrame, group: list[str], text_col: str, encode
     return texts.mapInPandas(run, schema)
 
 
-def encode_terms(terms: DataFrame, term_col: str, word_vectors: DataFrame, dim: int,
-                 out: str = "vec") -> DataFrame:
-    """V6: encode expansion terms (same rules as tables: folded text)."""
-    return encode_texts(terms, term_col, word_vectors, dim, out)
-
-
 def encode_columns(columns: DataFrame, word_vectors: DataFrame, dim: int, name_col: str = "name",
                    description_col: str | None = None, out: str = "vec") -> DataFrame:
     """V7: one vector per distinct column text (name, or "name. description")."""

@@ -3,8 +3,10 @@
 ``row_number() over (order by ...)`` with no ``partition by`` moves every row
 into one task. ``with_global_rank`` instead range-partitions on the sort key,
 numbers rows inside each (ordered) partition, and adds the row count of the
-partitions before it; the per-partition counts are one row per partition, so
-broadcasting them has a proven size bound.
+partitions before it. The numbered rows are written once and both the counts
+and the ranks are taken from that table: range bounds come from samples, so two
+evaluations need not agree. The per-partition counts are one row per partition,
+so broadcasting them has a proven size bound.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semdex.session import materialize
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -25,9 +29,9 @@ def with_global_rank(df: DataFrame, order: list[Column], out: str = "rank",
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = (ranged.withColumn("__mid", F.monotonically_increasing_id())
-                    .withColumn("__pid", F.shiftright(F.col("__mid"), 33))
-                    .withColumn("__idx", F.col("__mid").bitwiseAND(F.lit(_LOW33))))
+    tagged = materialize(ranged.withColumn("__mid", F.monotonically_increasing_id())
+                         .withColumn("__pid", F.shiftright(F.col("__mid"), 33))
+                         .withColumn("__idx", F.col("__mid").bitwiseAND(F.lit(_LOW33))).drop("__mid"))
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select(
         "__pid",
@@ -35,4 +39,4 @@ def with_global_rank(df: DataFrame, order: list[Column], out: str = "rank",
          - F.col("__cnt")).alias("__off"))
     return (tagged.join(F.broadcast(offsets), "__pid")
                   .withColumn(out, (F.col("__off") + F.col("__idx")).cast("bigint"))
-                  .drop("__mid", "__pid", "__idx", "__off"))
+                  .drop("__pid", "__idx", "__off"))

@@ -1,34 +1,38 @@
 """Similarity ranking (R1-R5) as one distributed block multiply.
 
-Plan shape for ``topk_dot(corpus, probes, k)``:
+Plan shape for ``topk_dot(corpus, probes, k)`` with few probes:
 
     corpus scan -> mapInArrow(block multiply + local top-k)   (no shuffle)
                 -> exchange on probe key (probes x k x partitions rows)
                 -> window row_number <= k                     (WindowGroupLimit)
 
 The probe side (query vectors, one row per query or per candidate weight
-vector) is the small side. Its size is *checked* before it is broadcast; when
-it is above ``max_probe_bytes`` the probes are split into hash chunks that
-each fit, and the corpus is scanned once per chunk. The corpus is never
-collected, never sorted as a whole, and never joined without a key.
+vector) is fetched and broadcast only within ``max_probe_bytes``, which is
+checked. Beyond it nothing goes through the driver: probes are hashed to blocks
+that each fit, corpus rows to groups, and a cogroup multiplies every pair of
+block and group in a task of its own; a probe then meets each group once.
+Scores are rounded to 10 places before they are ranked, so equal vectors tie
+wherever they are multiplied, and ties go to the smaller corpus key.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semdex.functions.vectors import with_l2_normalized
-from semdex.session import materialize
+from semdex.operators.ordering import with_global_rank
 
 DEFAULT_MAX_PROBE_BYTES = 64 << 20
+# Fixed value: what a ranked key without an entry is called.
+UNKNOWN_KEY = "ID_%s_DESCONHECIDO"
 _BLOCK_CELLS = 1 << 22  # scores held at once per task (32 MiB of doubles)
 
 
@@ -45,72 +49,54 @@ def _as_matrix(col: pa.Array, n: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, int(lens[0]))
 
 
-def _kernel_factory(bc, k, key_type: T.DataType, probe_fields: list[T.StructField], key_out: str,
-                    score_out: str):
-    key_arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(),
-                 T.StringType(): pa.string()}.get(key_type, pa.int64())
-
-    def trim(cand: pd.DataFrame) -> pd.DataFrame:
-        # exact local top-k per probe: score desc, then corpus key asc
-        cand = cand.sort_values(["q", "s", "key"], ascending=[True, False, True], kind="mergesort")
-        return cand.groupby("q", sort=False).head(k)
-
-    def kernel(batches):
-        data = bc.value
-        P = data["P"]
-        excl = data["excl"]
-        nq = P.shape[0]
-        parts = []
-        cand = None
-        best = np.full((nq, k), -np.inf) if k else None
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0 or nq == 0:
+SCORE_PLACES = 10
+
+
+def _trim(cand: pd.DataFrame, k: int) -> pd.DataFrame:
+    # exact local top-k per probe: score desc, then corpus key asc
+    cand = cand.sort_values(["q", "s", "key"], ascending=[True, False, True], kind="mergesort")
+    return cand.groupby("q", sort=False).head(k)
+
+
+class _TopK:
+    """Scores of probes against blocks of corpus rows; keeps the best ``k`` per probe."""
+
+    def __init__(self, P: np.ndarray, excl, k: int | None):
+        self.P, self.excl, self.k = P, excl, k
+        self.best = np.full((P.shape[0], k), -np.inf) if k else None
+        self.cand = None
+
+    def add(self, keys: np.ndarray, Tm: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Takes a block in; without ``k`` yields its scores (q, key, s) at once."""
+        if Tm.shape[1] != self.P.shape[1]:
+            raise ValueError(f"dimension mismatch: corpus {Tm.shape[1]} vs probes {self.P.shape[1]}")
+        step = max(1, _BLOCK_CELLS // max(self.P.shape[0], 1))
+        for lo in range(0, len(keys), step):
+            kb = keys[lo:lo + step]
+            S = np.round(self.P @ Tm[lo:lo + step].T, SCORE_PLACES) + 0.0
+            if not np.isfinite(S).all():
+                raise ValueError("a score is not a number: vectors must be finite")
+            if self.excl is not None:
+                S[self.excl[:, None] == kb[None, :]] = -np.inf
+            if self.k is None:
+                qi, tj = np.nonzero(np.isfinite(S))
+                yield pd.DataFrame({"q": qi, "key": kb[tj], "s": S[qi, tj]})
                 continue
-            keys = rb.column(0).to_numpy(zero_copy_only=False)
-            Tm = _as_matrix(rb.column(1), n)
-            if Tm.shape[1] != P.shape[1]:
-                raise ValueError(f"dimension mismatch: corpus {Tm.shape[1]} vs probes {P.shape[1]}")
-            step = max(1, _BLOCK_CELLS // max(nq, 1))
-            for lo in range(0, n, step):
-                kb = keys[lo:lo + step]
-                S = P @ Tm[lo:lo + step].T
-                if excl is not None:
-                    S[excl[:, None] == kb[None, :]] = -np.inf
-                if k:
-                    comb = np.concatenate([best, S], axis=1)
-                    best = np.partition(comb, comb.shape[1] - k, axis=1)[:, comb.shape[1] - k:]
-                    kth = best.min(axis=1)
-                    qi, tj = np.nonzero((S >= kth[:, None]) & np.isfinite(S))
-                    new = pd.DataFrame({"q": qi, "key": kb[tj], "s": S[qi, tj]})
-                    cand = trim(new if cand is None else pd.concat([cand, new], ignore_index=True))
-                else:
-                    qi, tj = np.nonzero(np.isfinite(S))
-                    parts.append(pd.DataFrame({"q": qi, "key": kb[tj], "s": S[qi, tj]}))
-        if k:
-            if cand is None or cand.empty:
-                return
-            out = cand
-        else:
-            if not parts:
-                return
-            out = pd.concat(parts, ignore_index=True)
-        qi = out["q"].to_numpy()
-        cols, names = [], []
-        for f in probe_fields:
-            cols.append(pa.array(data["keys"][f.name][qi]))
-            names.append(f.name)
-        cols.append(pa.array(out["key"].to_numpy(), type=key_arrow))
-        names.append(key_out)
-        cols.append(pa.array(out["s"].to_numpy(), type=pa.float64()))
-        names.append(score_out)
-        yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return kernel
-
-
-def _numpy_keys(tbl: pa.Table, fields: list[T.StructField]) -> dict:
-    return {f.name: tbl.column(f.name).to_numpy(zero_copy_only=False) for f in fields}
+            comb = np.concatenate([self.best, S], axis=1)
+            self.best = np.partition(comb, comb.shape[1] - self.k, axis=1)[:, comb.shape[1] - self.k:]
+            qi, tj = np.nonzero((S >= self.best.min(axis=1)[:, None]) & np.isfinite(S))
+            new = pd.DataFrame({"q": qi, "key": kb[tj], "s": S[qi, tj]})
+            self.cand = _trim(new if self.cand is None else pd.concat([self.cand, new], ignore_index=True), self.k)
+
+    def batch(self, rows: pd.DataFrame, probe_keys: dict, key_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        qi = rows["q"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(v[qi]) for v in probe_keys.values()]
+                                          + [pa.array(rows["key"].to_numpy(), type=key_type),
+                                             pa.array(rows["s"].to_numpy(), type=pa.float64())], names=names)
+
+
+def _matrix(tbl: pa.Table, col: str) -> np.ndarray:
+    return _as_matrix(tbl.column(col), tbl.num_rows) if tbl.num_rows else np.zeros((0, 1))
 
 
 def topk_dot(corpus: DataFrame, key: str, vec: str, probes: DataFrame, probe_keys: list[str],
@@ -122,52 +108,64 @@ def topk_dot(corpus: DataFrame, key: str, vec: str, probes: DataFrame, probe_key
     Ties are broken by corpus key ascending; ``k=None`` ranks the whole corpus.
     ``exclude_col`` (on probes) names a corpus key to skip for that probe.
     Returns probe keys + ``key`` + ``score`` (double) + ``rank`` (bigint, 1-based).
-
-    The probe side is collected only within ``max_probe_bytes``: with a known
-    ``dim`` one bounded collect (``limit(max_rows + 1)``) both checks and
-    fetches it; otherwise (or when it is larger) it is counted first and split
-    into hash chunks that each fit.
+    A vector that is not finite raises an error.
     """
     spark = corpus.sparkSession
     cols = probe_keys + [probe_vec] + ([exclude_col] if exclude_col else [])
     key_type = corpus.schema[key].dataType
-    probe_fields = [probes.schema[c] for c in probe_keys]
-    out_schema = T.StructType(probe_fields + [T.StructField(key, key_type),
-                                              T.StructField(score_col, T.DoubleType())])
-    tables = None
-    persisted = None
-    if dim:
-        max_rows = max(1, max_probe_bytes // (8 * dim))
-        tbl = probes.select(*cols).limit(max_rows + 1).toArrow()
-        if tbl.num_rows <= max_rows:
-            tables = [tbl]
-    if tables is None:
-        persisted = probes.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-        stats = persisted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(probe_vec)).alias("d")).collect()[0]
-        n, d = int(stats["n"]), int(stats["d"] or 0)
-        chunks = max(1, math.ceil(n * max(d, 1) * 8 / max_probe_bytes))
-        if chunks == 1:
-            tables = [persisted.toArrow()]
-        else:
-            tagged = materialize(persisted.withColumn(
-                "__chunk", F.pmod(F.xxhash64(*[F.col(c) for c in probe_keys]), F.lit(chunks))))
-            tables = [tagged.where(F.col("__chunk") == c).select(*cols).toArrow() for c in range(chunks)]
-    scored = None
-    for tbl in tables:
-        P = (_as_matrix(tbl.column(probe_vec), tbl.num_rows) if tbl.num_rows
-             else np.zeros((0, max(dim or 1, 1))))
+    key_arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}.get(key_type, pa.int64())
+    names = [*probe_keys, key, score_col]
+    out_schema = T.StructType([probes.schema[c] for c in probe_keys]
+                              + [T.StructField(key, key_type), T.StructField(score_col, T.DoubleType())])
+    # one bounded fetch both checks and takes a small probe side
+    rows = max(1, max_probe_bytes // (8 * (dim or 64)))
+    small = probes.select(*cols).limit(rows + 1).toArrow()
+
+    def held(tbl: pa.Table) -> tuple:
         excl = tbl.column(exclude_col).to_numpy(zero_copy_only=False) if exclude_col else None
-        bc = spark.sparkContext.broadcast({"P": P, "excl": excl, "keys": _numpy_keys(tbl, probe_fields)})
-        kern = _kernel_factory(bc, k, key_type, probe_fields, key, score_col)
-        one = corpus.select(key, vec).mapInArrow(kern, out_schema)
-        scored = one if scored is None else scored.unionByName(one)
-    if persisted is not None:
-        persisted.unpersist()
+        return _matrix(tbl, probe_vec), excl, {c: tbl.column(c).to_numpy(zero_copy_only=False) for c in probe_keys}
+
+    def run(side: tuple, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        P, excl, keys = side
+        if not P.shape[0]:
+            return
+        top = _TopK(P, excl, k)
+        for kb, Tm in blocks:
+            for part in top.add(kb, Tm):
+                yield top.batch(part, keys, key_arrow, names)
+        if top.cand is not None and len(top.cand):
+            yield top.batch(top.cand, keys, key_arrow, names)
+
+    if small.num_rows <= rows:
+        bc = spark.sparkContext.broadcast(held(small))
+
+        def kernel(batches):
+            yield from run(bc.value, ((rb.column(0).to_numpy(zero_copy_only=False), _as_matrix(rb.column(1), rb.num_rows))
+                                      for rb in batches if rb.num_rows))
+
+        scored = corpus.select(key, vec).mapInArrow(kernel, out_schema)
+    else:
+        groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = math.ceil(probes.count() / rows)
+        left = (corpus.select(key, vec).withColumn("__g", F.pmod(F.xxhash64(key), F.lit(groups)))
+                      .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")))
+        right = (probes.select(*cols).withColumn("__b", F.pmod(F.xxhash64(*probe_keys), F.lit(blocks)))
+                       .withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("bigint")))
+
+        def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+            pair = [(a.column(key).to_numpy(zero_copy_only=False), _matrix(a, vec))] if a.num_rows else []
+            found = list(run(held(b), iter(pair)))
+            empty = pa.schema([*(b.schema.field(c) for c in probe_keys), pa.field(key, key_arrow), pa.field(score_col, pa.float64())])
+            return pa.Table.from_batches(found) if found else empty.empty_table()
+
+        scored = left.groupBy("__g", "__b").cogroup(right.groupBy("__g", "__b")).applyInArrow(cell, out_schema)
+    if k is None:
+        # the order of a whole corpus is not one task's work: rank all rows, then count from each probe's first
+        total = with_global_rank(scored, [*[F.col(c).asc() for c in probe_keys], F.col(score_col).desc(), F.col(key).asc()], "__r")
+        first = total.groupBy(*probe_keys).agg(F.min("__r").alias("__r0"))
+        return total.join(first, probe_keys).withColumn(rank_col, F.col("__r") - F.col("__r0") + 1).drop("__r", "__r0")
     w = Window.partitionBy(*probe_keys).orderBy(F.col(score_col).desc(), F.col(key).asc())
-    ranked = scored.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
-    if k:
-        ranked = ranked.where(F.col(rank_col) <= k)
-    return ranked
+    return scored.withColumn(rank_col, F.row_number().over(w).cast("bigint")).where(F.col(rank_col) <= k)
 
 
 def rank_tables(tables: DataFrame, query_vectors: DataFrame, k: int | None = None,
@@ -197,3 +195,10 @@ def nearest_terms(word_vectors: DataFrame, queries: DataFrame, topn: int = 300)
     return (hits.join(unit.select("rank", "term"), "rank")
                 .join(queries, "query_id")
                 .select("query_id", "query", "nb_rank", "term", "raw_score"))
+
+
+def label_unknown(ranked: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
+    """``table_name`` of each ranked key; a key that the catalogue doesn't have gets a label."""
+    known = catalogue.select(F.col(key), "table_name")
+    return (ranked.join(known, key, "left")
+                  .withColumn("table_name", F.coalesce("table_name", F.format_string(UNKNOWN_KEY, F.col(key).cast("string")))))

@@ -5,7 +5,8 @@ tests. Fragments are composed as CTEs over the pre-registered test views.
 
 from __future__ import annotations
 
-from semdex.functions.text import STOP_WORDS
+from semdex.functions.text import COLUMN_PREFIXES, CONTEXT_TEMPLATES, STOP_WORDS, TABLE_PREFIXES
+from semdex.sources.testdata import KEYWORD_IDS, TURN_IDS
 
 ASCII_WS = r"[ \t\n\r\x0b\x0c\x1c-\x1f]+"
 
@@ -31,23 +32,29 @@ toks AS (SELECT doc_id, lang, unnest(regexp_split_to_array(norm, '[^a-z0-9]+'))
 vocab AS (
   SELECT (row_number() OVER (ORDER BY cnt DESC, token) - 1)::BIGINT AS rank, token AS term, cnt
   FROM (SELECT token, count(*)::BIGINT AS cnt FROM toks WHERE token <> '' GROUP BY token)),
-wv AS (SELECT v.rank, v.term, e.embedding::DOUBLE[] AS vec FROM vocab v JOIN embeddings e ON e.vec_id = v.rank)
+n_emb AS (SELECT count(*) AS n, any_value(len(embedding)) AS d FROM embeddings),
+wv AS (SELECT v.rank, v.term, list_concat(list_slice(e.embedding, (v.rank // n) % d + 1, d),
+                                          list_slice(e.embedding, 1, (v.rank // n) % d))::DOUBLE[] AS vec
+       FROM vocab v, n_emb JOIN embeddings e ON e.vec_id = v.rank % n)
 """
 
-QUERIES = """
+def queries_cte() -> str:
+    return f"""
+qtexts AS (
+  SELECT item_id AS query_id, text AS query FROM benchmark
+  UNION ALL SELECT {TURN_IDS} + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'),
+qwords AS (
+  SELECT DISTINCT first(token ORDER BY c DESC, token) AS term FROM (
+    SELECT query_id, token, count(*) AS c FROM (
+      SELECT query_id, unnest(regexp_split_to_array({t1('query')}, '[^a-z0-9]+')) AS token FROM qtexts)
+    WHERE token <> '' GROUP BY ALL) GROUP BY query_id),
 queries AS (
-  SELECT rank AS query_id, term AS query FROM vocab WHERE rank < {n}
-  UNION ALL
-  SELECT {n}::BIGINT, arg_min(term, rank) FROM vocab WHERE rank NOT IN (SELECT rank FROM wv) HAVING count(*) > 0
-  UNION ALL
-  SELECT {n1}::BIGINT, '')
+  SELECT query_id::BIGINT AS query_id, query FROM qtexts
+  UNION ALL SELECT {KEYWORD_IDS} + rank, term FROM vocab JOIN qwords USING (term)
+  UNION ALL SELECT -1, '')
 """
 
 
-def queries_cte(n: int = 10) -> str:
-    return QUERIES.format(n=n, n1=n + 1)
-
-
 def encode_cte(name: str, src: str, key: str, text: str) -> str:
     """Static encoder over ``src`` (key, text): mean of word vectors of tokens."""
     return f"""
@@ -79,20 +86,19 @@ def py_split(expr: str) -> str:
 
 def expand_table_name(expr: str) -> str:
     b = f"replace({py_lower_strip(expr)}, '_', ' ')"
-    pairs = [("tb", "tabela"), ("ta", "associacao"), ("tl", "lista"), ("rl", "relacao"), ("dim", "dimensao")]
-    whens = " ".join(f"WHEN starts_with({b}, '{s} ') THEN '{w} ' || substr({b}, {len(s) + 2})" for s, w in pairs)
+    whens = " ".join(f"WHEN starts_with({b}, '{s} ') THEN '{w} ' || substr({b}, {len(s) + 2})" for s, w in TABLE_PREFIXES)
     return f"(CASE {whens} ELSE {b} END)"
 
 
 def strip_column_prefixes(expr: str) -> str:
     b = f"replace({py_lower_strip(expr)}, '_', ' ')"
-    return f"regexp_replace({b}, '^(co )?(id )?(cd )?(dt )?(st )?(tp )?(ds )?(nr )?', '')"
+    return f"regexp_replace({b}, '^{''.join(f'({p} )?' for p in COLUMN_PREFIXES)}', '')"
 
 
 CATALOGUE = """
 cat_entries AS (
   SELECT doc_id AS seq,
-    ['tb_','ta_','tl_','rl_','dim_',''][(doc_id % 6) + 1] || lang || '_' || substr(md5(text), 1, 8) AS table_name,
+    ['tb_','ta_','tl_','rl_','dim_',''][(doc_id % 6) + 1] || lang || '_' || md5(text) AS table_name,
     source AS schema,
     CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS row_count,
     CASE WHEN doc_id % 5 <> 0 THEN ['id_' || lang] END AS primary_key,
@@ -106,11 +112,12 @@ cat_cols AS (
   SELECT seq, table_name, (i - 1)::BIGINT AS ord,
     ['co_','id_','cd_','dt_','st_','tp_','ds_','nr_','co_id_','id_co_',''][((i - 1) % 11) + 1]
       || regexp_replace(line, ' +', '_', 'g') AS name,
+    CASE WHEN (i - 1) % 2 = 1 THEN line END AS description,
     len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS n_words,
     len(list_distinct(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS n_distinct
   FROM cat_lines),
 cat_cols_stats AS (
-  SELECT seq, table_name, ord, name, 'text' AS type,
+  SELECT seq, table_name, ord, name, description, 'text' AS type,
     CASE WHEN n_words > 0 THEN round(1.0 - n_distinct / n_words, 6) END AS null_fraction,
     n_distinct::BIGINT AS distinct_count
   FROM cat_cols),
@@ -142,7 +149,7 @@ def r3_pairs_cte(topn: int = 300) -> str:
     return f"""
 u AS (SELECT rank, term, {unit('vec')} AS vec FROM wv),
 nb_hits AS (
-  SELECT q.query_id, q.query, t.term, list_dot_product(s.vec, t.vec) AS raw_score, t.rank AS t_rank
+  SELECT q.query_id, q.query, t.term, round(list_dot_product(s.vec, t.vec), 10) AS raw_score, t.rank AS t_rank
   FROM queries q JOIN u s ON s.term = q.query JOIN u t ON t.rank <> s.rank),
 nb_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, t_rank) AS nb_rank FROM nb_hits),
 pairs AS (SELECT query_id, query, nb_rank, term, raw_score FROM nb_ranked WHERE nb_rank <= {topn})
@@ -150,9 +157,7 @@ pairs AS (SELECT query_id, query, nb_rank, term, raw_score FROM nb_ranked WHERE
 
 
 def templates_sql(w: str) -> str:
-    return (f"['The condition is related to ' || {w} || '.', "
-            f"'Clinical features associated with ' || {w} || ' include .', "
-            f"{w} || ' is associated with', {w} || ' is a risk factor for']")
+    return "[" + ", ".join("'" + t.replace("{}", f"' || {w} || '", 1).replace("{}", "") + "'" for t in CONTEXT_TEMPLATES) + "]"
 
 
 CONTEXT = f"""
@@ -203,7 +208,7 @@ vq_dims AS (SELECT query_id, ind, i, sum(wnorm * x) AS x FROM (
 vq_raw AS (SELECT query_id, ind, list(x ORDER BY i) AS raw FROM vq_dims GROUP BY ALL),
 vq AS (SELECT query_id, ind, raw, {unit('raw')} AS vec FROM vq_raw),
 tu AS (SELECT vec_id, {unit('embedding::DOUBLE[]')} AS vec FROM embeddings),
-sc AS (SELECT v.query_id, v.ind, t.vec_id, list_dot_product(v.vec, t.vec) AS score,
+sc AS (SELECT v.query_id, v.ind, t.vec_id, round(list_dot_product(v.vec, t.vec), 10) AS score,
               sqrt(list_dot_product(v.vec, v.vec)) AS qn, sqrt(list_dot_product(t.vec, t.vec)) AS tn
        FROM vq v, tu t),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, ind ORDER BY score DESC, vec_id) AS rank FROM sc),
@@ -237,42 +242,72 @@ g7 AS (SELECT g23.query_id, g23.ind, g23.sum_topk, g23.table_align, g4.penalty,
 def features_cte(top_n: int = 5) -> str:
     return f"""
 scored_t AS (SELECT q.query_id, t.table_name,
-                    list_dot_product({unit('q.vec')}, {unit('t.vec')}) AS score FROM qv q, tv t),
+                    round(list_dot_product({unit('q.vec')}, {unit('t.vec')}), 10) AS score FROM qv q, tv t),
 top5 AS (SELECT query_id, table_name FROM (
    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_name) AS rank FROM scored_t)
    WHERE rank <= {top_n}),
-tcols AS (SELECT table_name, ord, name, null_fraction, distinct_count FROM cat_columns
-          WHERE table_name IN (SELECT table_name FROM top5)),
-cnames AS (SELECT DISTINCT name FROM tcols),
-{encode_cte('cenc', 'cnames', 'name', 'name')},
+tcols AS (SELECT table_name, ord, name, name || coalesce('. ' || description, '') AS ctext, null_fraction, distinct_count
+          FROM cat_columns WHERE table_name IN (SELECT table_name FROM top5)),
+cnames AS (SELECT DISTINCT ctext FROM tcols),
+{encode_cte('cenc', 'cnames', 'ctext', 'ctext')},
 ncol AS (SELECT table_name, count(*) AS n FROM tcols GROUP BY ALL),
 cq AS (SELECT t.query_id, c.table_name, c.ord, c.name, list_dot_product(q.vec, e.vec) AS qd,
          (1.0 - coalesce(c.null_fraction, 0.0)) * (1.0 - 1.0 / (CASE WHEN coalesce(c.distinct_count, 1) = 0
             THEN 1 ELSE coalesce(c.distinct_count, 1) END)) AS quality
-       FROM top5 t JOIN tcols c USING (table_name) JOIN cenc e ON e.name = c.name JOIN qv q ON q.query_id = t.query_id),
+       FROM top5 t JOIN tcols c USING (table_name) JOIN cenc e ON e.ctext = c.ctext JOIN qv q ON q.query_id = t.query_id),
 qnrm AS (SELECT query_id, sqrt(list_dot_product(vec, vec)) AS qnorm FROM qv),
-gram AS (SELECT a.table_name, a.ord AS i, b.ord AS j, list_dot_product(ea.vec, eb.vec) AS g
-         FROM tcols a JOIN tcols b USING (table_name) JOIN cenc ea ON ea.name = a.name JOIN cenc eb ON eb.name = b.name
-         WHERE a.table_name IN (SELECT table_name FROM ncol WHERE n <= 12)),
-masks AS (SELECT t.query_id, t.table_name, unnest(range(1, (1::BIGINT << n))) AS mask
-          FROM top5 t JOIN ncol USING (table_name) WHERE n <= 12),
-mem AS (SELECT m.query_id, m.table_name, m.mask, c.ord, c.name, c.qd, c.quality
-        FROM masks m JOIN cq c USING (query_id, table_name) WHERE (m.mask >> c.ord) & 1 = 1),
-agg1 AS (SELECT query_id, table_name, mask, count(*) AS k, sum(qd) AS qsum, sum(quality) AS qual
-         FROM mem GROUP BY ALL),
-agg2 AS (SELECT a.query_id, a.table_name, a.mask, sum(g.g) AS gsum
-         FROM mem a JOIN mem b USING (query_id, table_name, mask)
-         JOIN gram g ON g.table_name = a.table_name AND g.i = a.ord AND g.j = b.ord GROUP BY ALL),
-subs AS (SELECT a1.query_id, a1.table_name, a1.mask, a1.k,
-           CASE WHEN q.qnorm * sqrt(greatest(a2.gsum, 0.0)) = 0 THEN 0.0
-                ELSE a1.qsum / (q.qnorm * sqrt(greatest(a2.gsum, 0.0))) END AS semantic,
-           a1.qual / a1.k AS quality, 1.0 / (1.0 + a1.k) AS size_term
-         FROM agg1 a1 JOIN agg2 a2 USING (query_id, table_name, mask) JOIN qnrm q USING (query_id)),
-fit AS (SELECT *, 0.7 * semantic + 0.2 * quality + 0.1 * size_term AS fitness FROM subs),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, table_name
-                                                  ORDER BY round(fitness, 10) DESC, mask) AS r FROM fit) WHERE r = 1),
-bsel AS (SELECT b.query_id, b.table_name, b.mask, b.fitness, m.ord, m.name
-         FROM best b JOIN mem m USING (query_id, table_name, mask))
+gram AS (SELECT table_name, i, list(g ORDER BY j) AS g FROM (
+           SELECT a.table_name, a.ord AS i, b.ord AS j, list_dot_product(ea.vec, eb.vec) AS g
+           FROM tcols a JOIN tcols b USING (table_name) JOIN cenc ea ON ea.ctext = a.ctext JOIN cenc eb ON eb.ctext = b.ctext)
+         GROUP BY ALL)
+"""
+
+
+# Subsets given by rule, whatever the width: single columns, prefixes, all but one
+SUBSETS = """
+subs AS (
+  SELECT table_name, i AS subset_id, i AS ord FROM ncol, range(n) r(i)
+  UNION ALL SELECT table_name, 1000000 + i, j FROM ncol, range(n) r(i), range(i + 1) m(j)
+  UNION ALL SELECT table_name, 2000000 + i, j FROM ncol, range(n) r(i), range(n) m(j) WHERE j <> i),
+svec AS (SELECT table_name, subset_id, list(x ORDER BY i) AS vec FROM (
+    SELECT s.table_name, s.subset_id, i, sum(x) AS x FROM subs s JOIN (
+      SELECT c.table_name, c.ord, unnest(e.vec) AS x, generate_subscripts(e.vec, 1) AS i
+      FROM tcols c JOIN cenc e ON e.ctext = c.ctext) c ON c.table_name = s.table_name AND c.ord = s.ord GROUP BY ALL) GROUP BY ALL),
+sq AS (SELECT t.query_id, s.table_name, s.subset_id, count(*) AS k, avg(c.quality) AS quality
+       FROM top5 t JOIN subs s USING (table_name) JOIN cq c ON c.query_id = t.query_id AND c.table_name = s.table_name AND c.ord = s.ord
+       GROUP BY ALL),
+fit AS (SELECT *, 0.7 * semantic + 0.2 * quality + 0.1 * size_term AS fitness FROM (
+  SELECT q.query_id, q.table_name, q.subset_id, q.k, q.quality, 1.0 / (1.0 + q.k) AS size_term,
+         CASE WHEN n.qnorm * sqrt(list_dot_product(v.vec, v.vec)) = 0 THEN 0.0
+              ELSE list_dot_product(qv.vec, v.vec) / (n.qnorm * sqrt(list_dot_product(v.vec, v.vec))) END AS semantic
+  FROM sq q JOIN svec v USING (table_name, subset_id) JOIN qv USING (query_id) JOIN qnrm n USING (query_id))),
+best AS (SELECT query_id, table_name, subset_id, fitness, k FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, table_name ORDER BY round(fitness, 10) DESC, subset_id) AS r FROM fit) WHERE r = 1)
+"""
+
+# Forward greedy selection, one column a step while the fitness (to 10 places) grows
+GREEDY = """
+gbase AS (SELECT c.query_id, c.table_name, count(*) AS n, any_value(q.qnorm) AS qn, list(c.qd ORDER BY c.ord) AS qd,
+                 list(c.quality ORDER BY c.ord) AS ql, list(c.name ORDER BY c.ord) AS names
+          FROM cq c JOIN qnrm q USING (query_id) GROUP BY ALL),
+gmat AS (SELECT table_name, list(g ORDER BY i) AS g FROM gram GROUP BY ALL),
+greedy AS (
+  SELECT query_id, table_name, 0::BIGINT AS step, []::BIGINT[] AS chosen, list_transform(range(n), lambda i: 0.0::DOUBLE) AS gv,
+         0.0::DOUBLE AS gss, 0.0::DOUBLE AS qs, 0.0::DOUBLE AS qls, 0.0::DOUBLE AS best FROM gbase
+  UNION ALL
+  SELECT query_id, table_name, step + 1, list_append(chosen, j), list_transform(range(n), lambda i: gv[i + 1] + g[j + 1][i + 1]),
+         gss + 2 * gv[j + 1] + g[j + 1][j + 1], qs + qd[j + 1], qls + ql[j + 1], top
+  FROM (SELECT *, list_position(fits, top) - 1 AS j FROM (SELECT *, list_max(fits) AS top FROM (
+    SELECT s.*, b.n, b.qd, b.ql, m.g, list_transform(range(b.n), lambda i: CASE WHEN list_contains(s.chosen, i) THEN -1e9 ELSE round(
+        0.7 * (CASE WHEN b.qn * sqrt(greatest(s.gss + 2 * s.gv[i + 1] + m.g[i + 1][i + 1], 0.0)) = 0 THEN 0.0
+               ELSE (s.qs + b.qd[i + 1]) / (b.qn * sqrt(greatest(s.gss + 2 * s.gv[i + 1] + m.g[i + 1][i + 1], 0.0))) END)
+        + 0.2 * (s.qls + b.ql[i + 1]) / (s.step + 1) + 0.1 / (2.0 + s.step), 10) END) AS fits
+    FROM greedy s JOIN gbase b USING (query_id, table_name) JOIN gmat m USING (table_name) WHERE s.step < b.n)))
+  WHERE top > best),
+picked AS (SELECT query_id, table_name, best AS fitness, list_sort(chosen) AS chosen FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, table_name ORDER BY step DESC) AS r FROM greedy) WHERE r = 1),
+bsel AS (SELECT query_id, table_name, fitness, list_transform(chosen, lambda i: names[i + 1]) AS cols
+         FROM picked JOIN gbase USING (query_id, table_name))
 """
 
 

@@ -17,12 +17,9 @@ from semdex.sources import testdata as td
 
 
 class Inputs:
-    def __init__(self, spark: SparkSession, sf_dir: str, n_queries: int = 10,
-                 vocab_cut: int | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.n_queries = n_queries
-        self.vocab_cut = vocab_cut
 
     def table(self, name: str) -> DataFrame:
         return td.table(self.spark, self.sf_dir, name)
@@ -41,7 +38,7 @@ class Inputs:
 
     @cached_property
     def word_vectors(self) -> DataFrame:
-        return materialize(td.word_vectors(self.spark, self.sf_dir, self.vocab, self.vocab_cut))
+        return materialize(td.word_vectors(self.spark, self.sf_dir, self.vocab))
 
     @cached_property
     def dim(self) -> int:
@@ -49,8 +46,7 @@ class Inputs:
 
     @cached_property
     def queries(self) -> DataFrame:
-        return materialize(td.query_batch(self.spark, self.sf_dir, self.n_queries, self.vocab,
-                                          self.word_vectors))
+        return materialize(td.query_batch(self.spark, self.sf_dir, self.vocab))
 
     @cached_property
     def tables(self) -> DataFrame:
@@ -70,8 +66,5 @@ class Inputs:
     @cached_property
     def catalogue_vectors(self) -> DataFrame:
         """(table_name, document, vec) for every table with a non-empty document."""
-        from semdex.operators.encode import encode_texts
-        from semdex.operators.keywords import split_empty_documents, table_documents
-        kept, _ = split_empty_documents(materialize(table_documents(self.catalogue)))
-        vecs = encode_texts(kept, "document", self.word_vectors, self.dim, key=["table_name"])
-        return materialize(vecs)
+        from semdex.plans.index import index_tables
+        return materialize(index_tables(self.catalogue_entries, self.word_vectors, self.dim)[0])

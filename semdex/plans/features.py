@@ -1,8 +1,8 @@
 """Feature analysis (C10): best columns of the top-N tables of each query.
 
 ranking (R5, top N per query) -> column explosion (L3) -> column encoding
-(V7, distinct names once) -> per (query, table) column arrays -> exhaustive
-subsets for narrow tables / greedy for wide ones (C6, C7) -> report (C8, C9).
+(V7, distinct texts once) -> Gram matrix per table -> greedy selection per
+(query, table) (C7) -> report (C8, C9).
 The query vector is the encoding of the unexpanded query.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semdex.functions.vectors import with_l2_normalized
-from semdex.operators.columns import report, select_columns, table_columns
+from semdex.operators.columns import report, select_columns, table_arrays, table_columns
 from semdex.operators.encode import encode_columns, encode_texts
 from semdex.operators.lookup import explode_columns, with_metadata
 from semdex.operators.rank import rank_tables
@@ -32,10 +32,11 @@ class FeatureInputs:
         top = with_metadata(ranking.where(F.col("rank") <= top_n), catalogue)
         self.top = materialize(top.select("query_id", "table_name", "rank", "score"))
         cols = explode_columns(catalogue.join(self.top.select("table_name").distinct(), "table_name", "left_semi"))
-        cols = encode_columns(cols, word_vectors, dim)
-        self.tc = materialize(table_columns(self.top.select("query_id", "table_name"), cols, self.qvecs))
+        cols = encode_columns(cols, word_vectors, dim, description_col="description")
+        self.tables = materialize(table_arrays(cols))
+        self.tc = table_columns(self.top.select("query_id", "table_name"), self.tables, self.qvecs)
 
 
-def feature_pipeline(fi: FeatureInputs, catalogue: DataFrame, exhaustive_max: int = 12) -> DataFrame:
+def feature_pipeline(fi: FeatureInputs, catalogue: DataFrame) -> DataFrame:
     """Report records for every (query, top table) with selected columns."""
-    return report(select_columns(fi.tc, exhaustive_max), catalogue)
+    return report(select_columns(fi.tc), catalogue)

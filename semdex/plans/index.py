@@ -2,13 +2,13 @@
 
 One lazy plan: S2 (key) -> T2..T6 (documents, per row) -> T7 (drop empty) ->
 V5 (token join + pooled mean, shuffled by table name) -> S5 (parquet sink).
-The documents are written once (``materialize``): the fold check, the
-encoder and the final join would otherwise each re-run the keyword rules.
+The documents are written once (``materialize``): the encoder and the final join
+would otherwise each re-run the keyword rules.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semdex.operators.encode import encode_texts
@@ -41,3 +41,19 @@ def write_learned_weights(weights: DataFrame, path: str) -> None:
     """Append one run of learned weights, stamped with the run time."""
     (weights.withColumn("run_ts", F.unix_timestamp(F.current_timestamp()))
             .write.mode("append").partitionBy("run_ts").parquet(path))
+
+
+def read_table_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(table_name, vec) of an index that ``write_table_vectors`` stored."""
+    return spark.read.schema("table_name string, vec array<double>").parquet(path)
+
+
+def read_learned_weights(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, pos, w, run_ts) of all runs; the newest has the largest ``run_ts``."""
+    return spark.read.parquet(path)
+
+
+def read_word_vectors(spark: SparkSession, path: str, cut: int | None = None) -> DataFrame:
+    """S3: (rank, term, vec) from a stored table of word vectors, by frequency rank, cut at ``cut``."""
+    vectors = spark.read.parquet(path)
+    return (vectors if cut is None else vectors.where(F.col("rank") < cut)).select("rank", "term", "vec")

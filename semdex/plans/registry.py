@@ -48,14 +48,14 @@ def t1_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("s3_word_vectors", f"""
 WITH {O.VOCAB}
-SELECT v.rank, v.term, v.cnt, (w.rank IS NOT NULL) AS has_vector
-FROM vocab v LEFT JOIN wv w ON w.rank = v.rank
+SELECT v.rank, v.term, v.cnt, round(list_sum(list_transform(w.vec, lambda x, i: x * i)), 5) AS vsum
+FROM vocab v JOIN wv w ON w.rank = v.rank
 """)
 def s3_word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     ctx = Inputs(spark, sf)
-    has = ctx.word_vectors.select("rank", F.lit(True).alias("has_vector"))
-    return (ctx.vocab.join(has, "rank", "left")
-               .select("rank", "term", "cnt", F.coalesce("has_vector", F.lit(False)).alias("has_vector")))
+    vsum = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return ctx.word_vectors.join(ctx.vocab.select("rank", "cnt"), "rank").select(
+        "rank", "term", "cnt", F.round(vsum, 5).alias("vsum"))
 
 
 # --- R1/R2: ranking of all tables for each query vector ---------------------
@@ -69,7 +69,7 @@ _RANK_SQL = f"""
 WITH {O.VOCAB}, {O.queries_cte()}, {O.encode_cte('qv', 'queries', 'query_id', 'query')},
 scored AS (
   SELECT q.query_id, e.vec_id AS table_id,
-         list_dot_product({O.unit('q.vec')}, {O.unit('e.embedding::DOUBLE[]')}) AS score
+         round(list_dot_product({O.unit('q.vec')}, {O.unit('e.embedding::DOUBLE[]')}), 10) AS score
   FROM qv q, embeddings e),
 ranked AS (SELECT query_id, table_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) AS rank FROM scored)
@@ -97,7 +97,7 @@ def r2_topk_ranking(spark: SparkSession, sf: str) -> DataFrame:
 WITH {O.VOCAB}, {O.queries_cte()},
 u AS (SELECT rank, term, {O.unit('vec')} AS vec FROM wv),
 hits AS (
-  SELECT q.query_id, q.query, t.term, list_dot_product(s.vec, t.vec) AS raw_score, t.rank AS t_rank
+  SELECT q.query_id, q.query, t.term, round(list_dot_product(s.vec, t.vec), 10) AS raw_score, t.rank AS t_rank
   FROM queries q JOIN u s ON s.term = q.query JOIN u t ON t.rank <> s.rank),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, t_rank) AS nb_rank FROM hits)
 SELECT query_id, query, nb_rank, term, round(raw_score, 6) AS raw_score FROM ranked WHERE nb_rank <= 300
@@ -212,7 +212,7 @@ def v5_table_vectors(spark, sf):
           + ", " + O.encode_cte("tv", "tdocs_kept", "table_name", "document")
           + ", " + O.encode_cte("qv", "queries", "query_id", "query") + f""",
 scored AS (SELECT q.query_id, t.table_name,
-                  list_dot_product({O.unit('q.vec')}, {O.unit('t.vec')}) AS score FROM qv q, tv t),
+                  round(list_dot_product({O.unit('q.vec')}, {O.unit('t.vec')}), 10) AS score FROM qv q, tv t),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_name) AS rank FROM scored)
 SELECT r.query_id, r.rank, r.table_name, round(r.score, 6) AS score, c.schema, c.row_count, c.n_columns
 FROM ranked r JOIN cat c USING (table_name) WHERE r.rank <= 5
@@ -229,10 +229,10 @@ def r5_topn_enrichment(spark, sf):
 
 
 # --- expansion: L5-L9, T10, T11, E1, E2, E6 ---------------------------------------
-from semdex.functions.lexical import has_digit, seq_ratio  # noqa: E402
+from semdex.functions.lexical import has_digit  # noqa: E402
 from semdex.functions.text import py_lower_strip  # noqa: E402
-from semdex.operators.expand import (contextual_similarity, expand_queries, hybrid_scores,  # noqa: E402
-                                     translate)
+from semdex.operators.expand import (contains_query, contextual_similarity, expand_queries,  # noqa: E402
+                                     filter_candidates, hybrid_scores, translate)
 
 _EXP = f"WITH {O.VOCAB}, {O.queries_cte()}, " + O.r3_pairs_cte()
 
@@ -250,15 +250,16 @@ FROM pairs
 """)
 def l6_l7_lexical_flags(spark, sf):
     p = _pairs(Inputs(spark, sf))
-    contains = F.instr(F.regexp_replace("clean", "-", ""), F.regexp_replace(F.col("query"), "-", "")) > 0
     return p.select("query_id", "nb_rank", "term", (F.col("clean") == F.col("query")).alias("is_self"),
-                    contains.alias("contains_query"), has_digit(F.col("clean")).alias("has_digit"))
+                    contains_query().alias("contains_query"), has_digit(F.col("clean")).alias("has_digit"))
 
 
-@register("t10_lexical_similarity")
-def t10_lexical_similarity(spark, sf):
-    p = _pairs(Inputs(spark, sf))
-    return p.select("query_id", "nb_rank", "term", F.round(seq_ratio(F.col("query"), F.col("clean")), 6).alias("ratio"))
+@register("l5_l9_filter_candidates")
+def l5_l9_filter_candidates(spark, sf):
+    """Strict and relaxed candidates of every known query."""
+    ctx = Inputs(spark, sf)
+    nb = materialize(nearest_terms(ctx.word_vectors, ctx.queries, topn=300))
+    return filter_candidates(nb, 10).select("query_id", "pass", "nb_rank", F.col("clean").alias("term"), _r6("raw_score"))
 
 
 @register("e1_contextual_similarity", _EXP + ", " + O.CONTEXT + """
@@ -433,9 +434,8 @@ oh_dims AS (SELECT query_id, i, sum(w * x) AS x FROM (
    FROM oh o JOIN cvec v USING (query_id, pos)) GROUP BY ALL),
 oh_raw AS (SELECT query_id, list(x ORDER BY i) AS raw FROM oh_dims GROUP BY ALL),
 oh_vec AS (SELECT query_id, """ + O.unit("raw") + """ AS vec FROM oh_raw),
-oh_rk AS (SELECT v.query_id, t.vec_id AS table_id, list_dot_product(v.vec, t.vec) AS score,
-            row_number() OVER (PARTITION BY v.query_id ORDER BY list_dot_product(v.vec, t.vec) DESC, t.vec_id) AS rank
-          FROM oh_vec v, tu t)
+oh_sc AS (SELECT v.query_id, t.vec_id AS table_id, round(list_dot_product(v.vec, t.vec), 10) AS score FROM oh_vec v, tu t),
+oh_rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) AS rank FROM oh_sc)
 SELECT query_id, rank, table_id, round(score, 6) AS score FROM oh_rk WHERE rank <= 15
 """)
 def v9_baseline_ranking(spark, sf):
@@ -476,9 +476,9 @@ def g13_ranking_report(spark, sf):
 from semdex.operators import columns as Cx  # noqa: E402
 from semdex.plans.features import FeatureInputs, feature_pipeline  # noqa: E402
 
-_C = (_CAT + ", " + O.table_docs_cte() + ", " + O.VOCAB + ", " + O.queries_cte()
+_C = (_CAT.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + O.table_docs_cte() + ", " + O.VOCAB + ", " + O.queries_cte()
       + ", " + O.encode_cte("tv", "tdocs_kept", "table_name", "document")
-      + ", " + O.encode_cte("qv", "queries", "query_id", "query") + ", " + O.features_cte(5))
+      + ", " + O.encode_cte("qv", "queries", "query_id", "query") + ", " + O.features_cte(5) + ", ")
 
 
 def _features(spark, sf) -> FeatureInputs:
@@ -512,68 +512,64 @@ def c1_column_quality(spark, sf):
                     F.round(Cx.quality(F.col("null_fraction"), F.col("distinct_count")), 6).alias("quality"))
 
 
-@register("c5_subset_fitness", _C + """
-SELECT query_id, table_name, mask, k, round(semantic, 6) AS semantic, round(quality, 6) AS quality,
+@register("c5_subset_fitness", _C + O.SUBSETS + """
+SELECT query_id, table_name, subset_id, k, round(semantic, 6) AS semantic, round(quality, 6) AS quality,
        round(size_term, 6) AS size_term, round(fitness, 6) AS fitness FROM fit
 """)
 def c5_subset_fitness(spark, sf):
     fi = _features(spark, sf)
-    s = Cx.subset_scores(fi.tc.where(F.col("n") <= 12))
-    return s.select("query_id", "table_name", "mask", F.col("k").cast("bigint").alias("k"), _r6("semantic"),
+    s = Cx.subset_scores(fi.tc, Cx.rule_subsets(fi.tables))
+    return s.select("query_id", "table_name", "subset_id", F.col("k").cast("bigint").alias("k"), _r6("semantic"),
                     _r6("quality"), _r6("size_term"), _r6("fitness"))
 
 
-@register("c6_best_subset", _C + """
-SELECT query_id, table_name, mask, round(fitness, 6) AS fitness, k AS n_selected FROM best
+@register("c6_best_subset", _C + O.SUBSETS + """
+SELECT query_id, table_name, subset_id, round(fitness, 6) AS fitness, k AS n_selected FROM best
 """)
 def c6_best_subset(spark, sf):
     fi = _features(spark, sf)
-    b = Cx.best_subsets(Cx.subset_scores(fi.tc.where(F.col("n") <= 12)))
-    return b.select("query_id", "table_name", "mask", _r6("fitness"),
-                    F.size("selected").cast("bigint").alias("n_selected"))
+    b = Cx.best_subsets(Cx.subset_scores(fi.tc, Cx.rule_subsets(fi.tables)))
+    return b.select("query_id", "table_name", "subset_id", _r6("fitness"), F.col("k").cast("bigint").alias("n_selected"))
 
 
-@register("c7_greedy_subset")
+@register("c7_greedy_subset", _C + O.GREEDY + """
+SELECT query_id, table_name, round(fitness, 6) AS fitness, len(cols)::BIGINT AS n_selected FROM bsel
+""")
 def c7_greedy_subset(spark, sf):
-    fi = _features(spark, sf)
-    g = Cx.greedy_subsets(fi.tc.where(F.col("n") > 12))
+    g = Cx.select_columns(_features(spark, sf).tc)
     return g.select("query_id", "table_name", _r6("fitness"), F.size("selected").cast("bigint").alias("n_selected"))
 
 
-@register("c8_selected_columns", _C + """
-SELECT query_id, table_name, row_number() OVER (PARTITION BY query_id, table_name ORDER BY ord) AS pos,
-       name AS column_name FROM bsel
+@register("c8_selected_columns", _C + O.GREEDY + """
+SELECT query_id, table_name, unnest(range(1, len(cols) + 1))::BIGINT AS pos, unnest(cols) AS column_name FROM bsel
 """)
 def c8_selected_columns(spark, sf):
-    fi = _features(spark, sf)
-    b = Cx.best_subsets(Cx.subset_scores(fi.tc.where(F.col("n") <= 12)))
+    b = Cx.select_columns(_features(spark, sf).tc)
     e = b.select("query_id", "table_name", F.posexplode("selected").alias("p", "column_name"))
     return e.select("query_id", "table_name", (F.col("p") + 1).cast("bigint").alias("pos"), "column_name")
 
 
-@register("c9_report", _C + """,
-sel AS (SELECT query_id, table_name, any_value(fitness) AS fitness, list(name ORDER BY ord) AS cols
-        FROM bsel GROUP BY ALL)
-SELECT s.query_id, s.table_name, round(s.fitness, 6) AS feature_relevance_score, len(s.cols)::BIGINT AS n_selected,
+_REPORT_SQL = f"""
+SELECT s.query_id, s.table_name, round(s.fitness, 6) AS feature_relevance_score, {{columns}},
   coalesce(c.schema, 'N/A') AS schema, c.row_count,
-  array_to_string(coalesce(c.primary_key, ['NÃO ENCONTRADA']), ', ') AS primary_key,
-  'Score ' || printf('%.4f', s.fitness) || ' devido à alta similaridade semântica com a consulta '
-    || 'e boa qualidade das colunas selecionadas. As colunas ' || array_to_string(list_slice(s.cols, 1, 3), ', ')
-    || CASE WHEN len(s.cols) > 3 THEN '...' ELSE '' END
-    || ' contribuem significativamente para a relevância.' AS justification
-FROM sel s LEFT JOIN cat c USING (table_name)
-""")
+  array_to_string(coalesce(c.primary_key, ['{Cx.NO_PRIMARY_KEY}']), ', ') AS primary_key,
+  '{Cx.JUSTIFICATION.format(score="' || printf('%.4f', s.fitness) || '", cols="' || array_to_string(list_slice(s.cols, 1, 3), ', ')",
+                            more=" || CASE WHEN len(s.cols) > 3 THEN '...' ELSE '' END || '")}' AS justification
+FROM bsel s LEFT JOIN cat c USING (table_name) WHERE len(s.cols) > 0
+"""
+
+
+@register("c9_report", _C + O.GREEDY + _REPORT_SQL.format(columns="len(s.cols)::BIGINT AS n_selected"))
 def c9_report(spark, sf):
     ctx = Inputs(spark, sf)
-    fi = FeatureInputs(ctx.queries, ctx.catalogue, ctx.catalogue_vectors, ctx.word_vectors, ctx.dim, top_n=5)
-    b = Cx.best_subsets(Cx.subset_scores(fi.tc.where(F.col("n") <= 12)))
-    r = Cx.report(b.select("query_id", "table_name", "fitness", "selected"), ctx.catalogue)
+    r = Cx.report(Cx.select_columns(_features(spark, sf).tc), ctx.catalogue)
     return r.select("query_id", "table_name", _r6("feature_relevance_score"),
                     F.size("selected_columns").cast("bigint").alias("n_selected"), "schema", "row_count",
                     F.array_join("primary_key", ", ").alias("primary_key"), "justification")
 
 
-@register("c10_feature_pipeline")
+@register("c10_feature_pipeline", _C + O.GREEDY + _REPORT_SQL.format(
+    columns="array_to_string(s.cols, '|') AS selected_columns"))
 def c10_feature_pipeline(spark, sf):
     ctx = Inputs(spark, sf)
     fi = FeatureInputs(ctx.queries, ctx.catalogue, ctx.catalogue_vectors, ctx.word_vectors, ctx.dim, top_n=5)
@@ -590,7 +586,7 @@ from semdex.plans.search import learn_weights, search  # noqa: E402
 @register("g9_learn_weights")
 def g9_learn_weights(spark, sf):
     wi = WeightInputs(spark, sf)
-    w, _ = learn_weights(wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim)
+    w = learn_weights(wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim)
     return w.select("query_id", "pos", _r6("w"))
 
 
@@ -632,15 +628,68 @@ def l11_language_routing(spark, sf):
 import uuid  # noqa: E402
 
 from semdex.session import ensure_checkpoint_dir  # noqa: E402
-from semdex.sources.catalog import read_catalog_json  # noqa: E402
+from semdex.sources.catalog import read_catalog_json, write_catalog_json  # noqa: E402
 
 
 @register("s1_catalogue_scan", _CAT + """
-SELECT table_name, schema, row_count, n_columns FROM cat_entries
+SELECT e.table_name, e.schema, e.row_count, e.n_columns, round(s.nulls, 6) AS nulls, s.distincts
+FROM cat_entries e JOIN (SELECT seq, coalesce(sum(null_fraction), 0.0) AS nulls, sum(distinct_count)::BIGINT AS distincts
+                         FROM cat_cols_stats GROUP BY seq) s USING (seq)
 """)
 def s1_catalogue_scan(spark, sf):
     """The derived catalogue written as JSON lines and scanned back with the explicit schema."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/semdex-tables/catalog-{uuid.uuid4().hex}"
-    Inputs(spark, sf).catalogue_entries.drop("seq").write.json(path)
+    write_catalog_json(Inputs(spark, sf).catalogue_entries, path)
     back = read_catalog_json(spark, path, multiline=False)
-    return back.select("table_name", "schema", "row_count", F.size("columns").cast("bigint").alias("n_columns"))
+    zero = F.lit(0.0).cast("double")
+    return back.select("table_name", "schema", "row_count", F.size("columns").cast("bigint").alias("n_columns"),
+                       F.round(F.aggregate("columns", zero, lambda a, c: a + F.coalesce(c["stats"]["null_fraction"], zero)), 6).alias("nulls"),
+                       F.aggregate("columns", F.lit(0).cast("bigint"), lambda a, c: a + c["stats"]["distinct_count"]).alias("distincts"))
+
+
+# --- R4, S5, S6: labels, stored index and stored weights -----------------------------------------
+from semdex.operators.rank import label_unknown  # noqa: E402
+from semdex.plans.index import (index_tables, read_learned_weights, read_table_vectors,  # noqa: E402
+                                write_learned_weights, write_table_vectors)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/semdex-tables/{name}-{uuid.uuid4().hex}"
+
+
+@register("r4_unknown_label", _CAT + """
+SELECT e.vec_id AS table_id, coalesce(c.table_name, 'ID_' || e.vec_id || '_DESCONHECIDO') AS table_name
+FROM embeddings e LEFT JOIN (SELECT seq, table_name FROM cat WHERE seq % 2 = 0) c ON c.seq = e.vec_id
+""")
+def r4_unknown_label(spark, sf):
+    """Every table vector under its catalogue name; half of the catalogue is unknown to the index."""
+    ctx = Inputs(spark, sf)
+    known = ctx.catalogue.where(F.col("seq") % 2 == 0).select(F.col("seq").alias("table_id"), "table_name")
+    return label_unknown(ctx.tables.select("table_id"), known, "table_id").select("table_id", "table_name")
+
+
+@register("s5_stored_index_search", ORACLE["r5_topn_enrichment"].split("SELECT r.query_id, r.rank")[0] + """
+SELECT query_id, rank, table_name, round(score, 6) AS score FROM ranked WHERE rank <= 20
+""")
+def s5_stored_index_search(spark, sf):
+    """Offline index -> store (S5) -> read back -> top 20 of every query."""
+    ctx, path = Inputs(spark, sf), _folder(spark, "index")
+    vectors, _ = index_tables(ctx.catalogue_entries, ctx.word_vectors, ctx.dim)
+    write_table_vectors(vectors, path)
+    r = rank_tables(read_table_vectors(spark, path), _query_vectors(ctx), k=20, table_key="table_name")
+    return r.select("query_id", "rank", "table_name", _r6("score"))
+
+
+@register("s6_stored_weights", _W + """,
+best AS (SELECT query_id, ind FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fitness DESC, ind) AS r FROM g7) WHERE r = 1)
+SELECT p.query_id, p.pos, round(p.wc / (sum(p.wc) OVER (PARTITION BY p.query_id) + 1e-12), 6) AS w
+FROM pc p JOIN best b USING (query_id, ind)
+""")
+def s6_stored_weights(spark, sf):
+    """The best individual's weights, appended as one run (S6) and read back."""
+    wi, path = WeightInputs(spark, sf), _folder(spark, "weights")
+    best = Wt.best_individual(Wt.fitness(wi.pop, wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim))
+    chosen = wi.pop.join(best.select("query_id", "ind"), ["query_id", "ind"])
+    write_learned_weights(Wt.final_weights(chosen), path)
+    return read_learned_weights(spark, path).select("query_id", "pos", _r6("w"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STATS = T.StructType([T.StructField("null_fraction", T.DoubleType()),
+# the files name the share of nulls null_percentage (a fraction in 0..1, fixed value)
+STATS = T.StructType([T.StructField("null_percentage", T.DoubleType()),
                       T.StructField("distinct_count", T.LongType())])
 COLUMN = T.StructType([T.StructField("name", T.StringType()),
                        T.StructField("type", T.StringType()),
@@ -37,6 +38,13 @@ def read_catalog_json(spark: SparkSession, path: str, multiline: bool = True) ->
     """
     df = (spark.read.schema(CATALOG).option("multiLine", multiline).option("mode", "FAILFAST")
                .json(path))
+    def renamed(c):
+        stats = F.struct(c["stats"]["null_percentage"].alias("null_fraction"),
+                         c["stats"]["distinct_count"].alias("distinct_count"))
+        return F.struct(c["name"].alias("name"), c["type"].alias("type"), c["description"].alias("description"),
+                        F.when(c["stats"].isNotNull(), stats).alias("stats"))
+
+    df = df.withColumn("columns", F.transform("columns", renamed))
     return df.withColumn("seq", F.struct(F.input_file_name().alias("file"),
                                          F.monotonically_increasing_id().alias("pos")))
 
@@ -47,14 +55,25 @@ DOC_TABLE_PREFIXES = ["tb_", "ta_", "tl_", "rl_", "dim_", ""]
 DOC_COLUMN_PREFIXES = ["co_", "id_", "cd_", "dt_", "st_", "tp_", "ds_", "nr_", "co_id_", "id_co_", ""]
 
 
+def write_catalog_json(entries: DataFrame, path: str) -> None:
+    """Catalogue entries as JSON lines under the files' own field names."""
+    def filed(c):
+        return F.struct(c["name"].alias("name"), c["type"].alias("type"), c["description"].alias("description"),
+                        F.struct(c["stats"]["null_fraction"].alias("null_percentage"),
+                                 c["stats"]["distinct_count"].alias("distinct_count")).alias("stats"))
+
+    entries.drop("seq").withColumn("columns", F.transform("columns", filed)).write.json(path)
+
+
 def catalogue_from_documents(docs: DataFrame) -> DataFrame:
     """Test catalogue: one entry per document, one column per line of text.
 
-    * table_name = prefix(doc_id) + lang + '_' + first 8 hex of md5(text)
+    * table_name = prefix(doc_id) + lang + '_' + md5(text)
       (exact copies of a text collide: duplicate names, last ``seq`` wins);
     * schema = source; row_count = n_chars (missing when doc_id % 7 = 0);
       primary_key = ['id_' + lang] (missing when doc_id % 5 = 0);
     * column i = prefix(i) + the line with runs of spaces as '_', type 'text',
+      description (of every other column): the line itself;
       stats: distinct_count = distinct words of the line,
       null_fraction = 1 - distinct/words (missing for an empty line).
     """
@@ -70,13 +89,13 @@ def catalogue_from_documents(docs: DataFrame) -> DataFrame:
         name = F.concat(F.element_at(cprefixes, (i % len(DOC_COLUMN_PREFIXES) + 1).cast("int")),
                         F.regexp_replace(line, " +", "_"))
         return F.struct(name.alias("name"), F.lit("text").alias("type"),
-                        F.lit(None).cast("string").alias("description"),
+                        F.when(i % 2 == 1, line).alias("description"),
                         F.struct(nf.cast("double").alias("null_fraction"),
                                  d.cast("bigint").alias("distinct_count")).alias("stats"))
 
     return docs.select(
         F.col("doc_id").alias("seq"),
-        F.concat(tprefix, F.col("lang"), F.lit("_"), F.substring(F.md5("text"), 1, 8)).alias("table_name"),
+        F.concat(tprefix, F.col("lang"), F.lit("_"), F.md5("text")).alias("table_name"),
         F.col("source").alias("schema"),
         F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")).alias("row_count"),
         F.when(F.col("doc_id") % 5 != 0, F.array(F.concat(F.lit("id_"), F.col("lang")))).alias("primary_key"),

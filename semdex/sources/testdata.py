@@ -5,10 +5,10 @@ every input is *derived by Spark* from the given parquet tables and grows with
 them:
 
 * vocabulary  - distinct tokens of all ``documents`` texts, ranked by
-  (count desc, token); the word vector of rank ``i`` is ``embeddings.vec_id = i``
-  (ranks beyond the vector table are out of vocabulary, like a vocabulary cut);
-* query batch - the ``n`` most frequent terms, the most frequent term without a
-  vector (an unknown query) and the empty query;
+  (count desc, token); every token has a word vector: row ``rank mod n`` of the
+  ``n`` ``embeddings`` rows, its elements rotated by ``rank div n`` places;
+* query batch - every ``benchmark`` text, every user turn of ``conversations``,
+  the most frequent token of each of those texts, and the empty query;
 * dictionary  - a frequency-aligned ``fr`` <-> ``en`` lexicon (T11 input);
 * table vectors - ``embeddings`` rows, keyed by ``vec_id``.
 """
@@ -62,24 +62,34 @@ def word_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = Non
     vocab = vocab if vocab is not None else vocabulary(spark, sf_dir)
     if cut is not None:
         vocab = vocab.where(F.col("rank") < cut)
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rank"),
-                                                     F.col("embedding").alias("vec"))
-    return vocab.join(emb, "rank").select("rank", "term", "vec")
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__at"), "embedding")
+    n = max(1, emb.count())  # from the file footers
+    turn = F.pmod(F.floor(F.col("rank") / n), F.size("embedding")).cast("int")
+    turned = F.concat(F.slice("embedding", turn + 1, F.size("embedding")), F.slice("embedding", F.lit(1), turn))
+    return (vocab.withColumn("__at", F.pmod("rank", F.lit(n))).join(emb, "__at")
+                 .select("rank", "term", turned.alias("vec")))
+
+
+# query ids of user turns and of keywords start here; benchmark items keep their own
+TURN_IDS, KEYWORD_IDS = 10 ** 9, 2 * 10 ** 12
 
 
-def query_batch(spark: SparkSession, sf_dir: str, n: int = 10, vocab: DataFrame | None = None,
-                vectors: DataFrame | None = None) -> DataFrame:
-    """(query_id bigint, query string): top-n terms, one unknown term, ''."""
+def query_batch(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
+    """(query_id bigint, query string): whole texts, their most frequent tokens, ''."""
     vocab = vocab if vocab is not None else vocabulary(spark, sf_dir)
-    vectors = vectors if vectors is not None else word_vectors(spark, sf_dir, vocab)
-    top = vocab.where(F.col("rank") < n).select(F.col("rank").alias("query_id"), F.col("term").alias("query"))
-    unknown = (vocab.join(vectors.select("rank"), "rank", "left_anti")
-                    .agg(F.min_by("term", "rank").alias("query"))
-                    .where(F.col("query").isNotNull())
-                    .select(F.lit(n).cast("bigint").alias("query_id"), "query"))
-    empty = (vocab.agg(F.count(F.lit(1)).alias("c"))
-                  .select(F.lit(n + 1).cast("bigint").alias("query_id"), F.lit("").alias("query")))
-    return top.unionByName(unknown).unionByName(empty)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+        (F.lit(TURN_IDS) + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    texts = items.unionByName(turns)
+    norm = with_normalized(texts, "query", "norm")
+    counts = (norm.select("query_id", F.explode(F.split("norm", TOKEN_SPLIT)).alias("token"))
+                  .where(F.col("token") != "").groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("c")))
+    keyword = (counts.groupBy("query_id").agg(F.min(F.struct(-F.col("c"), "token")).alias("k"))
+                     .select(F.col("k.token").alias("term")).distinct())
+    words = vocab.join(keyword, "term").select((F.lit(KEYWORD_IDS) + F.col("rank")).alias("query_id"),
+                                               F.col("term").alias("query"))
+    empty = spark.range(1).select(F.lit(-1).cast("bigint").alias("query_id"), F.lit("").alias("query"))
+    return texts.unionByName(words).unionByName(empty)
 
 
 def lang_lexicon(spark: SparkSession, sf_dir: str, src_lang: str = "fr", dst_lang: str = "en",
