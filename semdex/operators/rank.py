@@ -148,9 +148,9 @@ def topk_dot(corpus: DataFrame, key: str, vec: str, probes: DataFrame, probe_key
         groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
         blocks = math.ceil(probes.count() / rows)
         left = (corpus.select(key, vec).withColumn("__g", F.pmod(F.xxhash64(key), F.lit(groups)))
-                      .withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")))
+                      .withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))))
         right = (probes.select(*cols).withColumn("__b", F.pmod(F.xxhash64(*probe_keys), F.lit(blocks)))
-                       .withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("bigint")))
+                       .withColumn("__g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))))
 
         def cell(a: pa.Table, b: pa.Table) -> pa.Table:
             pair = [(a.column(key).to_numpy(zero_copy_only=False), _matrix(a, vec))] if a.num_rows else []

@@ -28,7 +28,13 @@ def make_tc(spark, q, V, stats, table="t"):
                                  "null_fraction double, distinct_count long")
     qv = spark.createDataFrame([(1, q.tolist())], "query_id long, qvec array<double>")
     pairs = spark.createDataFrame([(1, table)], "query_id long, table_name string")
-    return C.table_columns(pairs, cols, qv)
+    return C.table_columns(pairs, C.table_arrays(cols), qv)
+
+
+def masks(spark, n, table="t"):
+    """Every non-empty subset, by bit mask."""
+    rows = [(table, m, [i for i in range(n) if m >> i & 1]) for m in range(1, 1 << n)]
+    return spark.createDataFrame(rows, "table_name string, subset_id long, members array<int>")
 
 
 @pytest.fixture(scope="module")
@@ -44,42 +50,51 @@ def fixture():
 def test_subset_fitness_and_best(spark, fixture):
     q, V, qual = fixture
     tc = make_tc(spark, q, V, STATS)
-    scores = {r["mask"]: r["fitness"] for r in C.subset_scores(tc).collect()}
+    scored = C.subset_scores(tc, masks(spark, 4))
+    scores = {r["subset_id"]: r["fitness"] for r in scored.collect()}
     for mask in range(1, 16):
         bits = [(mask >> i) & 1 for i in range(4)]
         assert scores[mask] == pytest.approx(py_fitness(q, V, qual, bits), abs=1e-9)
     assert scores[0b0101] > scores[0b0010] > 0  # {a, c} beats {b}
-    best = C.best_subsets(C.subset_scores(tc)).first()
-    assert "col_c" in best["selected"] and "col_b" not in best["selected"]
+    best = C.best_subsets(scored).first()["subset_id"]
+    assert best & 0b0100 and not best & 0b0010
 
 
-def test_greedy_matches_python_and_bounds(spark):
+@pytest.mark.parametrize("n", [1, 2, 14, 40])
+def test_greedy_steps(spark, n):
+    """One algorithm for every width: the best column is added while the fitness grows."""
     rng = np.random.default_rng(5)
-    n = 14
-    q = rng.normal(size=32)
-    V = rng.normal(size=(n, 32))
+    q, V = rng.normal(size=32), rng.normal(size=(n, 32))
     stats = [(f"c{i}", float(rng.random() * 0.5), int(rng.integers(0, 50))) for i in range(n)]
     qual = np.array([(1 - nf) * (1 - 1 / (dc if dc else 1)) for _, nf, dc in stats])
-    tc = make_tc(spark, q, V, stats)
-    got = C.greedy_subsets(tc).first()
+    got = C.select_columns(make_tc(spark, q, V, stats)).first()
     chosen, best = [], 0.0
-    while True:
-        cands = [(py_fitness(q, V, qual, [1 if (i in chosen or i == j) else 0 for i in range(n)]), j)
-                 for j in range(n) if j not in chosen]
-        if not cands:
-            break
-        f, j = max(cands, key=lambda t: (t[0], -t[1]))
+    while len(chosen) < n:
+        f, j = max(((py_fitness(q, V, qual, [i in chosen or i == j for i in range(n)]), -j) for j in range(n) if j not in chosen))
         if not f > best:
             break
-        chosen.append(j)
+        chosen.append(-j)
         best = f
     assert got["fitness"] == pytest.approx(best, abs=1e-9)
     assert got["selected"] == [f"c{i}" for i in sorted(chosen)]
-    narrow = make_tc(spark, q, V[:8], stats[:8])
-    ex = C.best_subsets(C.subset_scores(narrow)).first()["fitness"]
-    gr = C.greedy_subsets(narrow).first()["fitness"]
-    brute = max(py_fitness(q, V[:8], qual[:8], m) for m in itertools.product([0, 1], repeat=8))
-    assert ex == pytest.approx(brute, abs=1e-9) and gr <= ex + 1e-12
+    if n <= 14:
+        brute = max(py_fitness(q, V[:8], qual[:8], m) for m in itertools.product([0, 1], repeat=min(n, 8)))
+        assert C.select_columns(make_tc(spark, q, V[:8], stats[:8])).first()["fitness"] <= brute + 1e-9
+
+
+def test_ties_go_to_the_first_column(spark):
+    V = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    got = C.select_columns(make_tc(spark, np.array([1.0, 0.0]), V, [("a", 0.0, 5), ("b", 0.0, 5), ("c", 0.0, 5)])).first()
+    assert got["selected"] == ["a"]
+
+
+def test_rule_subsets(spark, fixture):
+    q, V, _ = fixture
+    cols = spark.createDataFrame([("t", i, f"c{i}", V[i].tolist(), 0.0, 2) for i in range(3)],
+                                 "table_name string, ord long, name string, vec array<double>, null_fraction double, distinct_count long")
+    got = {r["subset_id"]: r["members"] for r in C.rule_subsets(C.table_arrays(cols)).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 1000000: [0], 1000001: [0, 1], 1000002: [0, 1, 2],
+                   2000000: [1, 2], 2000001: [0, 2], 2000002: [0, 1]}
 
 
 def test_quality_defaults(spark):

@@ -11,7 +11,7 @@ def brute(P, keys, Tm, tkeys, k, excl=None):
     out = {}
     for i, pk in enumerate(keys):
         s = Tm @ P[i]
-        rows = [(float(s[j]), int(tkeys[j])) for j in range(len(tkeys)) if excl is None or tkeys[j] != excl[i]]
+        rows = [(round(float(s[j]), 10), int(tkeys[j])) for j in range(len(tkeys)) if excl is None or tkeys[j] != excl[i]]
         rows.sort(key=lambda r: (-r[0], r[1]))
         out[pk] = [(r[1], round(r[0], 9)) for r in rows[:k]]
     return out
@@ -71,9 +71,31 @@ def test_known_dim_paths(spark, data, budget):
     assert got == brute(P, list(range(9)), Tm, np.arange(300), 6)
 
 
-def test_topk_plan_limits_before_shuffle(spark, data):
-    Tm, P, corpus, probes = data
-    r = topk_dot(corpus, "id", "vec", probes, ["pid"], "vec", 5, dim=16)
-    plan = r._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+def test_many_probes_stay_off_the_driver(spark):
+    rng = np.random.default_rng(2)
+    Tm, P = rng.normal(size=(60, 4)), rng.normal(size=(10_500, 4))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Tm)], "id long, vec array<double>")
+    probes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(P)], "pid long, vec array<double>")
+    df = topk_dot(corpus, "id", "vec", probes, ["pid"], "vec", 2, dim=4, max_probe_bytes=4 * 8 * 2000)
+    assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().toString()
+    got = collect(df)
+    want = brute(P, list(range(10_500)), Tm, np.arange(60), 2)
+    assert {k: [i for i, _ in v] for k, v in got.items()} == {k: [i for i, _ in v] for k, v in want.items()}
+
+
+def test_vectors_must_be_finite(spark, data):
+    bad = spark.createDataFrame([(1, [float("nan")] * 16)], "id long, vec array<double>")
+    with pytest.raises(Exception, match="finite"):
+        topk_dot(bad, "id", "vec", data[3], ["pid"], "vec", 1).collect()
+
+
+def test_global_rank_with_payload(spark):
+    """Ranks stay dense when columns ride along and the result is read in several ways."""
+    from semdex.operators.ordering import with_global_rank
+    n = 1_200_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    ranked = with_global_rank(df, [F.col("k").asc()], num_partitions=24)
+    r = ranked.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+    assert tuple(r) == (n, 0, n - 1)
+    first = ranked.where("rank < 3").orderBy("rank").select("k").collect()
+    assert [x["k"] for x in first] == [x["k"] for x in df.orderBy("k").limit(3).select("k").collect()]
