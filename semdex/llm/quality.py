@@ -136,15 +136,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, res
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 5, rest: int = 0,
         sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> np.ndarray:
-    """Weights learned from the bounded sample, in one task of an executor."""
+    """Weights learned from the bounded sample, in one task of an executor; all 0 without labelled rows."""
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat([pd.DataFrame({"at": [], "text": [], "y": []}), *batches])
+        whole = pd.concat(list(batches))
         whole = whole.sort_values(["at", "text"], kind="stable")
         yield pd.DataFrame({"w": [train_ftrl(whole["text"], whole["y"].to_numpy(dtype=float), bits).tobytes()]})
 
     sample = labelled_sample(docs, labels, label, of, rest, sample_rows)
-    row = sample.coalesce(1) if sample.rdd.getNumPartitions() == 1 else sample.repartition(1)
-    return np.frombuffer(row.mapInPandas(learn, "w binary").first()["w"], dtype=np.float32)
+    row = sample.repartition(1).mapInPandas(learn, "w binary").first()
+    return np.zeros((1 << bits) + 1, np.float32) if row is None else np.frombuffer(row["w"], dtype=np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:

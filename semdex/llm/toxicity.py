@@ -192,14 +192,15 @@ def train(texts, labels, costs: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, of: int = 4, rest: int = 2,
         sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights learned from labels.toxic on the bounded sample, in one task of an executor."""
+    """Weights learned from labels.toxic on the bounded sample, in one task of an executor; all 0 without labelled rows."""
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat([pd.DataFrame({"at": [], "text": [], "y": []}), *batches])
+        whole = pd.concat(list(batches))
         whole = whole.sort_values(["at", "text"], kind="stable")
         yield pd.DataFrame({"w": [train(whole["text"], whole["y"].to_numpy(dtype=float), costs).tobytes()]})
 
     sample = labelled_sample(docs, labels, "toxic", of, rest, sample_rows)
-    return np.frombuffer(sample.repartition(1).mapInPandas(learn, "w binary").first()["w"], dtype=np.float32)
+    row = sample.repartition(1).mapInPandas(learn, "w binary").first()
+    return np.zeros((1 << BITS) + 1, np.float32) if row is None else np.frombuffer(row["w"], dtype=np.float32)
 
 
 def score(docs: DataFrame, costs: np.ndarray, weights: np.ndarray, text_col: str = "text",
