@@ -627,10 +627,14 @@ def l11_language_routing(spark, sf):
 # --- S1: catalogue JSON scan -------------------------------------------------------------------
 import uuid  # noqa: E402
 
-from semdex.session import ensure_checkpoint_dir  # noqa: E402
+from semdex.session import tables_folder  # noqa: E402
 from semdex.sources.catalog import read_catalog_json, write_catalog_json  # noqa: E402
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @register("s1_catalogue_scan", _CAT + """
 SELECT e.table_name, e.schema, e.row_count, e.n_columns, round(s.nulls, 6) AS nulls, s.distincts
 FROM cat_entries e JOIN (SELECT seq, coalesce(sum(null_fraction), 0.0) AS nulls, sum(distinct_count)::BIGINT AS distincts
@@ -638,7 +642,7 @@ FROM cat_entries e JOIN (SELECT seq, coalesce(sum(null_fraction), 0.0) AS nulls,
 """)
 def s1_catalogue_scan(spark, sf):
     """The derived catalogue written as JSON lines and scanned back with the explicit schema."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/semdex-tables/catalog-{uuid.uuid4().hex}"
+    path = _folder(spark, "catalogue")
     write_catalog_json(Inputs(spark, sf).catalogue_entries, path)
     back = read_catalog_json(spark, path, multiline=False)
     zero = F.lit(0.0).cast("double")
@@ -653,10 +657,6 @@ from semdex.plans.index import (index_tables, read_learned_weights, read_table_v
                                 write_learned_weights, write_table_vectors)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/semdex-tables/{name}-{uuid.uuid4().hex}"
-
-
 @register("r4_unknown_label", _CAT + """
 SELECT e.vec_id AS table_id, coalesce(c.table_name, 'ID_' || e.vec_id || '_DESCONHECIDO') AS table_name
 FROM embeddings e LEFT JOIN (SELECT seq, table_name FROM cat WHERE seq % 2 = 0) c ON c.seq = e.vec_id

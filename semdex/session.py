@@ -2,12 +2,12 @@
 
 Every job in this package is a plain DataFrame plan; the session only pins the
 settings the plans rely on (AQE, Arrow, UTC) and makes sure a *shared*
-checkpoint directory is known, because iterative plans cut their lineage with
-reliable ``checkpoint()`` (never ``localCheckpoint``).
+checkpoint directory is known: lineage is cut with tables written there.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -74,7 +74,26 @@ def materialize(df):
     loop they grow without bound and planning slows down round after round.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/semdex-tables/{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+_cleaned: set[str] = set()
+
+
+def tables_folder(spark: SparkSession) -> str:
+    """Where this application writes intermediate tables; deleted when it ends."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/semdex-tables/{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:     # stopped before
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

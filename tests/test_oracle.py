@@ -5,18 +5,30 @@ at sf0.01): column names, row count and order-insensitive values (doubles to
 6 places).
 """
 
+import functools
+
 import duckdb
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
 from scripts.check_oracle import rows_of
+from semdex.plans import registry
 from semdex.sources.testdata import TABLES
 
 SQL = E.oracle_sql()
 QUERIES = E.queries()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs():
+    """Vocabulary, index and candidates are built once for all queries of this module."""
+    kept = registry.Inputs, registry.WeightInputs
+    registry.Inputs, registry.WeightInputs = map(functools.lru_cache(maxsize=None), kept)
+    yield
+    registry.Inputs, registry.WeightInputs = kept
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
