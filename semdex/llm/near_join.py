@@ -7,19 +7,22 @@ ones first. Two sets of n and m shingles that link share at least t = 85 % of th
 larger, hence at least l shingles within their first n - t + l and m - t + l: for
 each class l is chosen by estimated cost, as a longer prefix meets more classes
 but l shared shingles are asked of each. Two classes are a candidate if they
-share as many prefix shingles as the smaller of their two l.
+share as many prefix shingles as the smaller of their two l, and as many more as
+their two sizes ask for (`needed_matches`).
 
 * document frequencies: counted for all shingles of all documents, as sorted
   blocks of hash slots, delta-coded; the `frequent` most frequent slots (a fixed
   number) are broadcast as levels, the others count as rare. Any order is right.
 * prefix lists: one shuffle by shingle; lists of at most `list_rows` classes give
   pairs; the pairs' shared shingles are counted.
-* verification: candidates are grouped by their first shared shingle, a longer
-  list (a passage that very many sets share) is a group of its own, dealt into
-  blocks of `block_rows` by hash, each pair of blocks a group. A class's set goes
-  to each of its groups once, and all pairs of a group are compared there by
-  matrix products, so no pair is ever a row. A group returns a spanning forest of
-  its links.
+* verification: candidate pairs and longer lists (passages that very many sets
+  share) connect classes to families; a family is dealt into blocks of
+  `block_rows` by hash, each pair of blocks a group, so that a set travels as
+  often as its family has blocks, mostly once. All pairs of a group are compared
+  there by matrix products, and no pair is ever a row. A group returns a spanning
+  forest of its links. A family of more than `family_blocks` blocks, which would
+  compare too many sets that share nothing, is verified list by list instead, by
+  the same blocks.
 * components: large-star / small-star rounds over the forests' edges.
 """
 
@@ -41,6 +44,7 @@ FREQUENT = 1 << 20
 SLOT_BITS = 36
 LIST_ROWS = 64
 BLOCK_ROWS = 2048
+FAMILY_BLOCKS = 8
 BROADCAST_ROWS = 1 << 20
 VERIFY_COST = 8.0                   # of a candidate, against reading one list entry
 FLUSH = 1 << 21
@@ -198,6 +202,19 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def needed_matches(n: np.ndarray, match: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """How many prefix shingles two sets of n and m share at least if they link.
+
+    They share `both` in all. The common shingles up to where the prefix that ends
+    first ends are in both prefixes, the others behind that end, where its set has
+    required(n) - l left. Which prefix ends first is not known here: the larger rest
+    counts. For sets of like size that is many more than the smaller l.
+    """
+    both = -(-percent * (n + m) // (100 + percent))
+    rest = np.maximum(-(-percent * n // 100) - match, -(-percent * m // 100) - other)
+    return np.maximum(np.minimum(match, other), both - rest).astype(np.int64)
+
+
 def prefix(shingles: np.ndarray, slots: np.ndarray, levels: np.ndarray, percent: int,
            max_match: int = MAX_MATCH) -> tuple[np.ndarray, int]:
     """The prefix shingles of a set and its l."""
@@ -260,7 +277,7 @@ def _list_pairs(list_rows: int, percent: int):
                 x, y = x[near], y[near]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(token[x]), pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y])),
-                    pa.nulls(len(x), pa.int64()), pa.array(np.minimum(match[x], match[y]).astype(np.int64))],
+                    pa.nulls(len(x), pa.int64()), pa.array(needed_matches(n[x], match[x], n[y], match[y], percent))],
                     names=["token", "a", "b", "n", "need"])
 
     return pairs
@@ -371,7 +388,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
               percent: int = PERCENT, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS,
-              frequent: int = FREQUENT) -> DataFrame:
+              family_blocks: int = FAMILY_BLOCKS, frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, text_hash, n_shingles, component_id.
 
     Two rows link if 100 * common shingles >= percent * united shingles, words
@@ -435,16 +452,24 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     pairs = (lists.where("b IS NOT NULL").groupBy("a", "b")
              .agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"), F.min("token").alias("token"))
              .where("shared >= need"))
-    one = F.lit(0)
-    short = (pairs.select("token", F.explode(F.array("a", "b")).alias("cid")).distinct()
-             .select("token", one.alias("first"), one.alias("second"), one.alias("block"), "cid"))
-    blocks = F.ceil(F.col("need") / block_rows).cast("int")     # need: the list's length
-    mine = F.pmod(F.xxhash64("a"), blocks).cast("int")
-    long_ = (lists.where("b IS NULL").withColumn("block", mine)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("token", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-                     "block", F.col("a").alias("cid")))
-    members = materialize(short.unionByName(long_))
+    pairs = materialize(pairs.select("a", "b", "token"))
+    long_ = lists.where("b IS NULL").select("token", F.col("a").alias("cid"), F.col("need").alias("size"))   # need: the list's length
+    family = materialize(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        long_.select(F.col("token").alias("u"), F.col("cid").alias("v")))))
+    short = pairs.select("token", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    in_list = short.withColumn("size", F.lit(1).cast("long")).unionByName(long_)
+    kin = family.join(in_list.select(F.col("cid").alias("node")).distinct(), "node", "left_semi")
+    sizes = kin.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.where(F.col("size") > family_blocks * block_rows)
+    whole = kin.join(sizes.join(large.select("root"), "root", "left_anti"), "root").select(
+        F.col("root").alias("token"), F.col("node").alias("cid"), "size")
+    by_list = in_list.join(kin.join(large.select("root"), "root").select(F.col("node").alias("cid")), "cid", "left_semi").select(
+        "token", "cid", "size")
+    blocks = F.ceil(F.col("size") / block_rows).cast("int")
+    members = materialize(
+        whole.unionByName(by_list).withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("token", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "cid"))
 
     needed = materialize(members.select("cid").distinct().join(classes, "cid").select(F.col("first_id").alias("need_id")).distinct())
     side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed

@@ -66,11 +66,12 @@ def families(seed, n_families=12, near=30):
     return rows + [(len(rows) + i, rows[3][1]) for i in range(20)]
 
 
-@pytest.mark.parametrize("words, percent, list_rows, block_rows", [(4, 85, 64, 2048), (5, 80, 4, 7), (4, 85, 3, 5)])
-def test_families(documents, words, percent, list_rows, block_rows):
+@pytest.mark.parametrize("words, percent, list_rows, block_rows, family_blocks", [
+    (4, 85, 64, 2048, 8), (5, 80, 4, 7, 99), (4, 85, 3, 5, 99), (4, 85, 3, 5, 1), (5, 80, 64, 7, 0)])
+def test_families(documents, words, percent, list_rows, block_rows, family_blocks):
     rows = families(percent + list_rows)
     docs = documents(rows).repartition(5)
-    got = nj.near_join(docs, words=words, percent=percent, list_rows=list_rows, block_rows=block_rows, frequent=64)
+    got = nj.near_join(docs, words=words, percent=percent, list_rows=list_rows, block_rows=block_rows, family_blocks=family_blocks, frequent=64)
     assert answer(got) == brute(rows, words, percent)
 
 
@@ -91,7 +92,7 @@ def test_prefixes_share_enough():
     """Linked sets always share the smaller of their two l within their prefixes."""
     rng = np.random.default_rng(3)
     universe = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
-    slots = np.unique(universe[:1500] >> np.uint64(64 - nj.SLOT_BITS))
+    slots = np.unique(universe[:3950] >> np.uint64(64 - nj.SLOT_BITS))
     levels = rng.integers(2, 12, len(slots)).astype(np.uint8)
     seen = set()
     for _ in range(300):
@@ -101,7 +102,8 @@ def test_prefixes_share_enough():
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
             (pa, la), (pb, lb) = (nj.prefix(x, slots, levels, 85) for x in (a, b))
-            assert len(np.intersect1d(pa, pb)) >= min(la, lb)
+            need = int(nj.needed_matches(*(np.array([x]) for x in (len(a), la, len(b), lb)), 85)[0])
+            assert len(np.intersect1d(pa, pb)) >= need >= min(la, lb)
             seen.add(min(la, lb))
     assert len(seen) > 1
 
