@@ -161,15 +161,13 @@ def repeat_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_co
     one of the counts of its key.
     """
     # sort_array keeps the list the same on recomputation; a key repeats only if a row does
-    taken = mix.groupBy(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_key")).agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias("mix_copies"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("mix_id"),
-                       F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("mix_key"))
-    both = rows.join(taken.withColumnRenamed("mix_id", "mix_id2").withColumnRenamed("mix_key", "mix_key2"),
-                     F.col("mix_id").eqNullSafe(F.col("mix_id2")) & (F.col("mix_key") == F.col("mix_key2")))
-    nth = F.row_number().over(Window.partitionBy("mix_id", "mix_key").orderBy(F.lit(1)))
-    return (both.select("row", F.when(F.size("mix_copies") > 1, F.element_at("mix_copies", nth))
-                        .otherwise(F.element_at("mix_copies", 1)).alias("copies"))
+    taken = mix.groupBy(F.col("key").alias("mix_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("mix_copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("mix_key"))
+    # one key for join and window, so that the texts are shuffled once
+    nth = F.row_number().over(Window.partitionBy("mix_key").orderBy(F.lit(1)))
+    return (rows.join(taken, "mix_key")
+            .select("row", F.when(F.size("mix_copies") > 1, F.element_at("mix_copies", nth))
+                    .otherwise(F.element_at("mix_copies", 1)).alias("copies"))
             .where("copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*"))
 

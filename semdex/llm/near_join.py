@@ -47,7 +47,8 @@ BLOCK_ROWS = 2048
 FAMILY_BLOCKS = 8
 BROADCAST_ROWS = 1 << 20
 VERIFY_COST = 8.0                   # of a candidate, against reading one list entry
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+SEEN = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -428,7 +429,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 cid = shingler.class_id(s) if len(s) else None
                 if cid is None or cid in seen:
                     continue
-                if len(seen) < FLUSH:       # spares copies; those beyond it meet in the shuffle
+                if len(seen) < SEEN:        # spares copies; those beyond it meet in the shuffle
                     seen.add(cid)
                 head, match = prefix(s, slots, levels, percent)
                 tokens.append(head)
@@ -507,9 +508,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of rows that repeat it, the one with the smallest text hash."""
     found = materialize(near_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT))
     keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy(F.col("doc_id").alias("keep_id")).agg(F.min("text_hash").alias("keep_hash")))
-    kept = docs.select(F.struct("*").alias("row")).join(
-        keep, F.col("row.doc_id").eqNullSafe(F.col("keep_id"))
-        & (F.xxhash64("row.text") == F.col("keep_hash")))
-    nth = F.row_number().over(Window.partitionBy("keep_id").orderBy("keep_hash"))
+            .groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+            .select(F.xxhash64("doc_id", "text_hash").alias("keep_key")))
+    # one 64-bit key for join and window, so that the texts are shuffled once
+    kept = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("keep_key")).join(keep, "keep_key")
+    nth = F.row_number().over(Window.partitionBy("keep_key").orderBy(F.lit(1)))
     return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
