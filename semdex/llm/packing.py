@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -184,20 +183,24 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     group = F.pmod(F.xxhash64("doc_id", "doc_tokens", F.floor(F.col("start") / capacity)), F.lit(groups))
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "doc_tokens", "ids_crc32"], kind="stable", ignore_index=True)
+    def place(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("group").sort_by([(c, "ascending") for c in ("doc_id", "start", "doc_tokens", "ids_crc32")])
         length = rows["length"].to_numpy()
         full = length == capacity
-        window = np.empty(len(rows), np.int64)
+        window = np.empty(len(length), np.int64)
         window[~full] = differencing(length[~full], capacity)
         window[full] = window[~full].max(initial=-1) + 1 + np.arange(full.sum())
-        rows["sequence_id"] = (np.int64(key[0]) << 32) + window
-        rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
-        return rows.drop(columns="group")
+        order = np.argsort(window, kind="stable")
+        before = np.cumsum(length[order]) - length[order]
+        first = np.flatnonzero(np.diff(window[order], prepend=-1))
+        offset = np.empty(len(length), np.int64)
+        offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(length))))
+        return (rows.append_column("sequence_id", pa.array((np.int64(key[0].as_py()) << 32) + window))
+                .append_column("offset", pa.array(offset)))
 
     return (pieces.withColumn("group", group).groupBy("group")
-            .applyInPandas(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
-                                  "sequence_id long, offset long"))
+            .applyInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
+                                 "sequence_id long, offset long"))
 
 
 def tokenizer_path() -> str:

@@ -63,6 +63,12 @@ def test_pack(documents):
         assert r.ids_crc32 == crc32(piece.tobytes())
 
 
+def test_large_identifiers_beside_null(documents):
+    ids = [2 ** 62 + 1, None, -2 ** 60 - 3]
+    got = packing.pack(documents([(i, "a b c") for i in ids]), packing.tokenizer_path()).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, ids))
+
+
 def test_empty_table(documents):
     assert packing.pack(documents([]), packing.tokenizer_path()).count() == 0
 
