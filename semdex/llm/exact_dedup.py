@@ -4,7 +4,9 @@ The normalised texts are range-partitioned between sampled splitters and sorted
 inside each partition (Spark's external sort, which spills), so equal texts lie
 next to each other; a window over the sorted rows compares each text in full
 with its neighbour and keeps one row of every run. Range partitioning already
-gathers the runs, so the window adds no further shuffle.
+gathers the runs, so the window adds no further shuffle. The sort key begins with
+the leading characters and a hash of the text, and splitters are sampled of these
+alone: the driver never gets texts, and texts that begin alike still spread.
 
 A text that very many rows share would land between two splitters, in one task.
 A first pass therefore counts the texts by a 64-bit hash (map-side combined) and
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from semdex.llm._common import ascii_lower, materialize, partitions, table
 
 HOT_ROWS = 256
+LEAD = 16
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -46,10 +49,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = [r.h for r in counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n"), "h").limit(n).collect()]
     salt = F.lit(-1).cast("long")
     if hot:
-        salt = F.when(F.xxhash64("norm").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(salt)
-    ranged = text.withColumn("salt", salt).repartitionByRange("norm", "salt")
+        salt = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(salt)
+    ranged = (text.withColumn("lead", F.substring("norm", 1, LEAD)).withColumn("h", F.xxhash64("norm"))
+              .withColumn("salt", salt).repartitionByRange("lead", "h", "salt"))
 
-    run = Window.partitionBy("norm", "salt")
+    run = Window.partitionBy("lead", "h", "salt", "norm")
     order = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
     first = F.row_number().over(run.orderBy(order)) == 1
     best = F.min if keep == "smallest" else F.max
