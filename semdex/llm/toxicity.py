@@ -5,8 +5,9 @@ for the letters it resembles, a repeated character for one of its kind, blanks o
 points between single letters for nothing. A Viterbi search finds the path that
 is likeliest under the channel's costs and a character trigram model, which is
 counted over all documents. Only text that has more than one reading needs the
-search: tokens with a look-alike or separator before a letter or a character
-three times in a row, and four or more single characters in a row. The restored
+search: tokens with a letter and a look-alike, a separator before a letter or a
+doubled letter, and three or more single characters in a row. Symbols at the end
+of a token are read as letters or left as they are, whichever is likelier. The restored
 text is scored by logistic regression over the words it holds and their beginnings,
 learned with FTRL from a bounded sample of labelled documents.
 """
@@ -42,6 +43,7 @@ SEPARATORS = " .-_~*"
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëçàâîïôûùœñáíóú"
 # channel costs: a look-alike; a dropped character of a long run, of a pair; a dropped separator, a dropped star; a symbol as it is
 ALIKE, RUN, PAIR, JOIN, STAR, LITERAL = 0.7, 0.5, 2.5, 0.2, 1.5, 9.0
+LONE = 3.0              # besides PAIR in a token of letters only: about what a letter costs, else the shorter word would win by its length
 
 SYMBOLS = 64            # 0: a word's end, 1: any other character, then the letters
 SYMBOL = {c: i + 2 for i, c in enumerate(LETTERS)} | dict.fromkeys(" \t\n\x0b\x0c\r", 0)
@@ -52,8 +54,14 @@ for _c, _i in SYMBOL.items():
         _TABLE[ord(_c.upper())] = _i
 
 _odd = re.escape("".join(LOOK_ALIKES) + SEPARATORS.strip())
-_TOKEN = re.compile(rf"(?<!\S)[^\s{_odd}]*[{_odd}](?=\S*[^\W\d_])\S*|(?<!\S)\S*?([^\W\d_])\1\1\S*")
-_SINGLES = re.compile(r"(?<!\S)(?:\S +){3,}\S[.,;:?!]*(?!\S)")
+_alike = re.escape("".join(LOOK_ALIKES))
+_TOKEN = re.compile(rf"(?<!\S)(?:[^\s{_odd}]*+[{_odd}](?=\S*[^\W\d_])\S*"
+                    rf"|(?:[^\w\s]|[\d_])*+[^\W\d_][^\s{_alike}]*+[{_alike}]\S*|\S*?([^\W\d_])\1\S*)")
+_SINGLES = re.compile(r"(?<!\S)(?:(?:\S +){3,}\S|(?=(?:\S +){0,2}[^\W\d_])(?:\S +){2}\S)[.,;:?!]*(?!\S)")
+_TAIL = re.compile(rf"(?<=\w)[^\w\s]*[{re.escape(''.join(c for c in LOOK_ALIKES if not c.isdigit()))}][^\w\s]*\Z")
+_DOUBLE = re.compile(r"([^\W\d_])(?=\1)")
+_MARKS = ".,;:?\"')"
+_FREE_TAIL = re.compile(r"(?:[.,;:?!]|([^\w\s])\1\1+)*\Z")    # sentence marks, a symbol three times or more
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -106,11 +114,12 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
         self.memo: dict[str, str] = {}
+        self.pairs: dict[str, bool] = {}
 
     @staticmethod
     def lattice(token: str) -> list[list[tuple[str, float]]]:
         """Per character its readings: what it is written as, and at what cost."""
-        out = []
+        out, pair = [], PAIR + LONE * _TAIL.sub("", token).strip(_MARKS).isalpha()
         for i, c in enumerate(token):
             before = token[i - 1] if i else ""
             run = c == before and (token[i - 2:i - 1] == c or token[i + 1:i + 2] == c)
@@ -124,16 +133,19 @@ class Restorer:
             else:
                 ways = [(c, 0.0)]
                 if c == before:
-                    ways.append(("", RUN if run else PAIR))
+                    ways.append(("", RUN if run else pair))
             out.append(ways)
         return out
 
-    def decode(self, token: str) -> str:
-        found = self.memo.get(token)
-        if found is not None:
-            return found
+    def search(self, token: str) -> tuple[float, str]:
+        """Cost and text of the cheapest path."""
         costs, paths = self.costs, {0: (0.0, None)}     # state: the last two symbols
         for ways in self.lattice(token):
+            if len(ways) == 1 and len(paths) == 1:
+                [(state, (cost, path))], written = paths.items(), ways[0][0]
+                s = SYMBOL.get(written, 1)
+                paths = {(state % SYMBOLS) * SYMBOLS + s: (cost + costs[state * SYMBOLS + s], (written, path))}
+                continue
             ahead: dict[int, tuple[float, object]] = {}
             for state, (cost, path) in paths.items():
                 for written, extra in ways:
@@ -145,19 +157,63 @@ class Restorer:
                     if to not in ahead or total < ahead[to][0]:
                         ahead[to] = (total, (written, path) if written else path)
             paths = ahead
-        path = min((cost + costs[state * SYMBOLS], i, path) for i, (state, (cost, path)) in enumerate(paths.items()))[2]
+        least, _, path = min((cost + costs[state * SYMBOLS], i, path) for i, (state, (cost, path)) in enumerate(paths.items()))
         out = []
         while path is not None:
             written, path = path
             out.append(written)
-        found = "".join(reversed(out))
+        return least, "".join(reversed(out))
+
+    def decode(self, token: str) -> str:
+        return self.search(token)[1]
+
+    def doubtful(self, token: str) -> bool:
+        """Whether a path that drops one of a doubled letter can win: the costs of a lone pair hang on its neighbours alone."""
+        token, pairs = f" {token} ", self.pairs
+        for m in _DOUBLE.finditer(token):
+            near = token[m.start() - 1:m.start() + 3]
+            found = pairs.get(near)
+            if found is None:
+                p, x, _, d = (SYMBOL.get(c, 0 if c in SEPARATORS else 1) for c in near)
+                kept, dropped = (p * SYMBOLS + x) * SYMBOLS, (x * SYMBOLS + x) * SYMBOLS
+                found = near[3] == near[1] or self.costs[kept + x] + self.costs[dropped + d] - self.costs[kept + d] > PAIR + LONE
+                if len(pairs) < MEMO_WORDS:
+                    pairs[near] = found
+            if found:
+                return True
+        return False
+
+    def surely_ends(self, core: str, tail: str) -> bool:
+        """Whether no letter that the symbols may stand for can be likelier than a word's end."""
+        if not _FREE_TAIL.match(tail) or not LOOK_ALIKES.keys() >= set(tail):
+            return False
+        a, b = (SYMBOL.get(c, 0 if c in SEPARATORS else 1) for c in (" " + core)[-2:])
+        state = (a * SYMBOLS + b) * SYMBOLS
+        end = self.costs[state]
+        return all(end <= ALIKE + log(len(LOOK_ALIKES[c])) + self.costs[state + SYMBOL[x]] for c in set(tail) for x in LOOK_ALIKES[c])
+
+    def read(self, token: str) -> str:
+        """The token decoded; the word may also end before the symbols at its end, which then stay."""
+        found = self.memo.get(token)
+        if found is not None:
+            return found
+        tail = None if token[-1:].isalnum() else _TAIL.search(token)
+        core = token[:tail.start()] if tail else token
+        if core.strip(_MARKS).isalpha() and not self.doubtful(core) and (not tail or self.surely_ends(core, tail[0])):
+            found = token
+        else:
+            cost, found = self.search(token)
+            if tail:
+                ends, word = self.search(core)
+                if ends + (0.0 if _FREE_TAIL.match(tail[0]) else LITERAL) <= cost:
+                    found = word + tail[0]
         if len(self.memo) < MEMO_WORDS:
             self.memo[token] = found
         return found
 
     def restore(self, text: str) -> str:
-        text = _SINGLES.sub(lambda m: self.decode(re.sub(" +", " ", m[0])), text.lower())
-        return _TOKEN.sub(lambda m: self.decode(m[0]), text)
+        text = _SINGLES.sub(lambda m: self.read(re.sub(" +", " ", m[0])), text.lower())
+        return _TOKEN.sub(lambda m: self.read(m[0]), text)
 
 
 class _Slots(dict):

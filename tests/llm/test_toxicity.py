@@ -58,6 +58,28 @@ def test_restores(costs):
         assert r.restore(clean) == clean
 
 
+@pytest.mark.parametrize("seen", ["idi07", "hat3", "di3", "ki11", "a55", "a$$", "stuupid", "iidiiot", "loosser", "d i e"])
+def test_every_ambiguous_token_is_searched(seen, costs):
+    r = tox.Restorer(costs)
+    assert r.restore(f"the {seen} and") == f"the {best_path(seen, costs)} and" != f"the {seen} and"
+
+
+def test_ends_and_pairs(costs):
+    r = tox.Restorer(costs)
+    for seen, meant in {"idi07": "idiot", "hat3": "hate", "di3": "die", "stuupid": "stupid", "iidiiot": "idiot", "loosser": "loser",
+                        "d i e": "die", "1d10t!": "idiot!", "loosser!!": "loser!!"}.items():
+        assert r.restore(f"the {seen} and") == f"the {meant} and"
+    for clean in ["worthless", "worthless!", "the!!", "of%%%", "a$$$", "scum!", "all", "tree", "1 2 3"]:
+        assert r.restore(f"the {clean} and") == f"the {clean} and"
+
+
+def test_shortcuts_agree_with_the_search(spark, costs):
+    words = {w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in (r.text or "").lower().split()}
+    r = tox.Restorer(costs)
+    doubled = [w for w in words if w.isalpha() and tox._DOUBLE.search(w)]
+    assert len(doubled) > 5000 and all(r.read(w) == r.decode(w) for w in doubled)
+
+
 def test_held_out_and_disguised(spark, costs):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = tox.op10_toxicity(spark, SF).toPandas().merge(labels.toPandas(), on="doc_id")
