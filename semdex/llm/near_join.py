@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semdex.llm._common import join_groups, materialize, partitions, table
+from semdex.llm._common import SPACES, join_groups, materialize, partitions, table
 
 WORDS, PERCENT = 4, 85              # the query's contract
 NEAR_WORDS, NEAR_PERCENT = 5, 80    # near duplicates in the pipeline
@@ -390,15 +390,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
               percent: int = PERCENT, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS,
               family_blocks: int = FAMILY_BLOCKS, frequent: int = FREQUENT) -> DataFrame:
-    """One row per input row: doc_id, text_hash, n_shingles, component_id.
+    """One row per input row: doc_id, text_hash, n_shingles, component_id, root.
 
     Two rows link if 100 * common shingles >= percent * united shingles, words
     being `[^\\x20\\x09-\\x0D]+` of the whole text with A-Z lower-cased; a text of
     fewer words than a shingle is one shingle. Null, empty and blank texts link
     with nothing and are their own component. component_id is the smallest
     identifier reachable; a null identifier counts only where no other is in the
-    component. Rows that repeat an identifier are documents of their own. Other
-    columns are ignored; an empty table gives an empty result.
+    component. Rows that repeat an identifier are documents of their own, so the
+    component itself is known by root, 64 bits, null for texts without shingles.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -489,12 +490,13 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
              .mapInArrow(_verify(percent), "u long, v long"))
     roots = materialize(components(links).join(classes, F.col("node") == F.col("cid")).select("node", "root", "first_id"))
     smallest = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = roots.join(smallest, "root").select(F.col("node").alias("cid"), "component_id")
+    linked = roots.join(smallest, "root").select(F.col("node").alias("cid"), "root", "component_id")
     groups = materialize(classes.join(linked, "cid", "left")
-                         .select("cid", "copies", F.coalesce("component_id", "first_id").alias("component_id")))
-    alone = classed.where("cid IS NULL").withColumn("component_id", F.col("doc_id"))
+                         .select("cid", "copies", F.coalesce("component_id", "first_id").alias("component_id"),
+                                 F.coalesce("root", "cid").alias("root")))
+    alone = classed.where("cid IS NULL").withColumns({"component_id": F.col("doc_id"), "root": F.col("cid")})
     joined = join_groups(classed.where("cid IS NOT NULL"), groups, "cid", "copies")
-    columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "root"]
     return joined.select(*columns).unionByName(alone.select(*columns))
 
 
@@ -505,12 +507,14 @@ def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest identifier stays;
-    of rows that repeat it, the one with the smallest text hash."""
+    of rows that repeat it, the one with the smallest text hash. Rows without
+    shingles are components of their own and all stay."""
     found = materialize(near_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT))
-    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-            .select(F.xxhash64("doc_id", "text_hash").alias("keep_key")))
+    keep = (found.where("root IS NOT NULL").groupBy("root")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("least"))
+            .select(F.xxhash64("least.doc_id", "least.text_hash").alias("keep_key")))
+    blank = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES)) == ""
     # one 64-bit key for join and window, so that the texts are shuffled once
-    kept = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("keep_key")).join(keep, "keep_key")
+    kept = docs.where(~blank).select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("keep_key")).join(keep, "keep_key")
     nth = F.row_number().over(Window.partitionBy("keep_key").orderBy(F.lit(1)))
-    return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
+    return kept.withColumn("nth", nth).where("nth = 1").select("row.*").unionByName(docs.where(blank))

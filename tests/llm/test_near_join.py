@@ -149,3 +149,20 @@ def test_stage_keeps_one_of_each_group(spark, documents):
     assert kept.columns == docs.columns
     ids = [str(r.doc_id) for r in kept.collect()]
     assert len(ids) == len(set(ids)) and set(ids) == want
+
+
+def test_stage_keeps_one_of_each_component(documents):
+    """Identifiers that are null or repeated do not make rows one document."""
+    rng = random.Random(11)
+    long_ = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=60)) for _ in range(6)]
+    rows = ODD + [(None, long_[0]), (None, long_[1]), (None, long_[2]), (None, long_[2] + " end"), (40, long_[3]), (40, long_[4]),
+                  (None, long_[5]), (41, long_[5] + " end"), (None, None), (None, ""), (None, "")]
+    got = nj.near_stage(None, documents(rows), None).collect()
+    kept = sorted((str(r.doc_id), (r.text or "")[:200]) for r in got if (r.text or "").split())
+    alone = [(None, "Élan vital 😀 déjà vu"), (6, "élan vital 😀 déjà vu"), (7, rows[9][1][:200]), (8, "x"), ODD[11], ODD[12], ODD[0]]
+    once = [(None, long_[0]), (None, long_[1]), (40, long_[3]), (40, long_[4]), (41, long_[5] + " end")]
+    either = [k for k in kept if k[1].startswith(long_[2][:200])]
+    want = sorted((str(i), t[:200]) for i, t in alone + once)
+    assert len(either) == 1 and either[0][0] == "None" and sorted(k for k in kept if k not in either) == want
+    assert sorted(str(r.doc_id) for r in got if not (r.text or "").split()) == sorted(
+        str(i) for i, t in rows if not (t or "").split())
