@@ -19,23 +19,24 @@ import heapq
 import os
 import re
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semdex.llm._common import materialize, table
 
 CAPACITY = 1024
-PIECE = 128
+PIECE = 256
 GROUP_WINDOWS = 256
 END_ID = 0
-MEMO_UNITS, MEMO_PARTS = 400_000, 1_200_000     # about 0.1 and 0.25 GB in a Python worker
+MEMO_UNITS, MEMO_PARTS, MEMO_CHARS = 400_000, 1_000_000, 64     # entries, and characters of one: 0.35 GB at most in a Python worker
+CHUNK_CHARS = 1 << 24   # of texts that are encoded together
 # the pattern by which the byte-level tokenizer cuts a text before it merges (fixed value)
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut before the middle blank would part a run of white space that belongs together
@@ -43,47 +44,86 @@ _INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
 class DocumentIds:
-    """Text -> little-endian unsigned 32-bit ids. Between two words that one
-    blank separates the tokenizer always cuts, so the text is encoded in such
-    units, and a unit met before is looked up; so are the parts into which the
-    tokenizer's own pattern cuts a new unit. Other texts are encoded whole."""
+    """Texts -> little-endian unsigned 32-bit ids. Between two words that one blank
+    separates the tokenizer always cuts, so the texts of a batch are cut before every
+    blank and each distinct unit is encoded once; units met before are looked up, and
+    so are the parts into which the tokenizer's own pattern cuts a new one. Texts with
+    runs of white space, and those that hold the string of a token added to the
+    vocabulary, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
-        self.units: dict[str, bytes] = {}
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.units: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        cut_up = [PARTS.findall(u) for u in units]
+    def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
+        cut_up = [PARTS.findall(u.decode("utf-8")) for u in units]
         new = list({p for parts in cut_up for p in parts if p not in self.parts})
-        known = self.parts
-        if len(known) + len(new) <= MEMO_PARTS:       # frequent ones come early: what is full stays as it is
-            known.update(zip(new, self._encode(new)))
-        else:
-            known = ChainMap(dict(zip(new, self._encode(new))), known)
-        found = {u: b"".join([known[p] for p in parts]) for u, parts in zip(units, cut_up)}
-        if len(self.units) + len(found) <= MEMO_UNITS:
-            self.units.update(found)
+        ids = dict(zip(new, self._encode(new)))
+        memo = self.parts
+        found = {u: b"".join([ids[p] if p in ids else memo[p] for p in parts]) for u, parts in zip(units, cut_up)}
+        # frequent ones come early: a memo that is full stays as it is
+        for memo, most, more in ((self.parts, MEMO_PARTS, ids), (self.units, MEMO_UNITS, found)):
+            if len(memo) + len(more) <= most:
+                memo.update((k, v) for k, v in more.items() if len(k) <= MEMO_CHARS)
         return found
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _INNER_BLANK.search(text) or "\0" in text:
-            return self._encode([text])[0]
-        units = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join(map(self.units.__getitem__, units))
-        except KeyError:
-            found = self._learn(list({u for u in units if u not in self.units}))
-            return b"".join([found[u] if u in found else self.units[u] for u in units])
+    def _by_units(self, texts: list[bytes]) -> list[bytes]:
+        bound = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        begins = np.append(data == 32, True)
+        begins[bound] = True
+        offset = np.flatnonzero(begins)
+        units = pa.Array.from_buffers(pa.binary(), len(offset) - 1, [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(joined)])
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = self._learn([u for u in distinct if u not in self.units])
+        ids = [found[u] if u in found else self.units[u] for u in distinct]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        size = size[at]
+        end = np.concatenate([[0], np.cumsum(size)])
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(end[-1]) + np.repeat(first[at] - end[:-1], size)]
+        edge = end[np.searchsorted(offset, bound)].tolist()
+        return [flat[s:e].tobytes() for s, e in zip(edge, edge[1:])]
+
+    def every(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; none for null."""
+        start = 0
+        while start < len(texts):
+            out, regular, size, at = [], [], 0, start
+            while at < len(texts) and size < CHUNK_CHARS:
+                text = texts[at] or ""
+                if _INNER_BLANK.search(text) or self.added and self.added.search(text):
+                    out.append(self._encode([text])[0])
+                else:
+                    out.append(None)
+                    regular.append(text.encode("utf-8"))
+                    size += len(text)
+                at += 1
+            rest = iter(self._by_units(regular))
+            yield from (next(rest) if x is None else x for x in out)
+            start = at
+
+
+_encoders: dict[str, DocumentIds] = {}
+
+
+def document_ids(path: str) -> DocumentIds:
+    """One per Python worker: the tokenizer and what it has learned serve all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = DocumentIds(path)
+    return _encoders[path]
 
 
 def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -95,17 +135,18 @@ def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int,
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                      capacity: int = CAPACITY, piece: int = PIECE, end_id: int = END_ID) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens. A null text has the end id alone."""
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, row (the document's place in the
+    table as it was read, for documents that share an identifier). A null text has the end id alone."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = DocumentIds(tokenizer_path)
+        encoder, row = document_ids(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encoder.ids(text) + end
+            for i, ids in enumerate(encoder.every(batch.column("text").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for s, k in cut(n, capacity, piece):
                     at.append(i)
@@ -113,12 +154,13 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     length.append(k)
                     crc.append(crc32(ids[4 * s:4 * (s + k)]))
                     total.append(n)
+            at = np.array(at, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())),
-                 *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                [batch.column("doc_id").take(pa.array(at)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, at + row))],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+            row += batch.num_rows
 
-    return rows.mapInArrow(encode, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(encode, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 def _difference(lengths: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,18 +215,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Every id of every row lies in one piece; null and empty texts have the end id
     alone; rows that repeat an identifier, null ones too, are documents of their
-    own. Other columns are ignored; an empty table gives an empty result.
+    own, and however many they are, they spread over the groups. A very long text
+    is tokenised in one piece in its task, and its windows spread too. Other columns
+    are ignored; an empty table gives an empty result.
     """
     pieces = materialize(tokenised_pieces(docs, tokenizer_path, id_col, text_col, capacity, piece))
     loose = pieces.agg(F.coalesce(F.sum(F.when(F.col("length") < capacity, F.col("length"))), F.lit(0)),
                        F.count(F.lit(1))).first()
     # a group holds group_windows windows of loose pieces, and about that many full ones or fewer pieces than 16 each
     groups = max(1, round(loose[0] / (capacity * group_windows)), loose[1] // (16 * group_windows))
-    group = F.pmod(F.xxhash64("doc_id", "doc_tokens", F.floor(F.col("start") / capacity)), F.lit(groups))
+    group = F.pmod(F.xxhash64("row", F.floor(F.col("start") / capacity)), F.lit(groups))
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def place(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns("group").sort_by([(c, "ascending") for c in ("doc_id", "start", "doc_tokens", "ids_crc32")])
+        rows = rows.sort_by([("row", "ascending"), ("start", "ascending")]).drop_columns(["group", "row"])
         length = rows["length"].to_numpy()
         full = length == capacity
         window = np.empty(len(length), np.int64)

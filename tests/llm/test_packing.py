@@ -15,7 +15,6 @@ BLANKS = ["a  b", "a\n b", "x   y \n z", "  lead", "trail  ", " ", "  x", "it's
 def plain(texts):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     return [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4") for x in texts]
 
 
@@ -23,7 +22,16 @@ def test_units_give_the_tokenizers_ids():
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()] + BLANKS
     ids = packing.DocumentIds(packing.tokenizer_path())
     for _ in range(2):
-        assert all(ids.ids(t) == want.tobytes() for t, want in zip(texts, plain(texts)))
+        assert list(ids.every(texts)) == [x.tobytes() for x in plain(texts)]
+
+
+def test_chunks_and_full_memos_change_nothing(monkeypatch):
+    for name, value in (("CHUNK_CHARS", 30), ("MEMO_UNITS", 3), ("MEMO_PARTS", 4), ("MEMO_CHARS", 5)):
+        monkeypatch.setattr(packing, name, value)
+    texts = [None, "", "one two one", "three  four", "unbelievably long-winded words", "one two", " x", *BLANKS] * 3
+    ids = packing.DocumentIds(packing.tokenizer_path())
+    assert list(ids.every(texts)) == [x.tobytes() for x in plain(texts)]
+    assert len(ids.units) <= 3 and all(len(p) <= 5 for p in ids.parts)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -52,15 +60,31 @@ def test_differencing_against_every_partition():
 def test_pack(documents):
     rows = [*ODD, (7, "again " * 3000), (None, None)]
     got = packing.pack(documents(rows), packing.tokenizer_path()).toPandas()
-    want = sorted((str(i), len(x) + 1) for (i, *_), x in zip(rows, plain([t for _, t, *_ in rows])))
-    key = got.doc_id.map(lambda x: "None" if x != x or x is None else str(int(x)))
-    assert sorted(zip(key, got.doc_tokens))[0] and got.length.sum() == sum(n for _, n in want)
+    ids = {}
+    for (i, *_), x in zip(rows, plain([t for _, t, *_ in rows])):
+        ids.setdefault(i, []).append(np.append(x, np.uint32(0)).astype("<u4"))
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert (s.offset.to_numpy() == np.append(0, s.length.cumsum().to_numpy()[:-1])).all() and s.length.sum() <= 1024
-    ids = dict(zip([r[0] for r in rows], plain([t for _, t, *_ in rows])))
-    for r in got[key == "2"].itertuples():
-        piece = np.append(ids[2], np.uint32(0)).astype("<u4")[r.start:r.start + r.length]
-        assert r.ids_crc32 == crc32(piece.tobytes())
+    # every piece has the untouched tokenizer's ids, and the pieces of each identifier cover its documents once
+    key = [None if x != x or x is None else int(x) for x in got.doc_id]
+    assert got.length.sum() == sum(len(x) for xs in ids.values() for x in xs)
+    for r, k in zip(got.itertuples(), key):
+        assert any(len(x) == r.doc_tokens and crc32(x[r.start:r.start + r.length].tobytes()) == r.ids_crc32 for x in ids[k])
+    for i, xs in ids.items():
+        mine = got[[k == i for k in key]]
+        want = sorted((len(x), s, n) for x in xs for s, n in packing.cut(len(x)))
+        assert sorted(zip(mine.doc_tokens, mine.start, mine.length)) == want
+
+
+def test_rows_without_identifier_spread(documents):
+    # a third of the rows has no identifier and one text: no group holds more than its share
+    rows = [(None, "the same words again") for _ in range(2000)] + [(i, f"text number {i} of its own") for i in range(4000)]
+    docs = documents(rows).repartition(5)
+    got = packing.pack(docs, packing.tokenizer_path(), capacity=64, group_windows=8).toPandas()
+    assert len(got) == 6000 and got.doc_id.isna().sum() == 2000
+    per_group = got.groupby(got.sequence_id // 2 ** 32).size()
+    assert len(per_group) > 30 and per_group.max() < 4 * per_group.mean()
+    assert got.groupby("sequence_id").length.sum().max() <= 64
 
 
 def test_large_identifiers_beside_null(documents):
