@@ -125,13 +125,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, res
 
     Rows are chosen by a hash of the identifier, so reruns agree; where labels of
     an identifier differ the smaller one counts, null labels and identifiers are
-    left out. The chosen identifiers are a bounded table and are broadcast.
+    left out. The chosen identifiers are a bounded table and are broadcast. Of
+    rows that repeat an identifier the one with the smallest text hash counts.
     """
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), of, rest))
               .groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
               .withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(rows))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
     return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-            .select("at", "text", "y"))
+            .groupBy("doc_id", "at", "y").agg(first.alias("text")).select("at", "text", "y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 5, rest: int = 0,

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from semdex.llm._common import SPACES, table
+from semdex.llm._common import SPACES, materialize, table
 from semdex.llm.quality import labelled_sample
 
 SAMPLE_ROWS = 20_000
@@ -171,7 +171,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     """Learn the list from labels.quality; the driver gets at most `sample_rows`
     rows of nine numbers. Rows outside the fold crc32 mod `of` = `rest` are used;
     no labelled row gives an empty list, which keeps everything."""
-    sample = labelled_sample(docs, labels, "quality", of, rest, sample_rows)
+    # a written table: else the counts would be taken below the join, of every document
+    sample = materialize(labelled_sample(docs, labels, "quality", of, rest, sample_rows))
     counted = (sample.select("at", "y", text_counts("text").alias("c")).select("at", "y", "c.*")
                .where(~base_failed()).select("at", "y", *[f.alias(k) for k, f in features().items()]))
     rows = pd.DataFrame([r.asDict() for r in counted.collect()], columns=["at", "y", *features()])
