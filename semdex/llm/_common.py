@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"     # what separates words
 SPACES = " \t\n\x0b\x0c\r"
 
-__all__ = ["ascii_lower", "join_groups", "materialize", "partitions", "table", "uniform", "word_count", "word_list"]
+__all__ = ["ascii_lower", "delta_planes", "from_delta_planes", "join_groups", "materialize", "partitions", "table", "uniform", "word_count", "word_list"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_row
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     return (rows.where(is_hot).join(F.broadcast(groups.where(is_hot)), key)
             .unionByName(rows.where(~is_hot).join(groups.where(~is_hot), key)))
+
+
+def delta_planes(sorted_ints: np.ndarray, width: int) -> bytes:
+    """Differences of sorted integers, byte by byte, so that the high bytes compress away."""
+    d = np.diff(sorted_ints, prepend=np.uint64(0)).astype("<u8")
+    return d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_delta_planes(data: bytes, width: int) -> np.ndarray:
+    d = np.zeros((len(data) // width, 8), np.uint8)
+    d[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return np.cumsum(d.view("<u8").ravel())

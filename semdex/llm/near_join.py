@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semdex.llm._common import SPACES, join_groups, materialize, partitions, table
+from semdex.llm._common import SPACES, delta_planes, from_delta_planes, join_groups, materialize, partitions, table
 
 WORDS, PERCENT = 4, 85              # the query's contract
 NEAR_WORDS, NEAR_PERCENT = 5, 80    # near duplicates in the pipeline
@@ -103,18 +103,6 @@ class Shingler:
         return int(self._mix(np.array([spread.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(spread >> np.uint64(7))]))[0].astype(np.int64))
 
 
-def _planes(sorted_ints: np.ndarray, width: int) -> bytes:
-    """Differences of sorted integers, byte by byte, so that the high bytes compress away."""
-    d = np.diff(sorted_ints, prepend=np.uint64(0)).astype("<u8")
-    return d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _unplanes(data: bytes, width: int) -> np.ndarray:
-    d = np.zeros((len(data) // width, 8), np.uint8)
-    d[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return np.cumsum(d.view("<u8").ravel())
-
-
 def frequent_slots(docs: DataFrame, words: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted slots of the most frequent shingles and their levels (log2 of the
     number of documents), at most `frequent` of them, counted over all documents."""
@@ -130,7 +118,7 @@ def frequent_slots(docs: DataFrame, words: int, frequent: int = FREQUENT) -> tup
             cuts = [(b, s, e) for b, (s, e) in enumerate(zip([0, *ends[:-1]], ends)) if e > s]
             return pa.RecordBatch.from_arrays([
                 pa.array([b for b, _, _ in cuts], pa.int32()),
-                pa.array([_planes(slots[s:e], width) for _, s, e in cuts], pa.binary()),
+                pa.array([delta_planes(slots[s:e], width) for _, s, e in cuts], pa.binary()),
                 pa.array([np.minimum(n[s:e], 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() for _, s, e in cuts], pa.binary())],
                 names=["bucket", "slots", "n"])
 
@@ -169,7 +157,7 @@ def frequent_slots(docs: DataFrame, words: int, frequent: int = FREQUENT) -> tup
                 if b != bucket:
                     yield from done()
                     bucket, slots, counts = b, [], []
-                slots.append(_unplanes(s, width))
+                slots.append(from_delta_planes(s, width))
                 counts.append(np.frombuffer(n, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel().astype(np.int64))
         yield from done()
 
