@@ -6,6 +6,7 @@ tests. Fragments are composed as CTEs over the pre-registered test views.
 from __future__ import annotations
 
 from semdex.functions.text import COLUMN_PREFIXES, CONTEXT_TEMPLATES, STOP_WORDS, TABLE_PREFIXES
+from semdex.plans.search import A_IND, A_POS, A_QUERY, PRIME, STEP
 from semdex.sources.testdata import KEYWORD_IDS, TURN_IDS
 
 ASCII_WS = r"[ \t\n\r\x0b\x0c\x1c-\x1f]+"
@@ -238,6 +239,41 @@ g7 AS (SELECT g23.query_id, g23.ind, g23.sum_topk, g23.table_align, g4.penalty,
 """
 
 
+def learned_cte(individuals: int = 5100) -> str:
+    """G9 and G8 after `weights_cte`: the whole population of each query, drawn as the search draws it."""
+    return f"""
+per AS (SELECT query_id, count(*) AS n, list(vec ORDER BY pos) AS vs FROM cvec GROUP BY ALL),
+mix AS (SELECT query_id, n, vs, i.ind::BIGINT AS ind,
+          list_transform(range(n), lambda p: (query_id % {PRIME} * {A_QUERY} + i.ind * {A_IND} + p * {A_POS}) % {PRIME}) AS x
+        FROM per, range({individuals}) i(ind) WHERE n > 1 OR i.ind < 2),
+drawn AS (SELECT query_id, n, ind, CASE WHEN ind = 0 THEN list_transform(range(n), lambda p: (p = 0)::INT::DOUBLE)
+            WHEN ind = 1 THEN list_transform(range(n), lambda p: 1.0::DOUBLE)
+            ELSE list_transform(list_transform(x, lambda a: [a, (a * a + {STEP}) % {PRIME}]),
+                                lambda t: ((t[2] * t[2] + t[1]) % {PRIME}) / {PRIME}.0::DOUBLE) END AS w FROM mix),
+shares AS (SELECT query_id, n, ind, w, list_transform(w, lambda a: a / CASE WHEN list_sum(w) = 0 THEN 1.0 ELSE list_sum(w) END) AS s FROM drawn),
+graw AS (SELECT query_id, list(g ORDER BY i) AS g FROM (
+  SELECT a.query_id, a.pos AS i, list(list_dot_product(a.vec, b.vec) ORDER BY b.pos) AS g
+  FROM cvec a JOIN cvec b USING (query_id) GROUP BY ALL) GROUP BY ALL),
+gunit AS (SELECT query_id, list(g ORDER BY i) AS g FROM (
+  SELECT a.query_id, a.pos AS i, list(list_dot_product(a.vec, b.vec) ORDER BY b.pos) AS g
+  FROM cu a JOIN cu b USING (query_id) GROUP BY ALL) GROUP BY ALL),
+lens AS (SELECT query_id, n, ind, w, s, sqrt(greatest(0.0, list_sum(list_transform(range(n), lambda i: s[i + 1] * list_dot_product(s, g[i + 1]))))) AS len
+         FROM shares JOIN graw USING (query_id)),
+prods AS (SELECT c.query_id, t.vec_id, list(list_dot_product(c.vec, t.vec) ORDER BY c.pos) AS p FROM cvec c, tu t GROUP BY ALL),
+tops AS (SELECT l.query_id, l.ind, max(list_dot_product(l.s, p.p), 20) AS top FROM lens l JOIN prods p USING (query_id) GROUP BY ALL),
+cqs AS (SELECT cu.query_id, list(list_dot_product(cu.vec, qu.qv) ORDER BY cu.pos) AS cq FROM cu JOIN qu USING (query_id) GROUP BY ALL),
+lfit AS (SELECT l.query_id, l.ind, l.w,
+    list_sum(t.top) / l.u + 0.6 * (list_dot_product(l.s, c.cq) + 1.0) / 2.0
+      + 0.8 * (list_avg(t.top) / l.u) / ((1.0 + 1e-12) * (CASE WHEN l.len = 0 THEN 0.0 ELSE 1.0 END + 1e-12))
+      + coalesce(5.0 * l.w[f.pos + 1], 0.0)
+      - 0.4 * (list_sum(list_transform(range(l.n), lambda i: l.w[i + 1] * list_dot_product(l.w, g.g[i + 1])))
+               - list_sum(list_transform(range(l.n), lambda i: l.w[i + 1] * l.w[i + 1] * g.g[i + 1][i + 1]))) / 2.0 AS fitness
+  FROM (SELECT *, CASE WHEN len = 0 THEN 1.0 ELSE len END AS u FROM lens) l JOIN tops t USING (query_id, ind)
+  JOIN gunit g USING (query_id) JOIN cqs c USING (query_id) LEFT JOIN fp f USING (query_id)),
+lbest AS (SELECT query_id, w FROM lfit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(fitness, 10) DESC, ind) = 1)
+"""
+
+
 # --- column selection ---------------------------------------------------------------------
 def features_cte(top_n: int = 5) -> str:
     return f"""

@@ -14,7 +14,7 @@ from semdex import oracle as O
 from semdex.functions.text import with_normalized
 from semdex.functions.vectors import with_l2_normalized
 from semdex.operators.encode import encode_texts
-from semdex.operators.rank import nearest_terms, rank_tables, topk_dot
+from semdex.operators.rank import nearest_terms, rank_tables, score_summary, topk_dot
 from semdex.plans.context import Inputs
 
 QUERIES: dict = {}
@@ -77,11 +77,18 @@ SELECT query_id, rank, table_id, round(score, 6) AS score FROM ranked {{where}}
 """
 
 
-@register("r1_full_ranking", _RANK_SQL.format(where=""))
+@register("r1_full_ranking", _RANK_SQL.split("SELECT query_id, rank, table_id, round(score, 6)")[0] + """
+SELECT query_id, rank, table_id, round(score, 6) AS score, n_scored, round(least_score, 6) AS least_score, round(mean_score, 6) AS mean_score
+FROM ranked JOIN (SELECT query_id, count(*) AS n_scored, min(score) AS least_score, avg(score) AS mean_score FROM scored GROUP BY ALL) USING (query_id)
+WHERE rank <= 10
+""")
 def r1_full_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Every table scored for every query: the best 10, and number, least and mean of all scores.
+    The result grows with the queries, not with the pairs."""
     ctx = Inputs(spark, sf)
-    r = rank_tables(ctx.tables, _query_vectors(ctx), k=None)
-    return r.select("query_id", "rank", "table_id", _r6("score"))
+    vectors = _query_vectors(ctx)
+    r = rank_tables(ctx.tables, vectors, k=10).join(score_summary(ctx.tables, vectors), "query_id")
+    return r.select("query_id", "rank", "table_id", _r6("score"), "n_scored", _r6("least_score"), _r6("mean_score"))
 
 
 @register("r2_topk_ranking", _RANK_SQL.format(where="WHERE rank <= 20"))
@@ -583,7 +590,9 @@ def c10_feature_pipeline(spark, sf):
 from semdex.plans.search import learn_weights, search  # noqa: E402
 
 
-@register("g9_learn_weights")
+@register("g9_learn_weights", _W + ", " + O.learned_cte() + """
+SELECT query_id, unnest(range(len(w))) AS pos, round(unnest(list_transform(w, lambda a: a / (list_sum(w) + 1e-12))), 6) AS w FROM lbest
+""")
 def g9_learn_weights(spark, sf):
     wi = WeightInputs(spark, sf)
     w = learn_weights(wi.cands, wi.qtext, wi.tables_unit, "table_id", wi.dim)
@@ -659,12 +668,13 @@ from semdex.plans.index import (index_tables, read_learned_weights, read_table_v
 
 @register("r4_unknown_label", _CAT + """
 SELECT e.vec_id AS table_id, coalesce(c.table_name, 'ID_' || e.vec_id || '_DESCONHECIDO') AS table_name
-FROM embeddings e LEFT JOIN (SELECT seq, table_name FROM cat WHERE seq % 2 = 0) c ON c.seq = e.vec_id
+FROM embeddings e LEFT JOIN cat c ON c.seq = e.vec_id
 """)
 def r4_unknown_label(spark, sf):
-    """Every table vector under its catalogue name; half of the catalogue is unknown to the index."""
+    """Every table vector under its catalogue name. Unknown are the entries that the catalogue key
+    drops (an earlier one of two of the same name) and vectors beyond the documents."""
     ctx = Inputs(spark, sf)
-    known = ctx.catalogue.where(F.col("seq") % 2 == 0).select(F.col("seq").alias("table_id"), "table_name")
+    known = ctx.catalogue.select(F.col("seq").alias("table_id"), "table_name")
     return label_unknown(ctx.tables.select("table_id"), known, "table_id").select("table_id", "table_name")
 
 
