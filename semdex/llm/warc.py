@@ -21,9 +21,11 @@ import re
 import struct
 import uuid
 import zipfile
+from base64 import b32encode
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import sha256
+from hashlib import sha1, sha256
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -32,10 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semdex.llm._common import materialize, table
-from semdex.session import ensure_checkpoint_dir
+from semdex.llm._common import materialize, partitions, table
+from semdex.session import tables_folder
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+DATA, INDEX = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdxj"
+TASK_BYTES, TASK_PACKAGES = 64 << 20, 4     # of archives that a task reads; packages whose indexes a task reads
 REVISIT_BYTES = 100
 PACKAGE_BYTES = 256 << 20
 PACKAGE_RECORDS = 100_000
@@ -118,10 +122,16 @@ def member_start(f: pa.NativeFile, member: Member) -> int:
 
 # ---- records ----
 
-def _line(value: str) -> str:
+def _uri(value: str) -> str:
+    """Characters that can't stand in a header line, percent-encoded."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
+def _escaped(value: str) -> str:
+    """As `_uri`, and reversible by `unquote`."""
+    return _uri(value.replace("%", "%25"))
+
+
 def encode_record(page_id, url: str | None, payload: bytes | None, digest: str, n_bytes: int, refers_to) -> bytes:
     """One WARC record as a gzip member; a revisit (refers_to) has no payload."""
     kind = "response" if refers_to is None else "revisit"
@@ -131,11 +141,11 @@ def encode_record(page_id, url: str | None, payload: bytes | None, digest: str,
             f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n_bytes}",
             "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if page_id is not None:
-        head.append(f"X-Page-Id: {_line(str(page_id))}")
+        head.append(f"X-Page-Id: {_escaped(str(page_id))}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {_line(url)}")
+        head += [f"WARC-Target-URI: {_uri(url)}", f"X-Page-Url: {_escaped(url)}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {_line(str(refers_to))}"]
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {_escaped(str(refers_to))}"]
     data = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
     return gzip.compress(data, 6, mtime=0)
 
@@ -149,7 +159,20 @@ def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[:int(fields["content-length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+
+
+def _digest(fields: dict[str, str], payload: bytes, revisit: bool) -> str | None:
+    """The payload's SHA-256; a revisit's as its record says, null if it says another kind. A
+    response whose payload doesn't have the digest that its record names raises an error."""
+    kind, _, named = fields.get("warc-payload-digest", "").partition(":")
+    if revisit:
+        return named.lower() if kind == "sha256" else None
+    found = sha256(payload).hexdigest()
+    if kind == "sha256" and named.lower() != found or kind == "sha1" and named.upper() not in (
+            b32encode(sha1(payload).digest()).decode(), sha1(payload).hexdigest().upper()):
+        raise ValueError(f"payload of {fields.get('warc-record-id')} doesn't have its digest")
+    return found
 
 
 class _Package:
@@ -165,7 +188,7 @@ class _Package:
         self.lines, self.size = [], 0
 
     def add(self, record: bytes, kind: str) -> None:
-        self.lines.append(json.dumps({"offset": self.size, "length": len(record), "type": kind}))
+        self.lines.append(json.dumps({"offset": self.size, "length": len(record), "type": kind, "filename": DATA[len(ARCHIVES):]}))
         self.data.write(record)
         self.size += len(record)
 
@@ -222,39 +245,70 @@ def write_packages(pages: DataFrame, root: str, id_col: str = "page_id", url_col
                        .mapInArrow(write, "package string, records long, bytes long"))
 
 
-def record_spans(packages: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
-    """Per range of neighbouring records: package, start (in the file), offsets, lengths (from start)."""
+def index_entries(index: bytes) -> Iterator[dict]:
+    """Entries of a CDXJ index, gzip-compressed or not: a line's JSON, which a key and a timestamp
+    may precede. Lines without JSON (headers) are left out."""
+    if index[:2] == b"\x1f\x8b":
+        index = gzip.decompress(index)
+    for line in index.decode("utf-8").split("\n"):
+        at = line.find("{")
+        if at >= 0 and not line.startswith("!"):
+            yield json.loads(line[at:])
+
+
+def record_spans(packages: DataFrame, span_bytes: int = SPAN_BYTES, tasks: int | None = None) -> DataFrame:
+    """Per range of neighbouring records: package, start (in the file), offsets, lengths (from start).
+
+    Every stored member under `archive/` and every index under `indexes/` is read; an entry's
+    `filename` names its archive, which may be left out where there is only one. `tasks` read
+    the indexes (default: as many as the session's shuffles).
+    """
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for uri in batch["package"]:
                 fs, path = filesystem(uri)
                 with fs.open_input_file(path) as f:
-                    members = {m.name: m for m in read_directory(f)}
-                    data_at, index_at = (member_start(f, members[m]) for m in (DATA, INDEX))
-                    f.seek(index_at)
-                    index = f.read(members[INDEX].size).decode()
-                held, out = [], []
-                for line in filter(None, index.split("\n")):
-                    entry = json.loads(line)
-                    if held and entry["offset"] + entry["length"] - held[0][0] > span_bytes:
-                        out.append(held)
-                        held = []
-                    held.append((entry["offset"], entry["length"]))
-                if held:
-                    out.append(held)
-                yield pd.DataFrame({"package": uri, "start": [data_at + s[0][0] for s in out],
-                                    "offsets": [[o - s[0][0] for o, _ in s] for s in out],
-                                    "lengths": [[n for _, n in s] for s in out]})
-
-    return packages.select("package").repartition("package").mapInPandas(
+                    members = [m for m in read_directory(f) if not m.name.endswith("/")]
+                    archives = {m.name[len(ARCHIVES):]: member_start(f, m) for m in members if m.name.startswith(ARCHIVES)}
+                    found: dict[int, list[tuple[int, int]]] = {}
+                    for m in members:
+                        if not m.name.startswith(INDEXES) or m.name.endswith(".idx"):   # .idx: an index of index lines
+                            continue
+                        f.seek(member_start(f, m))
+                        for entry in index_entries(f.read(m.size)):
+                            name = entry.get("filename", next(iter(archives)) if len(archives) == 1 else None)
+                            name = name if name in archives else str(name).removeprefix(ARCHIVES)
+                            if name not in archives:
+                                raise ValueError(f"{uri} has no archive {name!r}")
+                            found.setdefault(archives[name], []).append((int(entry["offset"]), int(entry["length"])))
+                out = []
+                for at, entries in found.items():
+                    held: list[tuple[int, int]] = []
+                    for offset, length in sorted(entries):
+                        if held and offset + length - held[0][0] > span_bytes:
+                            out.append((at, held))
+                            held = []
+                        held.append((offset, length))
+                    out.append((at, held))
+                yield pd.DataFrame({"package": uri, "start": [at + s[0][0] for at, s in out],
+                                    "offsets": [[o - s[0][0] for o, _ in s] for _, s in out],
+                                    "lengths": [[n for _, n in s] for _, s in out]})
+
+    return packages.select("package").repartition(tasks or partitions(packages.sparkSession), "package").mapInPandas(
         spans, "package string, start long, offsets array<long>, lengths array<long>")
 
 
 def read_packages(packages: DataFrame, id_type: str = "long", payloads: bool = True, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """Per record: page_id, url, record_type, refers_to, payload_bytes, payload_digest
     and, with `payloads`, payload (null for a revisit). A response whose payload
-    doesn't have its digest raises an error."""
+    doesn't have its digest raises an error. Records of other writers have no page_id;
+    their url is the target URI, and a revisit's length and digest are null if unknown.
+
+    Tasks get about `TASK_BYTES` of archives each; packages are listed in a written
+    table, and the list of spans is one, so that both counts are taken from files.
+    """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text = lambda fields, name: None if name not in fields else unquote(fields[name], errors="surrogatepass")
         for batch in batches:
             for uri, start, offsets, lengths in zip(batch["package"], batch["start"], batch["offsets"], batch["lengths"]):
                 fs, path = filesystem(uri)
@@ -264,26 +318,27 @@ def read_packages(packages: DataFrame, id_type: str = "long", payloads: bool = T
                 rows = []
                 for o, n in zip(offsets, lengths):
                     fields, payload = decode_record(span[int(o):int(o + n)])
-                    digest = fields["warc-payload-digest"].partition(":")[2]
                     revisit = fields["warc-type"] == "revisit"
-                    if not revisit and sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of {fields['warc-record-id']} in {uri} doesn't have its digest")
-                    rows.append((fields.get("x-page-id"), fields.get("warc-target-uri"), fields["warc-type"],
-                                 fields.get("x-refers-to-page-id"), int(fields["x-payload-length"]) if revisit else len(payload),
-                                 digest, *([None if revisit else payload] if payloads else [])))
+                    size = int(fields["x-payload-length"]) if "x-payload-length" in fields else None
+                    rows.append((text(fields, "x-page-id"), text(fields, "x-page-url") or fields.get("warc-target-uri"), fields["warc-type"],
+                                 text(fields, "x-refers-to-page-id"), size if revisit else len(payload),
+                                 _digest(fields, payload, revisit), *([None if revisit else payload] if payloads else [])))
                 yield pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes",
-                                                  "payload_digest", *(["payload"] if payloads else [])])
+                                                  "payload_digest", *(["payload"] if payloads else [])]).astype({"payload_bytes": "Int64"})
 
     kinds = ("page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
              + ", payload binary" * payloads)
-    spans = record_spans(packages, span_bytes)
-    found = spans.repartition("package", "start").mapInPandas(read, kinds)
+    shuffles = partitions(packages.sparkSession)
+    listed = packages.count()
+    spans = materialize(record_spans(packages, span_bytes, max(1, min(listed, max(shuffles, listed // TASK_PACKAGES)))))
+    size = spans.agg(F.sum(F.element_at("offsets", -1) + F.element_at("lengths", -1))).first()[0] or 0
+    found = spans.repartition(max(shuffles, -(-size // TASK_BYTES)), "package", "start").mapInPandas(read, kinds)
     return found.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/semdex-warc/{uuid.uuid4().hex}"
+    root = f"{tables_folder(spark)}/warc-{uuid.uuid4().hex}"     # deleted with the other intermediate files
     return read_packages(write_packages(pages, root), payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,4 +1,8 @@
+import base64
+import gzip
 import hashlib
+import json
+import os
 import zipfile
 
 import duckdb
@@ -40,6 +44,61 @@ def test_round_trip(spark, tmp_path, package_records, span):
             assert len(z.read(warc.INDEX).splitlines()) == r.records and r.records <= package_records
 
 
+def test_several_archives_and_cdxj_lines(spark, tmp_path):
+    """A package of another writer: two archives, two indexes (one gzip-compressed), SHA-1 digests, no page ids."""
+    def record(kind, uri, payload, extra=()):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI: {uri}", "Content-Type: application/http; msgtype=response",
+                f"Content-Length: {len(block)}", *extra]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    sha = base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    records = {"a.warc.gz": [record("response", "http://x/%20a", b"one", [f"WARC-Payload-Digest: sha1:{sha}"]), record("response", "http://x/b", b"two")],
+               "b.warc.gz": [record("revisit", "http://x/c", b"", [f"WARC-Payload-Digest: sha1:{sha}"])]}
+    path, lines = tmp_path / "foreign.zip", {}
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/", "")
+        for name, rs in records.items():
+            z.writestr(f"archive/{name}", b"".join(rs))
+            at = 0
+            for i, r in enumerate(rs):
+                entry = json.dumps({"url": "http://x", "filename": name, "offset": str(at), "length": str(len(r))})
+                lines.setdefault(name, []).append(f"com,x)/{i} 20240101000000 {entry}")
+                at += len(r)
+        z.writestr("indexes/index.cdxj", "!CDXJ 1.0 {\"about\": 1}\n" + "\n".join(lines["a.warc.gz"]) + "\n")
+        z.writestr("indexes/more.cdx.gz", gzip.compress("\n".join(lines["b.warc.gz"]).encode()))
+        z.writestr("indexes/more.idx", "com,x)/ 20240101 {\"offset\": 0}")
+    got = warc.read_packages(spark.createDataFrame([(f"file://{path}",)], "package string")).collect()
+    assert sorted((r.url, r.record_type, r.payload_bytes, r.payload and bytes(r.payload)) for r in got) == [
+        ("http://x/%20a", "response", 3, b"one"), ("http://x/b", "response", 3, b"two"), ("http://x/c", "revisit", None, None)]
+    assert {r.payload_digest for r in got} == {hashlib.sha256(b"one").hexdigest(), hashlib.sha256(b"two").hexdigest(), None}
+
+
+def test_an_index_without_its_archive(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("archive/a", b"")
+        z.writestr("indexes/i.cdxj", json.dumps({"filename": "b", "offset": 0, "length": 1}))
+    with pytest.raises(Exception, match="no archive"):
+        warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/x.zip",)], "package string")).collect()
+
+
+def test_string_identifiers_and_urls_come_back(spark, tmp_path):
+    rows = [("a b", "http://x/a b%20c", "<p>1"), ("100%", "u%41\tx", "<p>2"), ("é/\n", None, "<p>3")]
+    docs = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = warc.read_packages(warc.write_packages(docs, str(tmp_path)), id_type="string").collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == sorted(rows)
+
+
+def test_tasks_follow_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    listed = warc.write_packages(pages(spark, [(i, "u", os.urandom(1000).hex()) for i in range(400)]).repartition(2), str(tmp_path), package_records=50)
+    found = warc.read_packages(listed, span_bytes=4_000)
+    size = listed.agg({"bytes": "sum"}).first()[0]
+    assert size > 400_000 and found.rdd.getNumPartitions() == -(-size // 20_000)
+    assert found.count() == 400
+
+
 def test_empty_table(spark, tmp_path):
     listed = warc.write_packages(pages(spark, []), str(tmp_path))
     assert listed.count() == 0 and warc.read_packages(listed).count() == 0
