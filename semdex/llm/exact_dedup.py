@@ -13,7 +13,9 @@ A first pass therefore counts the texts by a 64-bit hash (map-side combined) and
 takes the `partitions` most frequent hashes with `hot_rows` rows or more: by
 counting, no other text can exceed its fair share of a partition. The rows of
 those texts also get a salt in the sort key, which splits a run into sub-runs;
-their partial results, one row a sub-run and text, are then combined.
+their partial results, one row a sub-run and text, are then combined. The salt is a
+hash of the identifier and of the partition that the row was read in, so rows without
+identifier, or that repeat one, spread too, and a repeated task gives the same.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = [r.h for r in counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n"), "h").limit(n).collect()]
     salt = F.lit(-1).cast("long")
     if hot:
-        salt = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(salt)
+        salt = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(n))).otherwise(salt)
     ranged = (text.withColumn("lead", F.substring("norm", 1, LEAD)).withColumn("h", F.xxhash64("norm"))
               .withColumn("salt", salt).repartitionByRange("lead", "h", "salt"))
 
@@ -65,10 +67,15 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         runs = materialize(runs)
         # at most one row for each hot hash: a broadcast of bounded size
         whole = (runs.where("salt >= 0").groupBy("text_sha256", "n_bytes")
-                 .agg(best("keep_id").alias("all_keep"), F.count(F.lit(1)).alias("all_size")))
+                 .agg(best("keep_id").alias("all_keep"), F.count(F.lit(1)).alias("all_size"),
+                      F.collect_set(F.when(F.col("first"), F.struct("keep_id", "salt"))).alias("subruns"))
+                 # a text has at most `partitions` sub-runs; of those that hold the identifier that stays, one keeps its row
+                 .withColumn("all_salt", F.array_min(F.transform(F.filter("subruns", lambda r: r["keep_id"].eqNullSafe(F.col("all_keep"))),
+                                                                 lambda r: r["salt"]))).drop("subruns"))
         runs = (runs.join(F.broadcast(whole), ["text_sha256", "n_bytes"], "left")
                 .withColumn("keep_id", F.when(F.col("all_size").isNull(), F.col("keep_id")).otherwise(F.col("all_keep")))
-                .withColumn("group_size", F.coalesce("all_size", "group_size")))
+                .withColumn("group_size", F.coalesce("all_size", "group_size"))
+                .withColumn("first", F.col("first") & (F.col("all_salt").isNull() | (F.col("all_salt") == F.col("salt")))))
     kept = F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return runs.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256",
                        *(["row"] if carry else []))
