@@ -23,12 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semdex.llm._common import materialize, table, uniform, word_count
+from semdex.llm._common import materialize, partitions, table, uniform, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 FAN_IN = 64
 BROADCAST_SOURCES = 10_000
+HOT_ROWS = 256
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -61,7 +62,7 @@ def _pair(acc: Column, x: Column, seed: int) -> Column:
     p, q, a, b = acc["p"], x["p"], acc["size"].cast("double"), x["size"].cast("double")
     up, down = F.least(1 - p, q * b / a), F.least(p, (1 - q) * b / a)
     odds = F.coalesce(down / F.nullif(up + down, F.lit(0.0)), F.lit(0.0))
-    rise = uniform(F.lit(seed), acc["key"], x["key"]) < odds
+    rise = uniform(F.lit(seed), acc["key"], x["key"], acc["at"], x["at"]) < odds
 
     def step(first_ends: Column, first_up: Column, new_p: Column, new_q: Column) -> Column:
         ended = F.when(first_ends, F.struct(acc["doc_id"].alias("doc_id"), acc["key"].alias("key"),
@@ -69,7 +70,7 @@ def _pair(acc: Column, x: Column, seed: int) -> Column:
         ended = ended.otherwise(F.struct(x["doc_id"].alias("doc_id"), x["key"].alias("key"),
                                          x["size"].alias("size"), (~first_up).alias("up")))
         stays = lambda name: F.when(first_ends, x[name]).otherwise(acc[name])
-        return F.struct(stays("doc_id").alias("doc_id"), stays("key").alias("key"), stays("size").alias("size"),
+        return F.struct(stays("doc_id").alias("doc_id"), stays("key").alias("key"), stays("at").alias("at"), stays("size").alias("size"),
                         F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(first_ends, new_q).otherwise(new_p))).alias("p"),
                         F.concat(acc["done"], F.array(ended)).alias("done"))
 
@@ -78,34 +79,46 @@ def _pair(acc: Column, x: Column, seed: int) -> Column:
     return F.when(rise, rising).otherwise(falling)
 
 
+def _bucket(buckets: Column, level: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64("key", "at", F.lit(seed + level)), buckets)
+
+
 def _settle(items: DataFrame, buckets: Column, level: int, seed: int) -> DataFrame:
-    """Fold each bucket of (source, doc_id, key, size, p); one residual stays."""
+    """Fold each bucket of (source, doc_id, key, at, size, p); one residual stays."""
     # large documents first: they settle among themselves, and what remains tends to be small
-    item = F.struct("size", "key", "doc_id", "p")
+    item = F.struct("size", "key", "at", "doc_id", "p")
     done_type = "array<struct<doc_id:{0},key:bigint,size:bigint,up:boolean>>".format(
         items.schema["doc_id"].dataType.simpleString())
-    grouped = (items.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed + level)), buckets))
+    grouped = (items.withColumn("bucket", _bucket(buckets, level, seed))
                .groupBy("source", "bucket").agg(F.sort_array(F.collect_list(item), asc=False).alias("items")))
     head = F.element_at("items", 1)
-    start = F.struct(head["doc_id"].alias("doc_id"), head["key"].alias("key"), head["size"].alias("size"),
+    start = F.struct(head["doc_id"].alias("doc_id"), head["key"].alias("key"), head["at"].alias("at"), head["size"].alias("size"),
                      head["p"].alias("p"), F.array().cast(done_type).alias("done"))
     rest = F.slice("items", F.lit(2), F.size("items"))
     return grouped.select("source", F.aggregate(rest, start, lambda acc, x: _pair(acc, x, seed + level)).alias("f"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights=WEIGHTS, max_repeat: int = MAX_REPEAT, fan_in: int = FAN_IN, seed: int = 7) -> DataFrame:
+                weights=WEIGHTS, max_repeat: int = MAX_REPEAT, fan_in: int = FAN_IN, seed: int = 7,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: doc_id, source, key, size, source_size, target, copies, taken.
 
     size counts the words of the whole text (null or blank: 0); a null source is
     a source of its own, last in order. A document of size 0 is taken 0 times.
     key is a hash of identifier and text; rows that repeat both are separate
-    documents to the mix (they share a bucket). No document is taken more than
-    `max_repeat` times. An empty table gives an empty result.
+    documents to the mix. Very many of them don't meet in one bucket: the `partitions`
+    most frequent keys with `hot_rows` rows or more also have their rows' place in the
+    written table in the bucket's hash; by counting, no other key exceeds its fair
+    share. Of a very long text only the count of its words is kept. No document is
+    taken more than `max_repeat` times. An empty table gives an empty result.
     """
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     sized = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                                    key.alias("key"), word_count(F.col(f"`{text_col}`")).alias("size")))
+                                    key.alias("key"), word_count(F.col(f"`{text_col}`")).alias("size"))
+                        .withColumn("row", F.monotonically_increasing_id()))
+    hot = [r["key"] for r in sized.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows)
+           .orderBy(F.desc("n"), "key").limit(partitions(docs.sparkSession)).collect()]
+    sized = sized.withColumn("at", F.when(F.col("key").isin(hot), F.col("row")).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")).drop("row")
     sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, max_repeat))
     n_sources, most = targets.agg(F.count(F.lit(1)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
@@ -119,13 +132,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = (F.col("p") > 0) & (F.col("size") > 0)
 
     buckets = lambda level: F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(float(fan_in) ** level)))
-    items, settled, level, left = rows.where(split).select("source", "n_docs", "doc_id", "key", "size", "p"), [], 1, most
+    items, settled, level, left = rows.where(split).select("source", "n_docs", "doc_id", "key", "at", "size", "p"), [], 1, most
     while True:
         folded = materialize(_settle(items, buckets(level), level, seed))
         settled.append(folded.select("source", F.explode("f.done").alias("d"))
                        .select("source", "d.doc_id", "d.key", "d.size", F.col("d.up").cast("int").alias("more")))
         left = math.ceil(left / fan_in)
-        residual = folded.select("source", "f.doc_id", "f.key", "f.size", "f.p")
+        residual = folded.select("source", "f.doc_id", "f.key", "f.at", "f.size", "f.p")
         if left <= 1:
             break
         level += 1

@@ -55,12 +55,13 @@ def test_reruns_agree(documents):
 def test_expectation(documents):
     """Over seeds, a document is taken as often as its source's share says."""
     rows = [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(60)]
-    total, runs = defaultdict(float), 12
+    total, share, runs = defaultdict(float), {}, 12
     for seed in range(runs):
         for r in mixing.mix_sources(documents(rows), seed=seed).collect():
             total[r.source] += r.copies / runs
-            share = r.target / r.source_size
-    assert abs(total["b"] / 30 - share) < 0.25 or abs(total["a"] / 30 - share) < 0.25
+            share[r.source] = r.target / r.source_size
+    for s in "ab":
+        assert abs(total[s] / 30 - share[s]) < 0.25
 
 
 def test_stage_repeats_rows(spark, documents):
@@ -72,5 +73,24 @@ def test_stage_repeats_rows(spark, documents):
     assert out.count() == mix.groupBy().sum("copies").first()[0]
 
 
+def test_rows_without_identifier_spread(spark, documents):
+    """A third of the rows has no identifier and one text: no bucket gathers them, and the mix is whole."""
+    from pyspark.sql import functions as F
+    rows = [(None, "the same few words", "a")] * 2000 + [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(4000)]
+    docs = documents(rows).repartition(5)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 6000
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+    hot = [r.copies for r in got if r.doc_id is None]
+    share = target["a"] / next(r.source_size for r in got if r.source == "a")
+    assert len(hot) == 2000 and abs(sum(hot) / 2000 - share) < 0.1
+    keyed = spark.range(2000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("at"))
+    assert keyed.groupBy(mixing._bucket(F.lit(32), 1, 7).alias("b")).count().agg(F.max("count")).first()[0] < 130
+
+
 def test_empty_table(documents):
     assert mixing.mix_sources(documents([])).count() == 0
