@@ -14,13 +14,14 @@ their two sizes ask for (`needed_matches`).
   blocks of hash slots, delta-coded; the `frequent` most frequent slots (a fixed
   number) are broadcast as levels, the others count as rare. Any order is right.
 * prefix lists: one shuffle by shingle; lists of at most `list_rows` classes give
-  pairs; the pairs' shared shingles are counted.
+  pairs; the pairs' shared shingles are counted. Longer lists are told by a window's
+  count and pass through row by row; no task holds one whole.
 * verification: candidate pairs and longer lists (passages that very many sets
   share) connect classes to families; a family is dealt into blocks of
-  `block_rows` by hash, each pair of blocks a group, so that a set travels as
-  often as its family has blocks, mostly once. All pairs of a group are compared
-  there by matrix products, and no pair is ever a row. A group returns a spanning
-  forest of its links. A family of more than `family_blocks` blocks, which would
+  `block_rows` and `block_bytes` by hash, each pair of blocks a group, so that a set
+  travels as often as its family has blocks, mostly once. The pairs of a group are
+  compared there by matrix products, unless links found before connect both sides
+  already, and no pair is ever a row. A group returns a spanning forest of its links. A family of more than `family_blocks` blocks, which would
   compare too many sets that share nothing, is verified list by list instead, by
   the same blocks.
 * components: large-star / small-star rounds over the forests' edges.
@@ -43,7 +44,8 @@ MAX_MATCH = 4
 FREQUENT = 1 << 20
 SLOT_BITS = 36
 LIST_ROWS = 64
-BLOCK_ROWS = 2048
+BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
+BUCKET_WORDS = 1 << 22              # of the corpus, for each bucket of the frequency count
 FAMILY_BLOCKS = 8
 BROADCAST_ROWS = 1 << 20
 VERIFY_COST = 8.0                   # of a candidate, against reading one list entry
@@ -106,7 +108,8 @@ class Shingler:
 def frequent_slots(docs: DataFrame, words: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted slots of the most frequent shingles and their levels (log2 of the
     number of documents), at most `frequent` of them, counted over all documents."""
-    n_buckets, width = partitions(docs.sparkSession), -(-SLOT_BITS // 8)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets, width = max(partitions(docs.sparkSession), size // (6 * BUCKET_WORDS)), -(-SLOT_BITS // 8)
     per = -(-(1 << SLOT_BITS) // n_buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,29 +225,41 @@ def prefix(shingles: np.ndarray, slots: np.ndarray, levels: np.ndarray, percent:
     return shingles[order[:base + match - 1]], match
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Numeric columns of sorted batches, cut so that a run of equal first values is never parted
-    unless it exceeds LIST_ROWS: then its parts carry True as last item until it ends."""
+def _runs(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Numeric columns of sorted batches, cut so that a run of equal first values is never parted."""
     held = None
-    for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+    for now in batches:
         if not len(now[0]):
             continue
         if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        last = np.searchsorted(now[0], now[0][-1], side="left") if len(now[0]) else 0
+            now = tuple(np.concatenate(x) for x in zip(held, now))
+        last = np.searchsorted(now[0], now[0][-1], side="left")
         yield tuple(x[:last] for x in now)
-        held = [x[last:] for x in now]
+        held = tuple(x[last:] for x in now)
     if held is not None:
-        yield tuple(held)
+        yield held
 
 
 def _list_pairs(list_rows: int, percent: int):
-    """Sorted (token, cid, n, match) -> candidate pairs of short lists, members of long ones."""
+    """Sorted (token, cid, n, match, size: the list's length) -> candidate pairs of short lists, members of long ones."""
     corner = {}
+    names = ["token", "a", "b", "n", "need"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cid, n, match in _runs(batches, ["token", "cid", "n", "match"]):
+        long_: list[pa.RecordBatch] = []
+
+        def short() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                token, cid, n, match, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cid", "n", "match", "size"))
+                at = size > list_rows
+                if at.any():
+                    long_.append(pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(cid[at]), pa.nulls(int(at.sum()), pa.int64()),
+                                                             pa.array(n[at]), pa.array(size[at])], names=names))
+                yield tuple(x[~at] for x in (token, cid, n, match))
+
+        for token, cid, n, match in _runs(short()):
+            yield from long_
+            long_.clear()
             if not len(token):
                 continue
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -253,12 +268,6 @@ def _list_pairs(list_rows: int, percent: int):
                 if s == 1:
                     continue
                 rows = first[size == s][:, None] + np.arange(s)
-                if s > list_rows:
-                    at = rows.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(cid[at]), pa.nulls(len(at), pa.int64()),
-                                                      pa.array(n[at]), pa.array(np.full(len(at), s, np.int64))],
-                                                     names=["token", "a", "b", "n", "need"])
-                    continue
                 if s not in corner:
                     corner[s] = np.triu_indices(s, 1)
                 x, y = rows[:, corner[s][0]].ravel(), rows[:, corner[s][1]].ravel()
@@ -266,62 +275,74 @@ def _list_pairs(list_rows: int, percent: int):
                 x, y = x[near], y[near]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(token[x]), pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y])),
-                    pa.nulls(len(x), pa.int64()), pa.array(needed_matches(n[x], match[x], n[y], match[y], percent))],
-                    names=["token", "a", "b", "n", "need"])
+                    pa.nulls(len(x), pa.int64()), pa.array(needed_matches(n[x], match[x], n[y], match[y], percent))], names=names)
+        yield from long_
 
     return pairs
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of all linked pairs between `left` and `right`, by products of 0/1
-    blocks over the shingles that more than one of the sets holds."""
+class Forest:
+    """Trees that links connect; the smallest member is the root."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def add(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+
+    def one_tree(self, *members: np.ndarray) -> bool:
+        return len({self.root(x) for some in members for x in some.tolist()}) == 1
+
+    def edges(self) -> list[tuple[int, int]]:
+        """(member, root) of every tree of more than one member."""
+        return [(x, self.root(x)) for x in range(len(self.parent)) if self.root(x) != x]
+
+
+def link(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, high: int = 512) -> tuple[Forest, int]:
+    """The forest of the links between `left` and `right` (or within `left`, if they are one array) and
+    how many pairs were compared, by products of 0/1 blocks over the shingles that more than one of the
+    sets holds. Sets come in the order of their sizes: blocks that lie near each other go first, those too
+    different in size are left out, and so are those that one tree holds already."""
+    forest, compared = Forest(len(sets)), 0
     size = np.array([len(s) for s in sets], np.int64)
     row = np.repeat(np.arange(len(sets)), size)
     token, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = held[column] > 1
     number = np.cumsum(held > 1) - 1
     row, column = row[shared], number[column[shared]]
-    width, step, high = int((held > 1).sum()), 4096, 512
+    width, step = int((held > 1).sum()), 4096
     del token
-    for i in range(0, len(left), high):
-        a = left[i:i + high]
-        for j in range(0, len(right), high):
-            b = right[j:j + high]
-            if size[a].max() * 100 < size[b].min() * percent or size[b].max() * 100 < size[a].min() * percent:
-                continue
-            both = np.zeros((len(a), len(b)), np.float32)
-            for c in range(0, width, step):
-                inside = (column >= c) & (column < c + step)
-                blocks = []
-                for rows in (a, b):
-                    place = np.full(len(sets), -1, np.int64)
-                    place[rows] = np.arange(len(rows))
-                    use = inside & (place[row] >= 0)
-                    block = np.zeros((len(rows), min(step, width - c)), np.float32)
-                    block[place[row[use]], column[use] - c] = 1
-                    blocks.append(block)
-                both += blocks[0] @ blocks[1].T
-            same = both.astype(np.int64)
-            x, y = np.nonzero(same * 100 >= (size[a][:, None] + size[b][None, :] - same) * percent)
-            yield a[x], b[y]
-
-
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """(member, root) of every tree of more than one member."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for xs, ys in pairs:
-        for x, y in zip(xs.tolist(), ys.tolist()):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    return [(x, root(x)) for x in range(n) if root(x) != x]
+    places = [(i, j) for i in range(0, len(left), high) for j in range(0, len(right), high) if left is not right or i <= j]
+    for i, j in sorted(places, key=lambda p: (abs(p[0] - p[1]), p)):
+        a, b = left[i:i + high], right[j:j + high]
+        if size[a].max() * 100 < size[b].min() * percent or size[b].max() * 100 < size[a].min() * percent or forest.one_tree(a, b):
+            continue
+        compared += len(a) * len(b)
+        both = np.zeros((len(a), len(b)), np.float32)
+        for c in range(0, width, step):
+            inside = (column >= c) & (column < c + step)
+            blocks = []
+            for rows in (a, b):
+                place = np.full(len(sets), -1, np.int64)
+                place[rows] = np.arange(len(rows))
+                use = inside & (place[row] >= 0)
+                block = np.zeros((len(rows), min(step, width - c)), np.float32)
+                block[place[row[use]], column[use] - c] = 1
+                blocks.append(block)
+            both += blocks[0] @ blocks[1].T
+        same = both.astype(np.int64)
+        x, y = np.nonzero(same * 100 >= (size[a][:, None] + size[b][None, :] - same) * percent)
+        forest.add(a[x], b[y])
+    return forest, compared
 
 
 def _verify(percent: int):
@@ -336,7 +357,7 @@ def _verify(percent: int):
         block = np.array([b for _, b in keys])
         low = np.flatnonzero(block == block.min())
         high = np.flatnonzero(block != block.min())
-        trees = _forest(len(keys), linked_pairs([seen[k] for k in keys], low, high if len(high) else low, percent))
+        trees = link([seen[k] for k in keys], low, high if len(high) else low, percent)[0].edges()
         if trees:
             yield pa.RecordBatch.from_arrays([pa.array([keys[x][0] for x, _ in trees], pa.int64()),
                                               pa.array([keys[y][0] for _, y in trees], pa.int64())], names=["u", "v"])
@@ -377,7 +398,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
               percent: int = PERCENT, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS,
-              family_blocks: int = FAMILY_BLOCKS, frequent: int = FREQUENT) -> DataFrame:
+              family_blocks: int = FAMILY_BLOCKS, frequent: int = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, text_hash, n_shingles, component_id, root.
 
     Two rows link if 100 * common shingles >= percent * united shingles, words
@@ -387,7 +408,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     identifier reachable; a null identifier counts only where no other is in the
     component. Rows that repeat an identifier are documents of their own, so the
     component itself is known by root, 64 bits, null for texts without shingles.
-    Other columns are ignored; an empty table gives an empty result.
+    The set of a very long text is held whole by the tasks that compare it. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -405,7 +426,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     classed = materialize(rows.withColumn("text_hash", F.xxhash64("text"))
                           .mapInArrow(classify, f"doc_id {kind}, text_hash long, cid long, n_shingles long"))
     classes = materialize(classed.where("cid IS NOT NULL").groupBy("cid")
-                          .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+                          .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles")))
 
     shared = spark.sparkContext.broadcast(frequent_slots(rows, words, frequent))
 
@@ -436,26 +457,29 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # copies from several tasks lie next to each other here
     before = Window.partitionBy("token").orderBy("cid")
     entries = (entries.withColumn("again", F.coalesce(F.lag("cid").over(before) == F.col("cid"), F.lit(False))).where("NOT again")
-               .select("token", "cid", F.shiftright("n_match", 3).alias("n"), F.col("n_match").bitwiseAND(7).alias("match")))
+               .select("token", "cid", F.shiftright("n_match", 3).alias("n"), F.col("n_match").bitwiseAND(7).alias("match"),
+                       F.count(F.lit(1)).over(Window.partitionBy("token")).alias("size")))
     lists = materialize(entries.mapInArrow(_list_pairs(list_rows, percent), "token long, a long, b long, n long, need long"))
 
     pairs = (lists.where("b IS NOT NULL").groupBy("a", "b")
              .agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"), F.min("token").alias("token"))
              .where("shared >= need"))
     pairs = materialize(pairs.select("a", "b", "token"))
-    long_ = lists.where("b IS NULL").select("token", F.col("a").alias("cid"), F.col("need").alias("size"))   # need: the list's length
+    long_ = lists.where("b IS NULL").select("token", F.col("a").alias("cid"))
     family = materialize(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         long_.select(F.col("token").alias("u"), F.col("cid").alias("v")))))
     short = pairs.select("token", F.explode(F.array("a", "b")).alias("cid")).distinct()
-    in_list = short.withColumn("size", F.lit(1).cast("long")).unionByName(long_)
-    kin = family.join(in_list.select(F.col("cid").alias("node")).distinct(), "node", "left_semi")
-    sizes = kin.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") > family_blocks * block_rows)
-    whole = kin.join(sizes.join(large.select("root"), "root", "left_anti"), "root").select(
-        F.col("root").alias("token"), F.col("node").alias("cid"), "size")
-    by_list = in_list.join(kin.join(large.select("root"), "root").select(F.col("node").alias("cid")), "cid", "left_semi").select(
-        "token", "cid", "size")
-    blocks = F.ceil(F.col("size") / block_rows).cast("int")
+    in_list = short.unionByName(long_)
+    kin = family.join(in_list.select(F.col("cid").alias("node")).distinct(), "node", "left_semi").select(
+        "root", F.col("node").alias("cid")).join(classes.select("cid", "n_shingles"), "cid")
+    dealt = (F.count(F.lit(1)).alias("size"),
+             F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n_shingles") * 8 / block_bytes)).cast("int").alias("blocks"))
+    sizes = kin.groupBy("root").agg(*dealt)
+    large = sizes.where(F.col("size") > family_blocks * block_rows).select("root")
+    whole = kin.join(sizes.join(large, "root", "left_anti"), "root").select(F.col("root").alias("token"), "cid", "blocks")
+    lists_of = in_list.join(kin.join(large, "root").select("cid", "n_shingles"), "cid")
+    by_list = lists_of.join(lists_of.groupBy("token").agg(*dealt), "token").select("token", "cid", "blocks")
+    blocks = F.col("blocks")
     members = materialize(
         whole.unionByName(by_list).withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

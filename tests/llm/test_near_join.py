@@ -123,8 +123,8 @@ def test_shingles_by_hand():
     assert np.array_equal(s("a b c d"), s("A  B\tc\nD")) and len(s("a b c d")) == 2
     assert not np.array_equal(s("a b"), s("a b c")) and not np.array_equal(s("ab c"), s("a bc"))
     assert len(s("É b c")) == 1 and not np.array_equal(s("É b c"), s("é b c"))
-    data = [nj._planes(np.array(x, np.uint64), 5) for x in ([3, 9, 1 << 35], [0])]
-    assert nj._unplanes(data[0], 5).tolist() == [3, 9, 1 << 35] and nj._unplanes(data[1], 5).tolist() == [0]
+    data = [nj.delta_planes(np.array(x, np.uint64), 5) for x in ([3, 9, 1 << 35], [0])]
+    assert nj.from_delta_planes(data[0], 5).tolist() == [3, 9, 1 << 35] and nj.from_delta_planes(data[1], 5).tolist() == [0]
 
 
 def test_components(spark):
@@ -145,10 +145,27 @@ def test_stage_keeps_one_of_each_group(spark, documents):
     rows = families(7) + ODD
     docs = documents(rows)
     kept = nj.near_stage(spark, docs, None)
-    want = {c for _, _, c in brute(rows, 5, 80)}
     assert kept.columns == docs.columns
-    ids = [str(r.doc_id) for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == want
+    # by brute force: one row of each component that has shingles, and every blank row
+    sets, texts = [nj.Shingler(5)(t) for _, t, *_ in rows], [t for _, t, *_ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * 100 >= 80 * (len(sets[i]) + len(sets[j]) - both) > 0:
+                root = [root[j] if r == root[i] else r for r in root]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    blank = [(i, t) for (i, t, *_), s in zip(rows, sets) if not len(s)]
+    assert sorted(map(str, (g for g in got if not len(nj.Shingler(5)(g[1]))))) == sorted(map(str, blank))
+    groups = {}
+    for (i, t, *_), s, r in zip(rows, sets, root):
+        if len(s):
+            groups.setdefault(r, []).append((i, t))
+    kept_of = [[g for g in members if g in got] for members in groups.values()]
+    assert len(got) == len(groups) + len(blank) == 71 and all(kept_of)
+    for members in groups.values():
+        least = min((i for i, _ in members if i is not None), default=None)
+        assert any((least, t) in got for _, t in members)
 
 
 def test_stage_keeps_one_of_each_component(documents):
@@ -166,3 +183,51 @@ def test_stage_keeps_one_of_each_component(documents):
     assert len(either) == 1 and either[0][0] == "None" and sorted(k for k in kept if k not in either) == want
     assert sorted(str(r.doc_id) for r in got if not (r.text or "").split()) == sorted(
         str(i) for i, t in rows if not (t or "").split())
+
+
+def test_a_dense_group_is_linked_without_comparing_all_pairs():
+    """Near copies of one text: once one tree holds them, blocks are left out; a forest, by brute force."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
+    sets = sorted((np.unique(np.append(base, rng.integers(0, 1 << 62, rng.integers(1, 12), dtype=np.uint64))) for _ in range(900)), key=len)
+    every = np.arange(900)
+    forest, compared = nj.link(sets, every, every, 85, high=30)
+    assert len(forest.edges()) == 899 and compared < 900 * 900 / 8
+    half = nj.link(sets, every[:450], every[450:], 85, high=30)[0]
+    assert half.one_tree(every)
+
+
+def test_link_against_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = sorted((np.unique(rng.integers(0, 60, rng.integers(20, 60), dtype=np.uint64)) for _ in range(200)), key=len)
+    forest = nj.link(sets, np.arange(200), np.arange(200), 70, high=16)[0]
+    root = list(range(200))
+    for i in range(200):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * 100 >= 70 * (len(sets[i]) + len(sets[j]) - both):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert [forest.root(x) for x in range(200)] == root and len(set(root)) > 5
+
+
+def test_a_common_passage_makes_no_candidates(spark, documents):
+    """A third of the documents holds one passage, each has words of its own: few pairs are candidates."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join([passage] * (i % 3 == 0) + [f"o{rng.randrange(10 ** 9)}" for _ in range(40)])) for i in range(3000)]
+    docs = documents(rows)
+    slots, levels = nj.frequent_slots(docs, 4)
+    lists = defaultdict(list)
+    for i, t in rows:
+        head, match = nj.prefix(nj.Shingler(4)(t), slots, levels, 85)
+        for x in head.tolist():
+            lists[x].append(i)
+    assert sum(len(x) * (len(x) - 1) // 2 for x in lists.values()) < 3000 and max(map(len, lists.values())) < 50
+    got = nj.near_join(docs).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 3000
+
+
+def test_blocks_by_bytes_and_short_lists_give_the_same(documents):
+    rows = families(9)
+    docs = documents(rows)
+    assert answer(nj.near_join(docs, block_bytes=4000, list_rows=3, family_blocks=2, block_rows=7)) == brute(rows, 4, 85)
