@@ -5,20 +5,23 @@ maximises
 
     0.7 * cos(q, mean_{i in S} v_i) + 0.2 * mean_{i in S} quality_i + 0.1 / (1 + |S|)
 
-with ``quality = (1 - null_fraction) * (1 - 1 / distinct)`` (C1). Selection is
-forward greedy for every table, whatever its width (C7): a fold inside the row
-keeps, per column, the sum of its products with the chosen ones, so a step needs
-only the table's Gram matrix, which is computed once per table, before the
-tables meet the queries. C5 scores subsets that are given, C6 picks the best of
-them.
+with ``quality = (1 - null_fraction) * (1 - 1 / distinct)`` (C1). The cosine needs
+of a subset only the product q.S and the length of S, the sum of its vectors.
+
+Selection is forward greedy for every table, whatever its width (C7): a fold inside
+the row keeps the chosen columns' sum as its products with every column, and |S|^2.
+C5 scores subsets that are given. A subset's length, quality and size don't depend
+on the query, so they are computed once per table: for any members by a running sum,
+for runs of columns (`column_runs`) as differences of prefix sums. A pair then holds
+a few numbers per subset. No n x n matrix is kept: a row holds n vectors at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semdex.functions.vectors import dot, norm
+from semdex.functions.vectors import dot, norm, sumsq
 
 # Subset fitness weights (semantic, quality, size) and the texts
 # of the report record.
@@ -66,57 +69,90 @@ def quality(null_fraction: F.Column, distinct_count: F.Column) -> F.Column:
 # --- per table and per (query, table) ------------------------------------------------------
 
 def table_arrays(columns: DataFrame) -> DataFrame:
-    """Per table its columns (ordered), their number and the Gram matrix of their vectors.
+    """Per table its columns (ordered) and their number.
 
     ``columns`` (table_name, ord, name, vec, null_fraction, distinct_count). The
     collected list is one table's columns - bounded by the table's width.
     """
-    per_table = (columns.withColumn("quality", quality(F.col("null_fraction"), F.col("distinct_count")))
-                        .groupBy("table_name")
-                        .agg(F.array_sort(F.collect_list(F.struct("ord", "name", "vec", "quality"))).alias("cols"))
-                        .withColumn("n", F.size("cols")))
-    gram = F.transform("cols", lambda a: F.transform("cols", lambda b: dot(a["vec"], b["vec"])))
-    return per_table.withColumn("gram", gram)
+    return (columns.withColumn("quality", quality(F.col("null_fraction"), F.col("distinct_count")))
+                   .groupBy("table_name")
+                   .agg(F.array_sort(F.collect_list(F.struct("ord", "name", "vec", "quality"))).alias("cols"))
+                   .withColumn("n", F.size("cols")))
 
 
 def table_columns(pairs: DataFrame, tables: DataFrame, qvecs: DataFrame) -> DataFrame:
-    """``pairs`` (query_id, table_name) with the table's arrays, the query's norm and its
-    products with the columns; the vectors stay behind."""
+    """``pairs`` (query_id, table_name) with the table's columns, the query's norm and its
+    products with the columns."""
     j = pairs.join(tables, "table_name").join(qvecs, "query_id")
-    return j.select("query_id", "table_name", "n", "gram", norm("qvec").alias("qnorm"),
+    return j.select("query_id", "table_name", "n", norm("qvec").alias("qnorm"),
                     F.transform("cols", lambda c: dot("qvec", c["vec"])).alias("qdot"),
                     F.transform("cols", lambda c: c["name"]).alias("names"),
-                    F.transform("cols", lambda c: c["quality"]).alias("quality"))
+                    F.transform("cols", lambda c: c["quality"]).alias("quality"),
+                    F.transform("cols", lambda c: c["vec"]).alias("vecs"))
 
 
-def rule_subsets(tables: DataFrame) -> DataFrame:
-    """(table_name, subset_id, members): single columns, prefixes (1000000 + last) and all but one (2000000 + left out)."""
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    kinds = F.concat(
-        F.transform(every, lambda i: F.struct(i.cast("bigint").alias("subset_id"), F.array(i).alias("members"))),
-        F.transform(every, lambda i: F.struct((i + 1000000).cast("bigint").alias("subset_id"), F.sequence(F.lit(0), i).alias("members"))),
-        F.transform(every, lambda i: F.struct((i + 2000000).cast("bigint").alias("subset_id"),
-                                              F.filter(every, lambda j: j != i).alias("members"))))
-    return (tables.select("table_name", F.explode(kinds).alias("s")).select("table_name", "s.subset_id", "s.members")
-                  .where(F.size("members") > 0))
-
-
-def subset_scores(tc: DataFrame, subsets: DataFrame) -> DataFrame:
-    """C2-C5 of the given subsets (table_name, subset_id, members: ordinals) for every pair of ``tc``."""
-    zero = F.lit(0.0).cast("double")
-    t = tc.join(subsets, "table_name").withColumn("k", F.size("members"))
-    qsum = F.aggregate("members", zero, lambda a, i: a + F.col("qdot")[i])
-    gsum = F.aggregate("members", zero, lambda a, i: a + F.aggregate("members", zero, lambda b, j: b + F.col("gram")[i][j]))
-    qual = F.aggregate("members", zero, lambda a, i: a + F.col("quality")[i])
-    t = t.select("query_id", "table_name", "subset_id", "k", (qual / F.col("k")).alias("quality"), qsum.alias("qsum"),
-                 (F.col("qnorm") * F.sqrt(F.greatest(gsum, zero))).alias("den"))
-    t = (t.withColumn("semantic", F.when(F.col("den") == 0, zero).otherwise(F.col("qsum") / F.col("den")))
-          .withColumn("size_term", 1.0 / (1.0 + F.col("k"))))
+def _zero() -> Column:
+    return F.lit(0.0).cast("double")
+
+
+def _scored(subsets: DataFrame) -> DataFrame:
+    """C2-C5 from per-pair subset sums: k, quality (mean), qsum = q.S, ss = |S|^2, qnorm."""
+    den = F.col("qnorm") * F.sqrt(F.greatest(F.col("ss"), _zero()))
+    t = (subsets.withColumn("semantic", F.when(den == 0, _zero()).otherwise(F.col("qsum") / den))
+                .withColumn("size_term", 1.0 / (1.0 + F.col("k"))))
     return t.select("query_id", "table_name", "subset_id", "k", "semantic", "quality", "size_term",
                     (W_SEMANTIC * F.col("semantic") + W_QUALITY * F.col("quality")
                      + W_SIZE * F.col("size_term")).alias("fitness"))
 
 
+def subset_scores(tc: DataFrame, tables: DataFrame, subsets: DataFrame) -> DataFrame:
+    """C2-C5 of any given subsets (table_name, subset_id, members: ordinals) for every pair of ``tc``.
+
+    |S|^2 comes from the running sum of the members' vectors, once for each table
+    and subset; a pair only adds up its products with the members.
+    """
+    zeros = F.transform(F.element_at("cols", 1)["vec"], lambda x: F.lit(0.0).cast("double"))
+    total = F.aggregate("members", zeros, lambda s, i: F.zip_with(s, F.col("cols")[i]["vec"], lambda a, b: a + b.cast("double")))
+    per = (tables.join(subsets, "table_name").where(F.size("members") > 0)
+           .select("table_name", "subset_id", "members", F.size("members").alias("k"), sumsq(total).alias("ss"),
+                   (F.aggregate("members", _zero(), lambda a, i: a + F.col("cols")[i]["quality"]) / F.size("members")).alias("quality")))
+    qsum = F.aggregate("members", _zero(), lambda a, i: a + F.col("qdot")[i])
+    return _scored(tc.select("query_id", "table_name", "qnorm", "qdot").join(per, "table_name").withColumn("qsum", qsum))
+
+
+def column_runs(tables: DataFrame, runs: Column) -> DataFrame:
+    """Per table its ``runs``, an array of (subset_id, first, last, inside: the run itself or all columns
+    but it): subset_id, first, last, inside, k, ss, quality. By prefix sums of the vectors, in the row."""
+    vec = lambda c: c["vec"]
+    zeros = F.transform(F.element_at("cols", 1)["vec"], lambda x: F.lit(0.0).cast("double"))
+    sums = F.aggregate("cols", F.array(zeros), lambda s, c: F.concat(
+        s, F.array(F.zip_with(F.element_at(s, -1), vec(c), lambda a, b: a + b.cast("double")))))
+    marks = F.aggregate("cols", F.array(_zero()), lambda s, c: F.concat(s, F.array(F.element_at(s, -1) + c["quality"])))
+    held = tables.select("table_name", "n", sums.alias("sums"), marks.alias("marks"), runs.alias("runs"))
+
+    def entry(r: Column) -> Column:
+        k = F.when(r["inside"], r["last"] - r["first"] + 1).otherwise(F.col("n") - (r["last"] - r["first"] + 1))
+        run = F.zip_with(F.col("sums")[r["last"] + 1], F.col("sums")[r["first"]], lambda a, b: a - b)
+        rest = F.zip_with(F.element_at("sums", -1), run, lambda a, b: a - b)
+        part = F.col("marks")[r["last"] + 1] - F.col("marks")[r["first"]]
+        mark = F.when(r["inside"], part).otherwise(F.element_at("marks", -1) - part)
+        return F.struct(r["subset_id"].alias("subset_id"), r["first"].alias("first"), r["last"].alias("last"), r["inside"].alias("inside"),
+                        k.alias("k"), F.when(r["inside"], sumsq(run)).otherwise(sumsq(rest)).alias("ss"), (mark / F.greatest(k, F.lit(1))).alias("quality"))
+
+    return held.select("table_name", F.filter(F.transform("runs", entry), lambda r: r["k"] > 0).alias("runs"))
+
+
+def run_scores(tc: DataFrame, runs: DataFrame) -> DataFrame:
+    """C2-C5 of the runs of ``column_runs`` for every pair of ``tc``: a difference of the prefix sums of
+    the query's products gives q.S."""
+    before = F.aggregate("qdot", F.array(_zero()), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    pairs = tc.select("query_id", "table_name", "qnorm", before.alias("before")).join(runs, "table_name")
+    one = pairs.select("query_id", "table_name", "qnorm", "before", F.explode("runs").alias("r"))
+    part = F.col("before")[F.col("r.last") + 1] - F.col("before")[F.col("r.first")]
+    qsum = F.when(F.col("r.inside"), part).otherwise(F.element_at("before", -1) - part)
+    return _scored(one.select("query_id", "table_name", "qnorm", "r.subset_id", "r.k", "r.quality", "r.ss", qsum.alias("qsum")))
+
+
 def best_subsets(scores: DataFrame) -> DataFrame:
     """Per (query, table) the best given subset; ties (to 1e-10) go to the smaller id."""
     key = F.struct(F.round("fitness", 10), -F.col("subset_id"))
@@ -127,14 +163,14 @@ def best_subsets(scores: DataFrame) -> DataFrame:
 def select_columns(tc: DataFrame) -> DataFrame:
     """Forward selection - add the column of the best fitness (to 1e-10; ties: lowest
     ordinal) while the fitness grows. (query_id, table_name, fitness, selected)."""
-    zero = F.lit(0.0).cast("double")
+    zero = _zero()
     every = F.sequence(F.lit(0), F.col("n") - 1)
     start = F.struct(F.array().cast("array<int>").alias("chosen"), F.transform(every, lambda i: zero).alias("gv"),
                      zero.alias("gss"), zero.alias("qs"), zero.alias("qls"), zero.alias("best"), F.lit(False).alias("done"))
 
     def step(s, at):
         def fit(i):
-            den = F.col("qnorm") * F.sqrt(F.greatest(s["gss"] + 2 * s["gv"][i] + F.col("gram")[i][i], zero))
+            den = F.col("qnorm") * F.sqrt(F.greatest(s["gss"] + 2 * s["gv"][i] + F.col("own")[i], zero))
             sem = F.when(den == 0, zero).otherwise((s["qs"] + F.col("qdot")[i]) / den)
             value = (W_SEMANTIC * sem + W_QUALITY * (s["qls"] + F.col("quality")[i]) / (at + 1) + W_SIZE / (2.0 + at))
             return F.struct(F.when(F.array_contains(s["chosen"], i), F.lit(-1e9)).otherwise(F.round(value, 10)).alias("f"),
@@ -142,9 +178,10 @@ def select_columns(tc: DataFrame) -> DataFrame:
 
         def moved(top):
             j = -top["i"]
+            # gv: the products of the chosen columns' sum with every column
             better = F.struct(F.concat(s["chosen"], F.array(j)).alias("chosen"),
-                              F.zip_with(s["gv"], F.col("gram")[j], lambda a, b: a + b).alias("gv"),
-                              (s["gss"] + 2 * s["gv"][j] + F.col("gram")[j][j]).alias("gss"),
+                              F.zip_with(s["gv"], F.col("vecs"), lambda a, v: a + dot(v, F.col("vecs")[j])).alias("gv"),
+                              (s["gss"] + 2 * s["gv"][j] + F.col("own")[j]).alias("gss"),
                               (s["qs"] + F.col("qdot")[j]).alias("qs"), (s["qls"] + F.col("quality")[j]).alias("qls"),
                               top["f"].alias("best"), F.lit(False).alias("done"))
             stop = F.struct(s["chosen"].alias("chosen"), s["gv"].alias("gv"), s["gss"].alias("gss"), s["qs"].alias("qs"),
@@ -155,7 +192,7 @@ def select_columns(tc: DataFrame) -> DataFrame:
         return F.when(s["done"], s).otherwise(
             F.element_at(F.transform(F.array(F.array_max(F.transform(every, fit))), moved), 1))
 
-    done = tc.withColumn("s", F.aggregate(every, start, step))
+    done = tc.withColumn("own", F.transform("vecs", lambda v: sumsq(v))).withColumn("s", F.aggregate(every, start, step))
     return done.select("query_id", "table_name", F.col("s.best").alias("fitness"),
                        F.transform(F.array_sort("s.chosen"), lambda i: F.col("names")[i]).alias("selected"))
 
@@ -177,4 +214,3 @@ def report(selected: DataFrame, catalogue: DataFrame) -> DataFrame:
                     F.col("selected").alias("selected_columns"),
                     F.coalesce(F.col("schema"), F.lit("N/A")).alias("schema"), "row_count",
                     pk.alias("primary_key"), text.alias("justification"))
-

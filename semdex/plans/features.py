@@ -1,8 +1,8 @@
 """Feature analysis (C10): best columns of the top-N tables of each query.
 
 ranking (R5, top N per query) -> column explosion (L3) -> column encoding
-(V7, distinct texts once) -> Gram matrix per table -> greedy selection per
-(query, table) (C7) -> report (C8, C9).
+(V7, distinct texts once) -> greedy selection per (query, table) (C7) -> report
+(C8, C9).
 The query vector is the encoding of the unexpanded query.
 """
 

@@ -519,13 +519,27 @@ def c1_column_quality(spark, sf):
                     F.round(Cx.quality(F.col("null_fraction"), F.col("distinct_count")), 6).alias("quality"))
 
 
+def _rule_runs():
+    """Single columns, prefixes (1000000 + last) and all but one column (2000000 + left out)."""
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+
+    def kind(base: int, first, inside: bool):
+        return F.transform(every, lambda i: F.struct((i + base).cast("bigint").alias("subset_id"), first(i).cast("int").alias("first"),
+                                                     i.alias("last"), F.lit(inside).alias("inside")))
+
+    return F.concat(kind(0, lambda i: i, True), kind(1000000, lambda i: F.lit(0), True), kind(2000000, lambda i: i, False))
+
+
+def _run_scores(fi: FeatureInputs) -> DataFrame:
+    return Cx.run_scores(fi.tc, materialize(Cx.column_runs(fi.tables, _rule_runs())))
+
+
 @register("c5_subset_fitness", _C + O.SUBSETS + """
 SELECT query_id, table_name, subset_id, k, round(semantic, 6) AS semantic, round(quality, 6) AS quality,
        round(size_term, 6) AS size_term, round(fitness, 6) AS fitness FROM fit
 """)
 def c5_subset_fitness(spark, sf):
-    fi = _features(spark, sf)
-    s = Cx.subset_scores(fi.tc, Cx.rule_subsets(fi.tables))
+    s = _run_scores(_features(spark, sf))
     return s.select("query_id", "table_name", "subset_id", F.col("k").cast("bigint").alias("k"), _r6("semantic"),
                     _r6("quality"), _r6("size_term"), _r6("fitness"))
 
@@ -534,8 +548,7 @@ def c5_subset_fitness(spark, sf):
 SELECT query_id, table_name, subset_id, round(fitness, 6) AS fitness, k AS n_selected FROM best
 """)
 def c6_best_subset(spark, sf):
-    fi = _features(spark, sf)
-    b = Cx.best_subsets(Cx.subset_scores(fi.tc, Cx.rule_subsets(fi.tables)))
+    b = Cx.best_subsets(_run_scores(_features(spark, sf)))
     return b.select("query_id", "table_name", "subset_id", _r6("fitness"), F.col("k").cast("bigint").alias("n_selected"))
 
 

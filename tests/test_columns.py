@@ -22,13 +22,17 @@ def py_fitness(q, V, qual, mask):
     return 0.7 * sem + 0.2 * float(np.mean(qual[idx])) + 0.1 / (1 + len(idx))
 
 
-def make_tc(spark, q, V, stats, table="t"):
+def make_tables(spark, V, stats, table="t"):
     cols = spark.createDataFrame([(table, i, n, V[i].tolist(), nf, dc) for i, (n, nf, dc) in enumerate(stats)],
                                  "table_name string, ord long, name string, vec array<double>, "
                                  "null_fraction double, distinct_count long")
+    return C.table_arrays(cols)
+
+
+def make_tc(spark, q, V, stats, table="t"):
     qv = spark.createDataFrame([(1, q.tolist())], "query_id long, qvec array<double>")
     pairs = spark.createDataFrame([(1, table)], "query_id long, table_name string")
-    return C.table_columns(pairs, C.table_arrays(cols), qv)
+    return C.table_columns(pairs, make_tables(spark, V, stats, table), qv)
 
 
 def masks(spark, n, table="t"):
@@ -50,7 +54,7 @@ def fixture():
 def test_subset_fitness_and_best(spark, fixture):
     q, V, qual = fixture
     tc = make_tc(spark, q, V, STATS)
-    scored = C.subset_scores(tc, masks(spark, 4))
+    scored = C.subset_scores(tc, make_tables(spark, V, STATS), masks(spark, 4))
     scores = {r["subset_id"]: r["fitness"] for r in scored.collect()}
     for mask in range(1, 16):
         bits = [(mask >> i) & 1 for i in range(4)]
@@ -88,13 +92,31 @@ def test_ties_go_to_the_first_column(spark):
     assert got["selected"] == ["a"]
 
 
-def test_rule_subsets(spark, fixture):
+@pytest.mark.parametrize("n", [1, 5, 30])
+def test_runs_of_columns(spark, n):
+    """Prefix sums give what every subset's own sum gives; also where columns have no vector."""
+    from semdex.plans.registry import _rule_runs
+    rng = np.random.default_rng(n)
+    q, V = rng.normal(size=16), rng.normal(size=(n, 16))
+    V[::4] = 0.0
+    stats = [(f"c{i}", float(rng.random()), int(rng.integers(1, 50))) for i in range(n)]
+    qual = np.array([(1 - nf) * (1 - 1 / dc) for _, nf, dc in stats])
+    tables = make_tables(spark, V, stats)
+    got = {r["subset_id"]: r for r in C.run_scores(make_tc(spark, q, V, stats), C.column_runs(tables, _rule_runs())).collect()}
+    want = {}
+    for i in range(n):
+        want |= {i: {i}, 1000000 + i: set(range(i + 1)), 2000000 + i: set(range(n)) - {i}}
+    want = {k: s for k, s in want.items() if s}
+    assert got.keys() == want.keys()
+    for k, s in want.items():
+        assert got[k]["k"] == len(s) and got[k]["fitness"] == pytest.approx(py_fitness(q, V, qual, [i in s for i in range(n)]), abs=1e-9)
+
+
+def test_rows_hold_no_square_matrix(spark, fixture):
     q, V, _ = fixture
-    cols = spark.createDataFrame([("t", i, f"c{i}", V[i].tolist(), 0.0, 2) for i in range(3)],
-                                 "table_name string, ord long, name string, vec array<double>, null_fraction double, distinct_count long")
-    got = {r["subset_id"]: r["members"] for r in C.rule_subsets(C.table_arrays(cols)).collect()}
-    assert got == {0: [0], 1: [1], 2: [2], 1000000: [0], 1000001: [0, 1], 1000002: [0, 1, 2],
-                   2000000: [1, 2], 2000001: [0, 2], 2000002: [0, 1]}
+    tc = make_tc(spark, q, V, STATS)
+    assert {f.name for f in tc.schema if f.dataType.simpleString() == "array<array<double>>"} == {"vecs"}
+    assert len(tc.first()["vecs"]) == 4 and "gram" not in tc.columns
 
 
 def test_quality_defaults(spark):
