@@ -127,15 +127,15 @@ def column_runs(tables: DataFrame, runs: Column) -> DataFrame:
     zeros = F.transform(F.element_at("cols", 1)["vec"], lambda x: F.lit(0.0).cast("double"))
     sums = F.aggregate("cols", F.array(zeros), lambda s, c: F.concat(
         s, F.array(F.zip_with(F.element_at(s, -1), vec(c), lambda a, b: a + b.cast("double")))))
-    marks = F.aggregate("cols", F.array(_zero()), lambda s, c: F.concat(s, F.array(F.element_at(s, -1) + c["quality"])))
+    marks = F.transform("cols", lambda c: c["quality"])
     held = tables.select("table_name", "n", sums.alias("sums"), marks.alias("marks"), runs.alias("runs"))
 
     def entry(r: Column) -> Column:
         k = F.when(r["inside"], r["last"] - r["first"] + 1).otherwise(F.col("n") - (r["last"] - r["first"] + 1))
         run = F.zip_with(F.col("sums")[r["last"] + 1], F.col("sums")[r["first"]], lambda a, b: a - b)
         rest = F.zip_with(F.element_at("sums", -1), run, lambda a, b: a - b)
-        part = F.col("marks")[r["last"] + 1] - F.col("marks")[r["first"]]
-        mark = F.when(r["inside"], part).otherwise(F.element_at("marks", -1) - part)
+        # added up one by one, once per table: a difference of sums would be off in the last place
+        mark = F.aggregate(F.filter("marks", lambda m, i: ((i >= r["first"]) & (i <= r["last"])) == r["inside"]), _zero(), lambda a, m: a + m)
         return F.struct(r["subset_id"].alias("subset_id"), r["first"].alias("first"), r["last"].alias("last"), r["inside"].alias("inside"),
                         k.alias("k"), F.when(r["inside"], sumsq(run)).otherwise(sumsq(rest)).alias("ss"), (mark / F.greatest(k, F.lit(1))).alias("quality"))
 
