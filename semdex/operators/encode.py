@@ -66,18 +66,31 @@ def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim:
     return joined.withColumn(out, F.coalesce(F.col(out), _zero(dim)))
 
 
-def _encode_static(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame,
-                   out: str) -> DataFrame:
+def _token_hits(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame) -> DataFrame:
+    """(group, __tok, __n, __v): the known tokens of each text, how often it holds each, their vectors."""
     norm = with_normalized(texts, text_col, "__norm")
     toks = (norm.select(*group, F.explode(F.split("__norm", TOKEN_SPLIT)).alias("__tok"))
                 .where(F.col("__tok") != ""))
     # a text's occurrences of a token are counted before the join: a frequent token is one row per text
     toks = toks.groupBy(*group, "__tok").agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    hit = toks.join(word_vectors.select(F.col("term").alias("__tok"), F.col("vec").alias("__v")), "__tok")
+    return toks.join(word_vectors.select(F.col("term").alias("__tok"), F.col("vec").alias("__v")), "__tok")
+
+
+def _encode_static(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame,
+                   out: str) -> DataFrame:
+    hit = _token_hits(texts, group, text_col, word_vectors)
     pooled = hit.groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("__v")), F.col("__n")).alias("__m"))
     return pooled.select(*group, vector_to_array(F.col("__m")).alias(out))
 
 
+def encode_sums(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim: int, key: list[str], out: str = "vec") -> DataFrame:
+    """(key, ``out``): the sum of the vectors of a text's known words, each as often as it occurs; zeros without."""
+    hit = _token_hits(texts, key, text_col, word_vectors)
+    pooled = hit.groupBy(*key).agg(Summarizer.sum(array_to_vector(F.col("__v")), F.col("__n")).alias("__m"))
+    joined = texts.select(*key).join(pooled.select(*key, vector_to_array(F.col("__m")).alias(out)), key, "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), _zero(dim)))
+
+
 def _encode_with_model(texts: DataFrame, group: list[str], text_col: str, encoder: Callable,
                        out: str) -> DataFrame:
     fields = [texts.schema[c] for c in group]

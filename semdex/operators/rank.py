@@ -189,13 +189,12 @@ def score_summary(tables: DataFrame, query_vectors: DataFrame, table_key: str =
     """
     unit = with_l2_normalized(tables.select(table_key, table_vec), table_vec)
     dims = unit.select(F.posexplode(table_vec).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    total = dims.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda d: d["x"]).alias("__sum"), F.max("n").alias("n_scored"))
+    total = sorted(dims.collect(), key=lambda r: r["i"])      # one vector
     opposite = query_vectors.select("query_id", F.transform(query_vec, lambda x: -x).alias("vec"))
     least = topk_dot(unit, table_key, table_vec, opposite, ["query_id"], "vec", 1).select("query_id", (-F.col("score")).alias("least_score"))
-    # one row, of a vector's size
-    mean = F.aggregate(F.zip_with(query_vec, "__sum", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.col("n_scored")
-    sums = query_vectors.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-    return sums.select("query_id", "n_scored", mean.alias("mean_score")).join(least, "query_id")
+    n = max((r["n"] for r in total), default=0)
+    product = F.aggregate(F.zip_with(query_vec, F.array(*[F.lit(float(r["x"])) for r in total]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return query_vectors.select("query_id", F.lit(n).cast("bigint").alias("n_scored"), (product / max(n, 1)).alias("mean_score")).join(least, "query_id")
 
 
 def nearest_terms(word_vectors: DataFrame, queries: DataFrame, topn: int = 300) -> DataFrame:

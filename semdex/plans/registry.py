@@ -236,7 +236,7 @@ def r5_topn_enrichment(spark, sf):
 
 
 # --- expansion: L5-L9, T10, T11, E1, E2, E6 ---------------------------------------
-from semdex.functions.lexical import has_digit  # noqa: E402
+from semdex.functions.lexical import has_digit, levenshtein_join  # noqa: E402
 from semdex.functions.text import py_lower_strip  # noqa: E402
 from semdex.operators.expand import (contains_query, contextual_similarity, expand_queries,  # noqa: E402
                                      filter_candidates, hybrid_scores, translate)
@@ -322,6 +322,73 @@ def e6_expand_query(spark, sf):
     return out.select("query_id", "pos", "term", _r6("score"))
 
 
+_LEV = "(1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE)"
+_FILTERED = f"""
+strict AS (
+  SELECT * FROM pairs WHERE term <> query AND NOT contains(replace(term, '-', ''), replace(query, '-', ''))
+    AND NOT regexp_matches(term, '[0-9]') AND {_LEV.format(a='query', b='term')} < 0.5),
+found AS (SELECT query_id, count(*) AS c FROM strict GROUP BY ALL),
+spare AS (
+  SELECT p.*, coalesce(f.c, 0) AS c, row_number() OVER (PARTITION BY p.query_id ORDER BY p.nb_rank) AS i
+  FROM pairs p LEFT JOIN found f USING (query_id)
+  WHERE p.nb_rank <= 50 AND p.term <> p.query AND NOT contains(replace(p.term, '-', ''), replace(p.query, '-', ''))
+    AND NOT EXISTS (SELECT 1 FROM strict s WHERE s.query_id = p.query_id AND s.term = p.term)),
+chosen AS (
+  SELECT query_id, query, 1 AS pass, nb_rank, term, raw_score FROM strict
+  UNION ALL SELECT query_id, query, 2, nb_rank, term, raw_score FROM spare WHERE c < 10 AND i <= 30 - c)
+"""
+
+
+@register("l5_l9_levenshtein", _EXP + ", " + _FILTERED + """
+SELECT query_id, pass, nb_rank, term, round(raw_score, 6) AS raw_score FROM chosen
+""")
+def l5_l9_levenshtein(spark, sf):
+    """L5-L9 with the native similarity: strict and relaxed candidates of every known query."""
+    ctx = Inputs(spark, sf)
+    nb = materialize(nearest_terms(ctx.word_vectors, ctx.queries, topn=300))
+    return filter_candidates(nb, 10, lexical="levenshtein").select(
+        "query_id", "pass", "nb_rank", F.col("clean").alias("term"), _r6("raw_score"))
+
+
+@register("e6_expand_levenshtein", _EXP + ", " + _FILTERED + ", " + O.CONTEXT + f""",
+hybrid AS (
+  SELECT h.query_id, h.pass, h.nb_rank, h.term,
+    0.6 * (greatest(-1.0, least(1.0, coalesce(c.bert_raw, 0.0))) + 1.0) / 2.0
+    + 0.3 * (list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) + 1.0) / 2.0
+    + 0.1 * tanh(list_dot_product(a.vec, b.vec) / 1e4) AS score
+  FROM chosen h JOIN wv a ON a.term = h.query JOIN wv b ON b.term = h.term
+  LEFT JOIN ctx c ON c.query_id = h.query_id AND c.term = h.term),
+walked AS (
+  SELECT query_id, list_reduce(list_transform(terms, lambda t: [t]), lambda kept, x:
+      CASE WHEN len(kept) >= 9 OR len(list_filter(kept, lambda s: {_LEV.format(a='s', b='x[1]')} > 0.6)) > 0 THEN kept
+           ELSE list_concat(kept, x) END, []::VARCHAR[]) AS kept
+  FROM (SELECT query_id, list(term ORDER BY round(score, 10) DESC, pass, nb_rank) AS terms FROM hybrid GROUP BY ALL)),
+named AS (SELECT query_id, {O.py_lower_strip('query')} AS q0 FROM queries WHERE query <> '')
+SELECT query_id, 0::BIGINT AS pos, q0 AS term, 1.0::DOUBLE AS score FROM named
+UNION ALL
+SELECT w.query_id, w.pos, w.term, round(h.score, 6) FROM (
+  SELECT query_id, unnest(range(1, len(kept) + 1))::BIGINT AS pos, unnest(kept) AS term FROM walked) w JOIN hybrid h USING (query_id, term)
+""")
+def e6_expand_levenshtein(spark, sf):
+    """E6 without Python: filter and walk by the Levenshtein similarity, no translation."""
+    ctx = Inputs(spark, sf)
+    out = expand_queries(ctx.queries, ctx.word_vectors, ctx.dim, n=10, lexical="levenshtein")
+    return out.select("query_id", "pos", "term", _r6("score"))
+
+
+@register("t10_levenshtein_join", f"WITH {O.VOCAB}" + """,
+gone AS (SELECT term, term AS rest FROM vocab
+         UNION SELECT term, substr(term, 1, i - 1) || substr(term, i + 1) FROM vocab, LATERAL (SELECT unnest(range(1, length(term) + 1)) AS i))
+SELECT DISTINCT a.term AS term, b.term AS other, levenshtein(a.term, b.term)::BIGINT AS distance
+FROM gone a JOIN gone b USING (rest) WHERE a.term < b.term AND levenshtein(a.term, b.term) <= 1
+""")
+def t10_levenshtein_join(spark, sf):
+    """T10 as a similarity join: vocabulary terms one edit apart."""
+    vocab = Inputs(spark, sf).vocab.select("term")
+    pairs = levenshtein_join(vocab, vocab.select(F.col("term").alias("other")), "term", "other", 1)
+    return pairs.where(F.col("term") < F.col("other")).select("term", "other", F.col("distance").cast("bigint").alias("distance"))
+
+
 # --- weights: V8, V9, G1-G8, G12, G13 -----------------------------------------------------
 from semdex.operators import weights as Wt  # noqa: E402
 from semdex.session import materialize  # noqa: E402
