@@ -20,6 +20,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -35,8 +36,9 @@ CAPACITY = 1024
 PIECE = 256
 GROUP_WINDOWS = 256
 END_ID = 0
-MEMO_UNITS, MEMO_PARTS, MEMO_CHARS = 400_000, 1_000_000, 64     # entries, and characters of one: 0.35 GB at most in a Python worker
-CHUNK_CHARS = 1 << 24   # of texts that are encoded together
+MEMO_UNITS, MEMO_PARTS, MEMO_CHARS = 150_000, 600_000, 64     # entries, and characters of one: about 0.1 GB in a Python worker
+CHUNK_CHARS = 1 << 23               # of texts that are encoded together
+ENCODED, LEARNED = 4096, 1 << 15    # strings that the tokenizer, and units that the memos take at a time
 # the pattern by which the byte-level tokenizer cuts a text before it merges (fixed value)
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut before the middle blank would part a run of white space that belongs together
@@ -61,8 +63,11 @@ class DocumentIds:
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        out: list[bytes] = []
+        for at in range(0, len(texts), ENCODED):    # an encoding holds much more than its ids
+            found = self.tokenizer.encode_batch_fast(texts[at:at + ENCODED], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
+        return out
 
     def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
         cut_up = [PARTS.findall(u.decode("utf-8")) for u in units]
@@ -72,8 +77,7 @@ class DocumentIds:
         found = {u: b"".join([ids[p] if p in ids else memo[p] for p in parts]) for u, parts in zip(units, cut_up)}
         # frequent ones come early: a memo that is full stays as it is
         for memo, most, more in ((self.parts, MEMO_PARTS, ids), (self.units, MEMO_UNITS, found)):
-            if len(memo) + len(more) <= most:
-                memo.update((k, v) for k, v in more.items() if len(k) <= MEMO_CHARS)
+            memo.update(islice(((k, v) for k, v in more.items() if len(k) <= MEMO_CHARS), max(0, most - len(memo))))
         return found
 
     def _by_units(self, texts: list[bytes]) -> list[bytes]:
@@ -86,14 +90,18 @@ class DocumentIds:
         units = pa.Array.from_buffers(pa.binary(), len(offset) - 1, [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(joined)])
         coded = units.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        found = self._learn([u for u in distinct if u not in self.units])
+        new, found = [u for u in distinct if u not in self.units], {}
+        for i in range(0, len(new), LEARNED):
+            found.update(self._learn(new[i:i + LEARNED]))
         ids = [found[u] if u in found else self.units[u] for u in distinct]
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        first = np.cumsum(size) - size
+        size = np.array([len(x) // 4 for x in ids], np.int32)
+        first = np.cumsum(size, dtype=np.int32) - size
         at = coded.indices.to_numpy()
         size = size[at]
-        end = np.concatenate([[0], np.cumsum(size)])
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(end[-1]) + np.repeat(first[at] - end[:-1], size)]
+        end = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
+        place = np.repeat(first[at] - end[:-1], size)
+        place += np.arange(end[-1], dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), "<u4")[place]
         edge = end[np.searchsorted(offset, bound)].tolist()
         return [flat[s:e].tobytes() for s, e in zip(edge, edge[1:])]
 
