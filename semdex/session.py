@@ -91,6 +91,11 @@ def tables_folder(spark: SparkSession) -> str:
     return folder
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far; only for a session none of whose results is in use."""
+    _delete(spark, tables_folder(spark))
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:     # stopped before
