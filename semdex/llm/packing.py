@@ -36,7 +36,7 @@ CAPACITY = 1024
 PIECE = 256
 GROUP_WINDOWS = 256
 END_ID = 0
-MEMO_UNITS, MEMO_PARTS, MEMO_CHARS = 150_000, 600_000, 64     # entries, and characters of one: about 0.1 GB in a Python worker
+MEMO_UNITS, MEMO_PARTS, MEMO_CHARS = 400_000, 1_000_000, 64    # entries, and characters of one: about 0.25 GB in a Python worker
 CHUNK_CHARS = 1 << 23               # of texts that are encoded together
 ENCODED, LEARNED = 4096, 1 << 15    # strings that the tokenizer, and units that the memos take at a time
 # the pattern by which the byte-level tokenizer cuts a text before it merges (fixed value)
