@@ -37,8 +37,11 @@ PIECE = 256
 GROUP_WINDOWS = 256
 END_ID = 0
 MEMO_UNITS, MEMO_PARTS, MEMO_CHARS = 400_000, 1_000_000, 64    # entries, and characters of one: about 0.25 GB in a Python worker
-CHUNK_CHARS = 1 << 23               # of texts that are encoded together
-ENCODED, LEARNED = 4096, 1 << 15    # strings that the tokenizer, and units that the memos take at a time
+CHUNK_CHARS = 1 << 23       # of texts that are encoded together
+LEARNED = 1 << 15           # units that the memos take at a time
+# a byte-level model writes printable bytes of Latin-1 as themselves, the others as characters from 256 on
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 # the pattern by which the byte-level tokenizer cuts a text before it merges (fixed value)
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut before the middle blank would part a run of white space that belongs together
@@ -49,30 +52,32 @@ class DocumentIds:
     """Texts -> little-endian unsigned 32-bit ids. Between two words that one blank
     separates the tokenizer always cuts, so the texts of a batch are cut before every
     blank and each distinct unit is encoded once; units met before are looked up, and
-    so are the parts into which the tokenizer's own pattern cuts a new one. Texts with
-    runs of white space, and those that hold the string of a token added to the
-    vocabulary, are encoded whole."""
+    so are the parts into which the tokenizer's own pattern cuts a new one. A new part
+    goes straight to the tokenizer's model, which merges it. Texts with runs of white
+    space, and those that hold the string of a token added to the vocabulary, are
+    encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.units: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), ENCODED):    # an encoding holds much more than its ids
-            found = self.tokenizer.encode_batch_fast(texts[at:at + ENCODED], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in found]
-        return out
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        letters = part.encode("utf-8").decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
         cut_up = [PARTS.findall(u.decode("utf-8")) for u in units]
-        new = list({p for parts in cut_up for p in parts if p not in self.parts})
-        ids = dict(zip(new, self._encode(new)))
+        new = {p for parts in cut_up for p in parts if p not in self.parts}
+        ids = {p: self._part(p) for p in new}
         memo = self.parts
         found = {u: b"".join([ids[p] if p in ids else memo[p] for p in parts]) for u, parts in zip(units, cut_up)}
         # frequent ones come early: a memo that is full stays as it is
@@ -113,7 +118,7 @@ class DocumentIds:
             while at < len(texts) and size < CHUNK_CHARS:
                 text = texts[at] or ""
                 if _INNER_BLANK.search(text) or self.added and self.added.search(text):
-                    out.append(self._encode([text])[0])
+                    out.append(self._whole(text))
                 else:
                     out.append(None)
                     regular.append(text.encode("utf-8"))
