@@ -160,9 +160,8 @@ def best_subsets(scores: DataFrame) -> DataFrame:
     return best.select("query_id", "table_name", "b.subset_id", "b.fitness", "b.k")
 
 
-def select_columns(tc: DataFrame) -> DataFrame:
-    """Forward selection - add the column of the best fitness (to 1e-10; ties: lowest
-    ordinal) while the fitness grows. (query_id, table_name, fitness, selected)."""
+def _forward(tc: DataFrame) -> DataFrame:
+    """``tc`` with own (the columns' squared lengths) and s, the state that forward selection ends in."""
     zero = _zero()
     every = F.sequence(F.lit(0), F.col("n") - 1)
     start = F.struct(F.array().cast("array<int>").alias("chosen"), F.transform(every, lambda i: zero).alias("gv"),
@@ -192,11 +191,58 @@ def select_columns(tc: DataFrame) -> DataFrame:
         return F.when(s["done"], s).otherwise(
             F.element_at(F.transform(F.array(F.array_max(F.transform(every, fit))), moved), 1))
 
-    done = tc.withColumn("own", F.transform("vecs", lambda v: sumsq(v))).withColumn("s", F.aggregate(every, start, step))
+    return tc.withColumn("own", F.transform("vecs", lambda v: sumsq(v))).withColumn("s", F.aggregate(every, start, step))
+
+
+def _selected(done: DataFrame) -> DataFrame:
     return done.select("query_id", "table_name", F.col("s.best").alias("fitness"),
                        F.transform(F.array_sort("s.chosen"), lambda i: F.col("names")[i]).alias("selected"))
 
 
+def select_columns(tc: DataFrame) -> DataFrame:
+    """Forward selection - add the column of the best fitness (to 1e-10; ties: lowest
+    ordinal) while the fitness grows. (query_id, table_name, fitness, selected)."""
+    return _selected(_forward(tc))
+
+
+def float_columns(tc: DataFrame) -> DataFrame:
+    """C7, floating: from the subset of forward selection on, the column whose adding or dropping
+    gives the best fitness (to 1e-10; ties: lowest ordinal) is added or dropped while the fitness
+    grows, at most twice as often as the table has columns. Never below forward selection.
+    (query_id, table_name, fitness, selected)."""
+    zero = _zero()
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+
+    def step(s, _):
+        def sign(i):
+            return F.when(F.array_contains(s["chosen"], i), F.lit(-1)).otherwise(F.lit(1))
+
+        def fit(i):
+            k, ss = F.size(s["chosen"]) + sign(i), s["gss"] + 2 * sign(i) * s["gv"][i] + F.col("own")[i]
+            # a sum that cancels out has no direction
+            sem = F.when((F.col("qnorm") == 0) | (ss < 1e-12), zero).otherwise((s["qs"] + sign(i) * F.col("qdot")[i]) / (F.col("qnorm") * F.sqrt(ss)))
+            value = W_SEMANTIC * sem + W_QUALITY * (s["qls"] + sign(i) * F.col("quality")[i]) / k + W_SIZE / (1.0 + k)
+            return F.struct(F.when(k == 0, F.lit(-1e9)).otherwise(F.round(value, 10)).alias("f"), (-i).alias("i"))
+
+        def moved(top):
+            j = -top["i"]
+            held, way = F.array_contains(s["chosen"], j), sign(j)
+            better = F.struct(F.when(held, F.array_remove(s["chosen"], j)).otherwise(F.concat(s["chosen"], F.array(j))).alias("chosen"),
+                              F.zip_with(s["gv"], F.col("vecs"), lambda a, v: a + way * dot(v, F.col("vecs")[j])).alias("gv"),
+                              (s["gss"] + 2 * way * s["gv"][j] + F.col("own")[j]).alias("gss"),
+                              (s["qs"] + way * F.col("qdot")[j]).alias("qs"), (s["qls"] + way * F.col("quality")[j]).alias("qls"),
+                              top["f"].alias("best"), F.lit(False).alias("done"))
+            stop = F.struct(*[s[c].alias(c) for c in ("chosen", "gv", "gss", "qs", "qls", "best")], F.lit(True).alias("done"))
+            return F.when(top["f"] > s["best"], better).otherwise(stop)
+
+        return F.when(s["done"], s).otherwise(
+            F.element_at(F.transform(F.array(F.array_max(F.transform(every, fit))), moved), 1))
+
+    start = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("chosen", "gv", "gss", "qs", "qls", "best")], F.lit(False).alias("done"))
+    done = _forward(tc).withColumn("s", start)
+    return _selected(done.withColumn("s", F.aggregate(F.sequence(F.lit(1), 2 * F.col("n")), F.col("s"), step)))
+
+
 def report(selected: DataFrame, catalogue: DataFrame) -> DataFrame:
     """C8 + C9: one record per (query, table) with at least one selected column."""
     kept = selected.where(F.size("selected") > 0)

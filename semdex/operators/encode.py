@@ -7,7 +7,8 @@ vector"). Texts without any known token get the zero vector.
 
 The aggregation is ``Summarizer.mean`` - a JVM aggregate with map-side partial
 aggregation, so one huge text (a hot key) is summed in pieces, never gathered
-into one task. Distinct texts are encoded once and joined back (V5's cache).
+into one task. Distinct texts are encoded once and joined back; what is kept from
+run to run is in ``encode_store``. Of a text the first ``MAX_TOKENS`` tokens count.
 
 A learned encoder can replace the built-in one: ``encode_texts(...,
 encoder=fn)`` runs ``fn(pandas.Series[str]) -> list[np.ndarray]`` inside
@@ -28,6 +29,9 @@ from pyspark.sql import types as T
 from semdex.functions.text import with_normalized
 from semdex.sources.testdata import TOKEN_SPLIT
 
+# Fixed value: the tokens of a text that an encoder reads.
+MAX_TOKENS = 512
+
 
 def _zero(dim: int):
     return F.array_repeat(F.lit(0.0).cast("double"), dim)
@@ -35,7 +39,8 @@ def _zero(dim: int):
 
 def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim: int,
                  out: str = "vec", key: list[str] | None = None,
-                 encoder: Callable | dict | None = None, lang: str = "pt") -> DataFrame:
+                 encoder: Callable | dict | None = None, lang: str = "pt",
+                 max_tokens: int | None = MAX_TOKENS) -> DataFrame:
     """Add ``out`` (array<double>, length ``dim``) holding the encoding of ``text_col``.
 
     Without ``key`` distinct texts are encoded once and joined back (short,
@@ -44,12 +49,14 @@ def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim:
     shuffled for de-duplication. ``lang`` is the requested language (L11);
     ``encoder`` may be one model or a dictionary by ``model_id``, in which case
     each text goes to the model that the routing names, folded or not as it says.
+    The static encoder reads a text's first ``max_tokens`` tokens (None: all);
+    a model cuts its texts itself.
     """
     if key is None:
         src = texts.select(text_col).distinct()
         group = [text_col]
     else:
-        src = texts.select(*key, text_col)
+        src = texts.select(*dict.fromkeys([*key, text_col]))
         group = list(key)
     if isinstance(encoder, dict):
         routed = route_language(src, text_col, lang, has_english_model="en" in encoder)
@@ -61,24 +68,27 @@ def encode_texts(texts: DataFrame, text_col: str, word_vectors: DataFrame, dim:
     elif encoder is not None:
         vecs = _encode_with_model(src, group, text_col, encoder, out)
     else:
-        vecs = _encode_static(src, group, text_col, word_vectors, out)
+        vecs = _encode_static(src, group, text_col, word_vectors, out, max_tokens)
     joined = texts.join(vecs, group, "left")
     return joined.withColumn(out, F.coalesce(F.col(out), _zero(dim)))
 
 
-def _token_hits(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame) -> DataFrame:
+def _token_hits(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame,
+                max_tokens: int | None = None) -> DataFrame:
     """(group, __tok, __n, __v): the known tokens of each text, how often it holds each, their vectors."""
     norm = with_normalized(texts, text_col, "__norm")
-    toks = (norm.select(*group, F.explode(F.split("__norm", TOKEN_SPLIT)).alias("__tok"))
-                .where(F.col("__tok") != ""))
+    tokens = F.filter(F.split("__norm", TOKEN_SPLIT), lambda t: t != "")
+    if max_tokens is not None:
+        tokens = F.slice(tokens, 1, max_tokens)
+    toks = norm.select(*group, F.explode(tokens).alias("__tok"))
     # a text's occurrences of a token are counted before the join: a frequent token is one row per text
     toks = toks.groupBy(*group, "__tok").agg(F.count(F.lit(1)).cast("double").alias("__n"))
     return toks.join(word_vectors.select(F.col("term").alias("__tok"), F.col("vec").alias("__v")), "__tok")
 
 
 def _encode_static(texts: DataFrame, group: list[str], text_col: str, word_vectors: DataFrame,
-                   out: str) -> DataFrame:
-    hit = _token_hits(texts, group, text_col, word_vectors)
+                   out: str, max_tokens: int | None) -> DataFrame:
+    hit = _token_hits(texts, group, text_col, word_vectors, max_tokens)
     pooled = hit.groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("__v")), F.col("__n")).alias("__m"))
     return pooled.select(*group, vector_to_array(F.col("__m")).alias(out))
 

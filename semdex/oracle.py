@@ -56,11 +56,13 @@ queries AS (
 """
 
 
-def encode_cte(name: str, src: str, key: str, text: str) -> str:
-    """Static encoder over ``src`` (key, text): mean of word vectors of tokens."""
+def encode_cte(name: str, src: str, key: str, text: str, tokens: int | None = 512) -> str:
+    """Static encoder over ``src`` (key, text): mean of word vectors of the first ``tokens`` tokens."""
+    words = f"list_filter(regexp_split_to_array({t1('s.' + text)}, '[^a-z0-9]+'), lambda w: w <> '')"
+    if tokens is not None:
+        words = f"list_slice({words}, 1, {tokens})"
     return f"""
-{name}_tok AS (SELECT s.{key} AS k, t.token FROM {src} s,
-     unnest(regexp_split_to_array({t1('s.' + text)}, '[^a-z0-9]+')) AS t(token) WHERE t.token <> ''),
+{name}_tok AS (SELECT s.{key} AS k, t.token FROM {src} s, unnest({words}) AS t(token)),
 {name}_dims AS (SELECT k, i, avg(x) AS x FROM (
      SELECT e.k, unnest(wv.vec) AS x, generate_subscripts(wv.vec, 1) AS i
      FROM {name}_tok e JOIN wv ON wv.term = e.token) GROUP BY k, i),
@@ -167,7 +169,7 @@ tq AS (SELECT query_id, term, unnest({templates_sql('query')}) AS qt,
 tt AS (SELECT query_id, term, unnest({templates_sql('term')}) AS tt,
               generate_subscripts({templates_sql('term')}, 1) AS j FROM pairs),
 ctexts AS (SELECT DISTINCT qt AS text FROM tq UNION SELECT DISTINCT tt FROM tt),
-{encode_cte('cenc', 'ctexts', 'text', 'text')},
+{encode_cte('cenc', 'ctexts', 'text', 'text', None)},
 ctx AS (
   SELECT tq.query_id, tq.term,
     avg(CASE WHEN sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) = 0 THEN 0.0
@@ -346,6 +348,28 @@ bsel AS (SELECT query_id, table_name, fitness, list_transform(chosen, lambda i:
          FROM picked JOIN gbase USING (query_id, table_name))
 """
 
+# C7 from the greedy subset on: the flip (adding or dropping one column) of the best fitness, while it grows
+_FLIPPED = "(s.gss + 2 * (CASE WHEN list_contains(s.chosen, i) THEN -1 ELSE 1 END) * s.gv[i + 1] + m.g[i + 1][i + 1])"
+_SIGN = "(CASE WHEN list_contains(s.chosen, i) THEN -1 ELSE 1 END)"
+FLOATING = GREEDY + f""",
+flo AS (
+  SELECT query_id, table_name, 0::BIGINT AS turn, chosen, gv, gss, qs, qls, best FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, table_name ORDER BY step DESC) AS r FROM greedy) WHERE r = 1
+  UNION ALL
+  SELECT query_id, table_name, turn + 1, CASE WHEN sg < 0 THEN list_filter(chosen, lambda x: x <> j) ELSE list_append(chosen, j) END,
+         list_transform(range(n), lambda i: gv[i + 1] + sg * g[j + 1][i + 1]), gss + 2 * sg * gv[j + 1] + g[j + 1][j + 1],
+         qs + sg * qd[j + 1], qls + sg * ql[j + 1], top
+  FROM (SELECT *, CASE WHEN list_contains(chosen, j) THEN -1 ELSE 1 END AS sg FROM (
+    SELECT *, list_position(fits, top) - 1 AS j FROM (SELECT *, list_max(fits) AS top FROM (
+    SELECT s.*, b.n, b.qd, b.ql, m.g, list_transform(range(b.n), lambda i: CASE WHEN len(s.chosen) + {_SIGN} = 0 THEN -1e9 ELSE round(
+        0.7 * (CASE WHEN b.qn = 0 OR {_FLIPPED} < 1e-12 THEN 0.0 ELSE (s.qs + {_SIGN} * b.qd[i + 1]) / (b.qn * sqrt({_FLIPPED})) END)
+        + 0.2 * (s.qls + {_SIGN} * b.ql[i + 1]) / (len(s.chosen) + {_SIGN}) + 0.1 / (1.0 + len(s.chosen) + {_SIGN}), 10) END) AS fits
+    FROM flo s JOIN gbase b USING (query_id, table_name) JOIN gmat m USING (table_name) WHERE s.turn < 2 * b.n))))
+  WHERE top > best),
+fsel AS (SELECT query_id, table_name, turn, best AS fitness, list_transform(list_sort(chosen), lambda i: names[i + 1]) AS cols FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, table_name ORDER BY turn DESC) AS r FROM flo) JOIN gbase USING (query_id, table_name) WHERE r = 1)
+"""
+
 
 PROFILE_COLUMNS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",

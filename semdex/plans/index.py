@@ -37,6 +37,21 @@ def write_table_vectors(vectors: DataFrame, path: str, buckets: int | None = Non
     out.write.mode("overwrite").parquet(path)
 
 
+def write_table_index(vectors: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """S5 as the table ``name``, its files under ``path`` in ``buckets`` buckets by table name, one
+    file each: a look-up by name reads one bucket, and a join on the name with a table of as many
+    buckets needs no exchange of the index."""
+    (vectors.select("table_name", "vec").repartition(buckets, "table_name").write.mode("overwrite").format("parquet")
+            .bucketBy(buckets, "table_name").sortBy("table_name").option("path", path).saveAsTable(name))
+
+
+def open_table_index(spark: SparkSession, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """The index that ``write_table_index`` stored, also in a session whose catalog doesn't know it yet."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (table_name STRING, vec ARRAY<DOUBLE>) USING parquet "
+              f"CLUSTERED BY (table_name) SORTED BY (table_name) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_learned_weights(weights: DataFrame, path: str) -> None:
     """Append one run of learned weights, stamped with the run time."""
     (weights.withColumn("run_ts", F.unix_timestamp(F.current_timestamp()))

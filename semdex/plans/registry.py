@@ -627,6 +627,15 @@ def c7_greedy_subset(spark, sf):
     return g.select("query_id", "table_name", _r6("fitness"), F.size("selected").cast("bigint").alias("n_selected"))
 
 
+@register("c7_floating_subset", _C + O.FLOATING + """
+SELECT query_id, table_name, round(fitness, 6) AS fitness, len(cols)::BIGINT AS n_selected, array_to_string(cols, '|') AS selected_columns FROM fsel
+""")
+def c7_floating_subset(spark, sf):
+    g = Cx.float_columns(_features(spark, sf).tc)
+    return g.select("query_id", "table_name", _r6("fitness"), F.size("selected").cast("bigint").alias("n_selected"),
+                    F.array_join("selected", "|").alias("selected_columns"))
+
+
 @register("c8_selected_columns", _C + O.GREEDY + """
 SELECT query_id, table_name, unnest(range(1, len(cols) + 1))::BIGINT AS pos, unnest(cols) AS column_name FROM bsel
 """)
@@ -742,8 +751,8 @@ def s1_catalogue_scan(spark, sf):
 
 # --- R4, S5, S6: labels, stored index and stored weights -----------------------------------------
 from semdex.operators.rank import label_unknown  # noqa: E402
-from semdex.plans.index import (index_tables, read_learned_weights, read_table_vectors,  # noqa: E402
-                                write_learned_weights, write_table_vectors)
+from semdex.plans.index import (index_tables, open_table_index, read_learned_weights,  # noqa: E402
+                                read_table_vectors, write_learned_weights, write_table_index, write_table_vectors)
 
 
 @register("r4_unknown_label", _CAT + """
@@ -770,6 +779,38 @@ def s5_stored_index_search(spark, sf):
     return r.select("query_id", "rank", "table_name", _r6("score"))
 
 
+@register("s5_bucketed_index", _CAT + ", " + O.table_docs_cte() + ", " + O.VOCAB + ", "
+          + O.encode_cte("tv", "tdocs_kept", "table_name", "document") + """
+SELECT c.table_name, c.seq, c.schema, round(sqrt(list_dot_product(t.vec, t.vec)), 6) AS vnorm, round(list_sum(t.vec), 6) AS vsum
+FROM cat c JOIN tv t USING (table_name)
+""")
+def s5_bucketed_index(spark, sf):
+    """The index as a bucketed table (S5), joined to the whole catalogue by name."""
+    ctx, path = Inputs(spark, sf), _folder(spark, "bucketed")
+    name = "semdex_index_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    write_table_index(ctx.catalogue_vectors, name, path)
+    j = ctx.catalogue.select("table_name", "seq", "schema").join(open_table_index(spark, name, path), "table_name")
+    return j.select("table_name", "seq", "schema", F.round(norm("vec"), 6).alias("vnorm"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
+
+
+# --- V5: embeddings kept between runs ---------------------------------------------------------
+from semdex.operators.encode_store import encode_stored  # noqa: E402
+
+
+@register("v5_stored_encoding", f"WITH {O.VOCAB}, {O.queries_cte()}, {O.encode_cte('qv', 'queries', 'query_id', 'query')}" + """
+SELECT query_id, round(sqrt(list_dot_product(vec, vec)), 6) AS vnorm, round(list_sum(vec), 6) AS vsum FROM qv
+""")
+def v5_stored_encoding(spark, sf):
+    """Two runs over one store: the first encodes the benchmark's texts, the second, over the whole
+    query batch, only the others."""
+    ctx, path = Inputs(spark, sf), _folder(spark, "embeddings")
+    encode_stored(ctx.table("benchmark").select("text"), "text", path, ctx.word_vectors, ctx.dim)
+    v = encode_stored(ctx.queries, "query", path, ctx.word_vectors, ctx.dim)
+    return v.select("query_id", F.round(norm("vec"), 6).alias("vnorm"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
+
+
 @register("s6_stored_weights", _W + """,
 best AS (SELECT query_id, ind FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fitness DESC, ind) AS r FROM g7) WHERE r = 1)

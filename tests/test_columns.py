@@ -144,3 +144,32 @@ def test_sketch_profile_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     for c, n in exact.items():
         assert abs(approx[c] - n) <= max(2, 0.05 * n), c
+
+
+@pytest.mark.parametrize("n", [1, 4, 10])
+def test_floating_is_between_greedy_and_the_best_subset(spark, n):
+    """Never below forward selection, never above the best of all subsets, and no flip of one column helps."""
+    for seed in range(2):
+        rng = np.random.default_rng(100 * n + seed)
+        q, V = rng.normal(size=6), rng.normal(size=(n, 6))
+        V[1::5] = 0.0
+        stats = [(f"c{i}", float(rng.random()), int(rng.integers(0, 50))) for i in range(n)]
+        qual = np.array([(1 - nf) * (1 - 1 / (dc if dc else 1)) for _, nf, dc in stats])
+        tc = make_tc(spark, q, V, stats)
+        greedy, got = C.select_columns(tc).first(), C.float_columns(tc).first()
+        mask = [f"c{i}" in got["selected"] for i in range(n)]
+        assert got["fitness"] == pytest.approx(py_fitness(q, V, qual, mask), abs=1e-9)
+        every = [py_fitness(q, V, qual, m) for m in itertools.product([False, True], repeat=n)]
+        assert greedy["fitness"] - 1e-9 <= got["fitness"] <= max(every) + 1e-9
+        for i in range(n):
+            flip = [m != (j == i) for j, m in enumerate(mask)]
+            assert py_fitness(q, V, qual, flip) <= got["fitness"] + 1e-9
+
+
+def test_floating_drops_a_column(spark):
+    """The first column is the best alone, but the two others together are better without it."""
+    V = np.array([[1.0, 1.0, 0.9], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]])
+    q, stats = np.array([1.0, 1.0, 0.0]), [("a", 0.0, 900), ("b", 0.0, 900), ("c", 0.0, 900)]
+    tc = make_tc(spark, q, V, stats)
+    assert C.select_columns(tc).first()["selected"] == ["a", "b", "c"]
+    assert C.float_columns(tc).first()["selected"] == ["b", "c"]
