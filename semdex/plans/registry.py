@@ -15,6 +15,7 @@ from semdex.functions.text import with_normalized
 from semdex.functions.vectors import with_l2_normalized
 from semdex.operators.encode import encode_texts
 from semdex.operators.rank import nearest_terms, rank_tables, score_summary, topk_dot
+from semdex.operators.term_index import build_index, nearest_terms_indexed
 from semdex.plans.context import Inputs
 
 QUERIES: dict = {}
@@ -115,6 +116,14 @@ def r3_nearest_terms(spark: SparkSession, sf: str) -> DataFrame:
     return nb.select("query_id", "query", "nb_rank", "term", _r6("raw_score"))
 
 
+@register("r3_indexed_terms")
+def r3_indexed_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 through random-projection buckets, as many as hold 95 % of the neighbours of a sample of queries."""
+    ctx = Inputs(spark, sf)
+    nb = nearest_terms_indexed(build_index(ctx.word_vectors), ctx.queries, topn=300)
+    return nb.select("query_id", "query", "nb_rank", "term", _r6("raw_score"))
+
+
 # --- catalogue: S2, T2-T7, L1-L4, V5, R5 -------------------------------------
 from semdex.functions.text import expand_table_name, strip_column_prefixes  # noqa: E402
 from semdex.functions.vectors import norm  # noqa: E402
