@@ -1,4 +1,4 @@
-"""Queries that did less than their whole job: the whole ranking."""
+"""Queries that did less than their whole job: the whole ranking, whole texts."""
 
 from pyspark.sql import functions as F
 
@@ -14,3 +14,23 @@ def test_full_ranking_has_every_pair(spark):
     per = got.groupBy("query_id").agg(F.count_distinct("table_id").alias("t"), F.count_distinct("rank").alias("r"),
                                       F.min("rank").alias("lo"), F.max("rank").alias("hi")).collect()
     assert len(per) == queries and {(r["t"], r["r"], r["lo"], r["hi"]) for r in per} == {(tables, tables, 1, tables)}
+
+
+def test_named_queries_encode_whole_texts(spark):
+    """The index and the columns of v5, r5, c5-c10 and s5 take words behind the 512th in."""
+    from semdex.plans.features import FeatureInputs
+    from semdex.plans.index import index_tables
+    early, late = [f"a{i:03d}" for i in range(512)], [f"b{i:03d}" for i in range(88)]
+    words = spark.createDataFrame([(i, w, [1.0, 0.0] if w[0] == "a" else [0.0, 1.0]) for i, w in enumerate(early + late)],
+                                  "rank long, term string, vec array<double>")
+    columns = [{"name": " ".join(early + late), "description": None, "stats": None}]
+    entry = spark.createDataFrame([(1, "t", columns)], "seq long, table_name string, columns array<struct<name:string,"
+                                  "description:string,stats:struct<null_fraction:double,distinct_count:long>>>")
+    entry = entry.select("seq", "table_name", F.transform("columns", lambda c: F.struct(
+        c["name"].alias("name"), F.lit("text").alias("type"), c["description"].alias("description"), c["stats"].alias("stats"))).alias("columns"))
+    vectors, _ = index_tables(entry, words, 2)
+    whole = [512 / 600, 88 / 600]
+    assert [round(x, 9) for x in vectors.first()["vec"]] == [round(x, 9) for x in whole]
+    queries = spark.createDataFrame([(7, " ".join(early + late))], "query_id long, query string")
+    fi = FeatureInputs(queries, entry, vectors, words, 2)
+    assert [round(x, 9) for x in fi.tables.first()["cols"][0]["vec"]] == [round(x, 9) for x in fi.qvecs.first()["qvec"]] == [round(x, 9) for x in whole]
