@@ -11,8 +11,9 @@ found has the exact path's score; only terms in other buckets can be missed.
 neighbours are searched in all rows, and the least number of buckets is taken
 that holds ``recall`` of them. Vectors without structure make it approach the
 number of buckets, which is the exact search. There is no limit on a bucket's
-rows or queries: both are cut into blocks, and each pair of blocks of a bucket
-is multiplied in a task of its own.
+rows or queries: all rows and all queries are cut into blocks, whatever their
+buckets, and a task meets one block of each. A query is sent once to a block of
+rows, with the cost that its dearest bucket has, and the task finds the buckets.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semdex.functions.vectors import with_l2_normalized
-from semdex.operators.rank import _matrix, _TopK, topk_dot
+from semdex.operators.rank import _BLOCK_CELLS, _matrix, _TopK, cells, topk_dot
 from semdex.session import materialize
 
 MAX_BITS = 16           # at most 65,536 buckets: tables of a row a bucket may be broadcast
 BUCKET_ROWS = 64        # rows a bucket holds on average, until MAX_BITS is reached
-BLOCK_ROWS, BLOCK_PROBES = 8192, 1024
+BLOCK_ROWS, BLOCK_PROBES = 1 << 18, 1 << 15      # rows and queries that one task holds
 SAMPLE = 256            # queries that the number of buckets is fitted on
 _HITS = "query_id long, rank long, raw_score double"
 
@@ -130,40 +131,59 @@ def nearest_terms_indexed(index: TermIndex, queries: DataFrame, topn: int = 300,
         n_probes = fit_probes(index, queries, topn)
     n_probes = min(n_probes, 1 << index.bits)
     margins_of = TermIndex(None, index.planes, index.centre).margins
+    bits = index.bits
 
-    def probe(batches):
+    def reach(batches):
         for rb in batches:
-            margins = margins_of(_matrix(pa.Table.from_batches([rb]), "vec"))
-            for i, m in enumerate(margins):     # a query's probes are one small batch
-                codes = bucket_order(m, n_probes)
-                one = rb.take(pa.array(np.full(len(codes), i)))
-                yield one.append_column("code", pa.array(codes, type=pa.int64()))
+            cost = []
+            for m in margins_of(_matrix(pa.Table.from_batches([rb]), "vec")):
+                last = bucket_order(m, n_probes)[-1] ^ _codes(m[None, :])[0]
+                cost.append(float((last >> np.arange(bits) & 1) @ (m * m)))
+            yield rb.append_column("reach", pa.array(cost, type=pa.float64()))
 
     probes = materialize(_known(index, queries).mapInArrow(
-        probe, "query_id long, q_rank long, vec array<double>, code long"))
-    # a row a bucket, 65,536 at most
-    blocks = F.broadcast(index.rows.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("row_blocks")).join(
-        probes.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / block_probes).alias("probe_blocks")), "code"))
+        reach, "query_id long, q_rank long, vec array<double>, reach double"))
+    rows = index.rows.count()
+    groups, blocks = cells(rows, probes.count(), 8 * len(index.centre), 24 * topn,
+                           index.rows.sparkSession.sparkContext.defaultParallelism, block_probes)
+    groups = max(groups, math.ceil(rows / block_rows))
 
-    def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        return (df.join(blocks, "code").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")))
-                  .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_blocks") - 1)))
-                  .drop("row_blocks", "probe_blocks"))
+    def spread(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)))
+                  .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))))
 
     def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
         names = ["query_id", "rank", "raw_score"]
         out = pa.schema([("query_id", pa.int64()), ("rank", pa.int64()), ("raw_score", pa.float64())])
         if not rows.num_rows or not asked.num_rows:
             return out.empty_table()
-        top = _TopK(_matrix(asked, "vec"), asked.column("q_rank").to_numpy(), topn)
-        for _ in top.add(rows.column("rank").to_numpy(), _matrix(rows, "vec")):
-            pass
+        rows = rows.sort_by("code")
+        code, rank, vecs, P = rows.column("code").to_numpy(), rows.column("rank").to_numpy(), _matrix(rows, "vec"), _matrix(asked, "vec")
+        margins = margins_of(P)
+        own, most = margins > 0, asked.column("reach").to_numpy()
+        square = margins * margins
+        # a bucket costs the squares of the planes on whose other side it lies: a sum that is linear in its bits
+        base, slope = (own * square).sum(axis=1), np.where(own, -square, square)
+        most = most + 1e-9 * (1.0 + square.sum(axis=1))
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        last = np.append(first[1:], len(code))
+        top = _TopK(P, asked.column("q_rank").to_numpy(), topn)
+        step = max(1, _BLOCK_CELLS // len(P))
+        for at in range(0, len(first), step):
+            signs = code[first[at:at + step], None] >> np.arange(bits) & 1
+            near = base[:, None] + slope @ signs.T <= most[:, None]
+            for i in range(near.shape[1]):
+                asking, (lo, hi) = np.flatnonzero(near[:, i]), (first[at + i], last[at + i])
+                if len(asking):
+                    for _ in top.add(rank[lo:hi], vecs[lo:hi], asking):
+                        pass
+        if not top.pairs:
+            return out.empty_table()
         found = top.batch(top.cand, {"query_id": asked.column("query_id").to_numpy()}, pa.int64(), names)
         return pa.Table.from_batches([found], schema=out)
 
-    by = ["code", "row", "probe"]
-    left = spread(index.rows.select("code", "rank", "vec"), "rank", "row", "probe").groupBy(*by)
-    right = spread(probes, "query_id", "probe", "row").groupBy(*by)
+    left = spread(index.rows.select("code", "rank", "vec"), "rank", "g", groups, "b", blocks).groupBy("g", "b")
+    right = spread(probes, "query_id", "b", blocks, "g", groups).groupBy("g", "b")
     hits = left.cogroup(right).applyInArrow(cell, _HITS)
     w = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), F.col("rank").asc())
     best = hits.withColumn("nb_rank", F.row_number().over(w).cast("bigint")).where(F.col("nb_rank") <= topn)
