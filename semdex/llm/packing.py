@@ -37,7 +37,7 @@ PIECE = 256
 GROUP_WINDOWS = 256
 END_ID = 0
 MEMO_UNITS, MEMO_PARTS, MEMO_CHARS = 400_000, 1_000_000, 64    # entries, and characters of one: about 0.25 GB in a Python worker
-CHUNK_CHARS = 1 << 23       # of texts that are encoded together
+CHUNK_CHARS = 1 << 22       # of texts that are encoded together
 LEARNED = 1 << 15           # units that the memos take at a time
 # a byte-level model writes printable bytes of Latin-1 as themselves, the others as characters from 256 on
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
