@@ -1,5 +1,6 @@
 """Queries that did less than their whole job: the whole ranking, whole texts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -34,3 +35,22 @@ def test_named_queries_encode_whole_texts(spark):
     queries = spark.createDataFrame([(7, " ".join(early + late))], "query_id long, query string")
     fi = FeatureInputs(queries, entry, vectors, words, 2)
     assert [round(x, 9) for x in fi.tables.first()["cols"][0]["vec"]] == [round(x, 9) for x in fi.qvecs.first()["qvec"]] == [round(x, 9) for x in whole]
+
+
+WHOLE = ["r5_topn_enrichment"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_query_and_sql_have_no_cut_of_tokens(spark, monkeypatch, name):
+    """Documents, queries and columns: neither the SQL nor any encoding of the query stops at a number of tokens."""
+    from semdex.operators import encode
+    sql, seen, means = registry.ORACLE[name], [], encode._partial_means
+
+    def partial_means(*args):
+        seen.append(args[5] if len(args) > 5 else None)
+        return means(*args)
+
+    monkeypatch.setattr(encode, "_partial_means", partial_means)
+    assert "512" not in sql and "list_slice(list_filter" not in sql
+    registry.QUERIES[name](spark, SF001)
+    assert len(seen) >= 2 and set(seen) == {None}
