@@ -37,7 +37,7 @@ def test_named_queries_encode_whole_texts(spark):
     assert [round(x, 9) for x in fi.tables.first()["cols"][0]["vec"]] == [round(x, 9) for x in fi.qvecs.first()["qvec"]] == [round(x, 9) for x in whole]
 
 
-WHOLE = ["r5_topn_enrichment", "c5_subset_fitness"]
+WHOLE = ["r5_topn_enrichment", "c5_subset_fitness", "c6_best_subset"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
