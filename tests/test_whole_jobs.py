@@ -37,7 +37,8 @@ def test_named_queries_encode_whole_texts(spark):
     assert [round(x, 9) for x in fi.tables.first()["cols"][0]["vec"]] == [round(x, 9) for x in fi.qvecs.first()["qvec"]] == [round(x, 9) for x in whole]
 
 
-WHOLE = ["r5_topn_enrichment", "c5_subset_fitness", "c6_best_subset", "c7_greedy_subset", "c8_selected_columns", "c9_report"]
+WHOLE = ["r5_topn_enrichment", "c5_subset_fitness", "c6_best_subset", "c7_greedy_subset", "c8_selected_columns", "c9_report",
+         "c10_feature_pipeline"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
