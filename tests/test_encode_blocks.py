@@ -36,6 +36,19 @@ def test_blocks_and_parts_give_the_mean(spark, monkeypatch, word_bytes, chars, p
         assert np.allclose(sums[k], want) and np.allclose(got[k], want / max(1, len(at)))
 
 
+@pytest.mark.parametrize("chars, texts, cores", [(2 << 20, 12_000, 8), (165 << 20, 50_000, 8), (165 << 20, 50_000, 12), (6 << 30, 2_000_000, 12)])
+def test_words_are_not_sent_for_each_core(chars, texts, cores):
+    """c6, c7, c8 and the index: with blocks of words for the cores, words are sent to as few groups of texts as send least."""
+    words, dim = 655_132, 64
+    blocks, groups = encode.encoder_cells(chars, texts, words, dim, cores)
+    size = words * dim * 4
+    assert size / blocks <= encode._WORD_BYTES and chars / (blocks * groups) <= encode._CELL_CHARS
+    assert blocks * groups >= min(cores, chars >> 20)
+    at = max(1, -(-size // encode._WORD_BYTES))     # before: as few blocks as hold the words, groups for all cores
+    was = max(1, -(-chars // (encode._CELL_CHARS * at)), min(-(-cores // at), chars >> 20))
+    assert groups * size + blocks * texts * dim * 8 < 0.75 * (was * size + at * texts * dim * 8)
+
+
 @pytest.mark.parametrize("short", [64, 3])
 def test_deletions_join_by_brute_force(spark, monkeypatch, short):
     monkeypatch.setattr(lexical, "SHORT", short)
