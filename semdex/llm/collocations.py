@@ -302,6 +302,11 @@ def _bitmap(found: DataFrame, most_bits: int) -> Bitmap:
     return Bitmap(bits, packed)
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; the first one does."""
+    return np.concatenate([np.ones(len(values[:1]), bool), values[1:] != values[:-1]])
+
+
 class _Counter:
     """The n-grams of one part of a task that may be frequent, and how many words each language has."""
 
@@ -340,11 +345,10 @@ class _Counter:
         rank = np.empty(len(key), np.int64)
         rank[np.argsort(key, kind="stable")] = np.arange(len(key))
         order = np.argsort(fingerprint)
-        new = np.diff(fingerprint[order], prepend=0) != 0
-        if (np.diff(check[order], prepend=0) != 0)[~new].any():     # fingerprints clash
+        new = _changes(fingerprint[order])
+        if _changes(check[order])[~new].any():      # fingerprints clash
             order = np.lexsort((check, fingerprint))
-            new = (np.diff(fingerprint[order], prepend=0) != 0) | (np.diff(check[order], prepend=0) != 0)
-        new[:1] = True
+            new = _changes(fingerprint[order]) | _changes(check[order])
         first = np.flatnonzero(new)
         self._verify(order, first, at, size, language[text[at]], number)
         columns = [np.empty(0, np.int64)] * 5
@@ -377,14 +381,13 @@ _COUNTED = ["fp", "check", "n", "key", "at"]
 
 def _combine(counted: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Counts of the same (fp, check) summed, with a pointer into the text of the smallest key; sorted by fp."""
-    fp, check, n, key, at = (np.concatenate(x) for x in zip(*counted))
-    fp = fp.view(np.uint64)
+    # of one kind before they meet: signed and unsigned integers of 64 bits would become doubles
+    fp, check, n, key, at = (np.concatenate([c.view(kind) for c in x]) for x, kind in zip(zip(*counted), (np.uint64, *[np.int64] * 4)))
     order = np.argsort(fp)
-    new = np.diff(fp[order], prepend=0) != 0
-    if (np.diff(check[order], prepend=0) != 0)[~new].any():
+    new = _changes(fp[order])
+    if _changes(check[order])[~new].any():
         order = np.lexsort((check, fp))
-        new = (np.diff(fp[order], prepend=0) != 0) | (np.diff(check[order], prepend=0) != 0)
-    new[:1] = True
+        new = _changes(fp[order]) | _changes(check[order])
     first = np.flatnonzero(new)
     group, key = np.cumsum(new) - 1, key[order]
     leads = np.flatnonzero(key == np.minimum.reduceat(key, first)[group])
@@ -401,7 +404,7 @@ def _blocks(counted: list[np.ndarray], bucket_bits: int) -> pa.RecordBatch:
         *(pa.array([_planes(c[s:e], 8) for _, s, e in parts], pa.binary()) for c in counted[1:])], names=["bucket", *_COUNTED])
 
 
-def _count_grams(sizes, shared, bits: int, bucket_bits: int, flush_grams: int, segment_bytes: int):
+def _count_grams(sizes, shared, bits: int, bucket_bits: int, flush_grams: int, held_rows: int, segment_bytes: int):
     """(key, language, text) -> blocks of (fp, check, n, key, at). All words of a language are counted
     too, as its n-gram of size 0."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,9 +414,9 @@ def _count_grams(sizes, shared, bits: int, bucket_bits: int, flush_grams: int, s
             if counter.full(flush_grams):
                 held.append(counter.counted())
                 counter = _Counter()
-                if sum(len(x[0]) for x in held) > HELD_ROWS:
+                if sum(len(x[0]) for x in held) > held_rows:
                     held = [_combine(held)]
-                    if len(held[0][0]) > HELD_ROWS // 2:
+                    if len(held[0][0]) > held_rows // 2:
                         yield _blocks(held[0], bucket_bits)
                         held = []
         if counter.languages:
@@ -470,7 +473,7 @@ def _read(bits: int, segment_bytes: int):
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
                      max_words: int = MAX_WORDS, count_words: int = COUNT_WORDS, flush_grams: int = FLUSH_GRAMS,
                      segment_bytes: int = SEGMENT_BYTES, fingerprint_bits: int = FINGERPRINT_BITS,
-                     bitmap_bits: int = BITMAP_BITS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+                     bitmap_bits: int = BITMAP_BITS, bucket_words: int = BUCKET_WORDS, held_rows: int = HELD_ROWS) -> DataFrame:
     """Per language and phrase of 1 to `max_words` words (7 at most) that occurs `min_count` times or
     more: lang, size, phrase, n. The empty phrase (size 0) counts all words of a language.
 
@@ -498,7 +501,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                             .mapInArrow(_frequent_slots(min_count), "slot long"))
         maps = maps | {level: _bitmap(found, bitmap_bits)}
     shared = spark.sparkContext.broadcast(maps)
-    blocks = lines.mapInArrow(_count_grams(tuple(range(1, max_words + 1)), shared, fingerprint_bits, bucket_bits, flush_grams, segment_bytes),
+    blocks = lines.mapInArrow(_count_grams(tuple(range(1, max_words + 1)), shared, fingerprint_bits, bucket_bits, flush_grams, held_rows, segment_bytes),
                               "bucket long, " + ", ".join(f"`{c}` binary" for c in _COUNTED))
     found = materialize(blocks.repartition(parts, kind).sortWithinPartitions("bucket").mapInArrow(
         _frequent_grams(min_count), ", ".join(f"`{c}` long" for c in _COUNTED)))

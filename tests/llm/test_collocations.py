@@ -85,6 +85,23 @@ def test_clashing_fingerprints_within_a_part(spark):
     assert got == brute(rows, 5)
 
 
+@pytest.mark.parametrize("held_rows", [900, 5000])
+def test_counts_combined_again_and_again(spark, held_rows):
+    # a part's counts meet counts that were combined before; some are held, some handed on
+    rows = corpus(6, docs=200)
+    got = rows_of(co.collocations(made(spark, rows, 1), min_count=8, flush_grams=300, segment_bytes=200, held_rows=held_rows))
+    assert got == brute(rows, 8)
+
+
+def test_combining_in_steps_changes_nothing():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(-1 << 63, (1 << 63) - 1, 50)
+    parts = [[fps[at], fps[at] ^ 77, *rng.integers(1, 99, (3, 200))] for at in rng.integers(0, 50, (4, 200))]
+    want = co._combine(parts)
+    got = co._combine([co._combine([co._combine(parts[:2]), parts[2]]), parts[3]])
+    assert len(want[0]) == 50 and all(a.dtype == b.dtype and (a == b).all() for a, b in zip(got[:4], want[:4]))
+
+
 def test_top_and_percent(spark):
     rows = corpus(3)
     got = rows_of(co.collocations(made(spark, rows), min_count=6, percent=60, top=7, max_words=4))
