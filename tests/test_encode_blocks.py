@@ -67,3 +67,14 @@ def test_short_strings_share_few_rests(spark):
     pairs = lexical.levenshtein_join(df, df.withColumnRenamed("x", "y"), "x", "y", 1)
     assert "__part" not in lexical._deletions_join(df, df.withColumnRenamed("x", "y"), "x", "y")._jdf.queryExecution().toString()
     assert pairs.where("distance = 0").count() == 20_000
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_levenshtein_join_broadcasts_no_side(spark, distance):
+    # what the strings are cut into is many times what the planner knows of their size
+    df = spark.createDataFrame([(f"{i:05d}",) for i in range(300)], "x string")
+    pairs = lexical.levenshtein_join(df, df.withColumnRenamed("x", "y"), "x", "y", distance)
+    assert pairs.count() > 300
+    plan = pairs._jdf.queryExecution().executedPlan()
+    pairs.collect()
+    assert "SortMergeJoin" in plan.toString() and "Broadcast" not in plan.toString()
