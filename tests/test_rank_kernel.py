@@ -66,3 +66,31 @@ def test_columns_are_not_sent_with_every_query(spark):
     joins = [i for i, line in enumerate(plan.splitlines()) if "Join" in line]
     at = next(i for i, line in enumerate(plan.splitlines()) if "cols#" in line and "LogicalRDD" in line)
     assert len(joins) == 2 and "query_id" in plan.splitlines()[joins[1]] and at > joins[1]
+
+
+def test_a_whole_ranking_is_handed_on_in_bounded_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(rank, "_RANKED_CELLS", 50)
+    P, T, keys = rng.normal(size=(70, 4)), rng.normal(size=(23, 4)), np.arange(100, 123)
+    parts = list(rank._TopK(P, None, None).add(keys, T))
+    assert max(map(len, parts)) <= 50
+    got = {(q, key): s for x in parts for q, key, s in x.itertuples(index=False)}
+    assert got == {(q, 100 + j): s for (q, j), s in np.ndenumerate(np.round(P @ T.T, rank.SCORE_PLACES) + 0.0)}
+
+
+def test_a_task_of_a_whole_ranking_holds_few_scores():
+    # 134,000 queries and 102,000 tables: 8 tasks of 16 held 850 million scores each
+    groups, blocks = rank.cells(102_000, 134_000, 8 * 64, 24, 6, 131_072, whole=True)
+    assert (102_000 / groups) * (134_000 / blocks) <= 1 << 20
+
+
+def test_whole_ranking_of_many_probes_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(rank, "_RANKED_SIDE", 7)
+    rng = np.random.default_rng(4)
+    P, T = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(T)], "t long, v array<double>")
+    probes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(P)], "q long, p array<double>")
+    got = rank.topk_dot(corpus, "t", "v", probes, ["q"], "p", None, max_probe_bytes=1024).collect()
+    S = np.round(P @ T.T, rank.SCORE_PLACES)
+    want = {(q, int(t)): (r + 1, S[q, t]) for q in range(40) for r, t in enumerate(np.lexsort((np.arange(30), -S[q])))}
+    assert len(got) == 1200 and all(want[x["q"], x["t"]] == (x["rank"], pytest.approx(x["score"], abs=1e-9)) for x in got)
