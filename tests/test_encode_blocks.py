@@ -49,6 +49,16 @@ def test_words_are_not_sent_for_each_core(chars, texts, cores):
     assert groups * size + blocks * texts * dim * 8 < 0.75 * (was * size + at * texts * dim * 8)
 
 
+def test_distinct_texts_travel_as_numbers(spark, monkeypatch):
+    groups, means = [], encode._partial_means
+    monkeypatch.setattr(encode, "_partial_means", lambda texts, group, *rest: groups.append(group) or means(texts, group, *rest))
+    words = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 4.0])], "rank long, term string, vec array<double>")
+    texts = [(0, "a b"), (1, "a b"), (2, "a"), (3, None), (4, ""), (5, "zz"), (6, "a b b")]
+    got = {r["k"]: r["vec"] for r in encode.encode_texts(spark.createDataFrame(texts, "k long, t string"), "t", words, 2).collect()}
+    assert groups == [["__id"]]
+    assert got == {0: [0.5, 2.0], 1: [0.5, 2.0], 2: [1.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0], 5: [0.0, 0.0], 6: pytest.approx([1 / 3, 8 / 3])}
+
+
 @pytest.mark.parametrize("short", [64, 3])
 def test_deletions_join_by_brute_force(spark, monkeypatch, short):
     monkeypatch.setattr(lexical, "SHORT", short)
