@@ -173,3 +173,13 @@ def test_floating_drops_a_column(spark):
     tc = make_tc(spark, q, V, stats)
     assert C.select_columns(tc).first()["selected"] == ["a", "b", "c"]
     assert C.float_columns(tc).first()["selected"] == ["b", "c"]
+
+
+@pytest.mark.parametrize("select", [C.select_columns, C.float_columns])
+def test_conditions_on_a_selection_stay_above_it(spark, select):
+    # below it each lambda of the selection would compute the arrays that it reads, all columns for every column
+    rng = np.random.default_rng(9)
+    done = select(make_tc(spark, rng.normal(size=4), rng.normal(size=(4, 4)), STATS))
+    for asked in (done.where(F.size("selected") > 0), done.select("query_id", F.posexplode("selected"))):
+        assert "lambda" not in asked._jdf.queryExecution().optimizedPlan().toString()
+        assert asked.count() >= 1
